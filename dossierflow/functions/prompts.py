@@ -65,7 +65,7 @@ def render_prompt(template: Column, text: Column, limit: int = PROMPT_TEXT_CHARS
         F.split(template, r"\{document_text\}"),
         lambda p: F.replace(F.replace(p, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")),
     )
-    return F.array_join(pieces, F.coalesce(truncate_text(text, limit), F.lit("")))
+    return F.call_function("array_join", pieces, F.coalesce(truncate_text(text, limit), F.lit("")))
 
 
 def preview(text: Column, limit: int) -> Column:

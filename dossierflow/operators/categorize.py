@@ -18,8 +18,11 @@ def words_of(text: Column) -> Column:
 
 def lexicon_hits(text: Column, lexicon: Lexicon) -> Column:
     """Words of a text that the lexicon knows, repeats included."""
-    known = lexicon.words()
-    return F.filter(words_of(text), lambda w: w.isin(known))
+    return F.filter(words_of(text), _one_of(lexicon.words()))
+
+
+def _one_of(terms: list[str]):
+    return lambda word: word.isin(terms)
 
 
 def _scores(hits: Column, lexicon: Lexicon) -> list[Column]:
@@ -29,7 +32,7 @@ def _scores(hits: Column, lexicon: Lexicon) -> list[Column]:
         groups = lexicon.by_weight(category)
         score = F.lit(0.0)
         for weight, terms in sorted(groups.items()):
-            count = F.size(F.filter(hits, lambda w, terms=terms: w.isin(terms)))
+            count = F.size(F.filter(hits, _one_of(terms)))
             score = score + count.cast("double") * F.lit(weight)
         scores.append(F.struct((-score).alias("order"), F.lit(category).alias("category")))
     return scores
@@ -40,7 +43,7 @@ def _justification(hits: Column, lexicon: Lexicon, category: Column) -> Column:
     terms = F.lit(None).cast("array<string>")
     for name in lexicon.categories():
         own = [t for c, t, _ in lexicon.terms if c == name]
-        terms = F.when(category == name, F.filter(hits, lambda w, own=own: w.isin(own))).otherwise(terms)
+        terms = F.when(category == name, F.filter(hits, _one_of(own))).otherwise(terms)
     return F.array_join(F.array_sort(F.array_distinct(terms)), ", ")
 
 

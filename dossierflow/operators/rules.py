@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
+from dossierflow.functions.redaction import replacement
 from dossierflow.schemas import CATEGORIES, ENTITY, PII_ITEM, ddl
 
 # ASCII word edges: the built-in \b also counts accented letters as word characters.
@@ -133,41 +134,42 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.when(present, found).otherwise(F.array().cast("array<string>"))
 
 
-def _flatten(parts: list[Column], empty: str) -> Column:
-    return F.concat(*parts) if parts else F.array().cast(empty)
+def _entity(rule: Rule):
+    def build(value: Column) -> Column:
+        return F.struct(
+            F.lit(rule.type).alias("type"), value.alias("value"), F.lit(rule.confidence).alias("confidence")
+        )
 
+    return build
 
-def entities_of(text: Column, rules: Iterable[Rule]) -> Column:
-    """Typed entities of a text: rule by rule, in text order within a rule."""
-    parts = [
-        F.transform(
-            matches(text, rule),
-            lambda v, rule=rule: F.struct(
-                F.lit(rule.type).alias("type"), v.alias("value"), F.lit(rule.confidence).alias("confidence")
-            ),
+
+def _pii_item(rule: PiiRule):
+    def build(value: Column) -> Column:
+        return F.struct(
+            F.lit(rule.type).alias("type"),
+            value.alias("value"),
+            F.lit(rule.strategy).alias("strategy"),
+            replacement(rule.type, rule.strategy, value).alias("replacement"),
         )
-        for rule in rules
-    ]
-    return F.coalesce(_flatten(parts, f"array<{ddl(ENTITY)}>"), F.array().cast(f"array<{ddl(ENTITY)}>"))
+
+    return build
+
+
+def _items(text: Column, rules: Iterable[Rule], build, data_type: str) -> Column:
+    """Items rule by rule, in text order within a rule; none for a NULL text."""
+    parts = [F.transform(matches(text, rule), build(rule)) for rule in rules]
+    empty = F.array().cast(data_type)
+    return F.coalesce(F.concat(*parts), empty) if parts else empty
+
+
+def entities_of(text: Column, rules: Iterable[Rule]) -> Column:
+    """Typed entities of a text."""
+    return _items(text, rules, _entity, f"array<{ddl(ENTITY)}>")
 
 
 def pii_items_of(text: Column, rules: Iterable[PiiRule]) -> Column:
-    """Personal data of a text with strategy and replacement, ordered like entities."""
-    from dossierflow.functions.redaction import replacement
-
-    parts = [
-        F.transform(
-            matches(text, rule),
-            lambda v, rule=rule: F.struct(
-                F.lit(rule.type).alias("type"),
-                v.alias("value"),
-                F.lit(rule.strategy).alias("strategy"),
-                replacement(rule.type, rule.strategy, v).alias("replacement"),
-            ),
-        )
-        for rule in rules
-    ]
-    return F.coalesce(_flatten(parts, f"array<{ddl(PII_ITEM)}>"), F.array().cast(f"array<{ddl(PII_ITEM)}>"))
+    """Personal data of a text with strategy and replacement."""
+    return _items(text, rules, _pii_item, f"array<{ddl(PII_ITEM)}>")
 
 
 @dataclass(frozen=True)
