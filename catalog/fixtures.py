@@ -9,6 +9,7 @@ from catalog.registry import table, view
 from dossierflow.functions.paths import safe_filename
 from dossierflow.operators.rules import Lexicon
 from dossierflow.plans import status as st
+from dossierflow.plans.runs import spread_small
 from dossierflow.settings import Settings
 
 # --- uploads: every document as an upload of several file types, names that collide ---
@@ -120,7 +121,7 @@ view(
 
 
 def statements(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
+    orders = spread_small(table(spark, sf, "orders"))
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
     return joined.select(F.col("o_orderkey").alias("doc_id"), F.expr(STATEMENT_TEXT).alias("text"))

@@ -26,7 +26,7 @@ _COUNTS = ("CAST(entities_count AS int) AS entities_count", "CAST(pii_items_mask
 
 
 def wide(spark, sf, **changes):
-    return run_stages(fx.run_docs(spark, sf), fx.run_settings(**changes))
+    return run_stages(runs.spread_small(fx.run_docs(spark, sf)), fx.run_settings(**changes))
 
 
 @query(
@@ -311,7 +311,7 @@ view(
 
 def spans_of(spark, sf):
     settings = fx.run_settings()
-    return sp.spans(run_stages(fx.run_docs(spark, sf), settings), settings)
+    return sp.spans(wide(spark, sf), settings)
 
 
 @query(

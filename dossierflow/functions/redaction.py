@@ -23,38 +23,36 @@ def mask_entities(entities: Column) -> Column:
     return F.transform(entities, one)
 
 
-def mask_tail(value: Column) -> Column:
+def _mask_tail(v: str) -> str:
     """Letters and digits before the last four characters become '*'; short values
     are hidden in full."""
-    head = F.greatest(F.length(value) - 4, F.lit(0))
-    starred = F.regexp_replace(F.left(value, head), "[A-Za-z0-9]", "*")
-    return F.when(
-        F.length(value) > 4, F.concat(starred, F.right(value, F.lit(4)))
-    ).otherwise(F.regexp_replace(value, "[A-Za-z0-9]", "*"))
+    starred = f"regexp_replace(left({v}, greatest(length({v}) - 4, 0)), '[A-Za-z0-9]', '*')"
+    return (
+        f"CASE WHEN length({v}) > 4 THEN concat({starred}, right({v}, 4)) "
+        f"ELSE regexp_replace({v}, '[A-Za-z0-9]', '*') END"
+    )
 
 
-def generalize(pii_type: str, value: Column) -> Column:
-    """A coarser value: year of a date, order of magnitude of an amount, last part
-    of an address."""
+def _generalize(pii_type: str, v: str) -> str:
+    """A coarser value: year of a date, order of magnitude of an amount, last part of
+    an address."""
     if pii_type == "date_of_birth":
-        year = F.regexp_extract(value, "[0-9]{4}", 0)
-        return F.when(year != "", year).otherwise(F.lit(REDACTED))
+        return f"coalesce(nullif(regexp_extract({v}, '[0-9]{{4}}', 0), ''), '{REDACTED}')"
     if pii_type in ("salary_income", "financial_account_details"):
-        whole = F.regexp_replace(F.regexp_extract(value, r"[0-9][0-9,]*", 0), ",", "")
-        return F.when(whole != "", F.concat(F.lit("$"), F.rpad(F.lit("1"), F.length(whole), F.lit("0")), F.lit("+"))
-                      ).otherwise(F.lit(REDACTED))
+        digits = f"length(regexp_replace(regexp_extract({v}, '[0-9][0-9,]*', 0), ',', ''))"
+        return f"CASE WHEN {digits} > 0 THEN concat('$', rpad('1', {digits}, '0'), '+') ELSE '{REDACTED}' END"
     if pii_type == "address":
-        parts = F.split(value, ",")
-        return F.when(F.size(parts) > 1, F.btrim(F.element_at(parts, -1))).otherwise(F.lit(REDACTED))
-    return F.lit(REDACTED)
+        return f"CASE WHEN contains({v}, ',') THEN trim(element_at(split({v}, ','), -1)) ELSE '{REDACTED}' END"
+    return f"'{REDACTED}'"
 
 
-def replacement(pii_type: str, strategy: str, value: Column) -> Column:
+def replacement_sql(pii_type: str, strategy: str, value: str) -> str:
+    """SQL of what replaces ``value`` (itself SQL) under a strategy."""
     if strategy == "MASK":
-        return mask_tail(value)
+        return _mask_tail(value)
     if strategy == "GENERALIZE":
-        return generalize(pii_type, value)
-    return F.lit(REDACTED)
+        return _generalize(pii_type, value)
+    return f"'{REDACTED}'"
 
 
 def apply_replacements(text: Column, items: Column) -> Column:

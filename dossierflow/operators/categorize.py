@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossierflow.operators.rules import Lexicon
+from dossierflow.operators.rules import Lexicon, sql_text
 from dossierflow.schemas import UNKNOWN_CATEGORY
 
 # Largest lexicon written into the plan; larger ones go through the join.
@@ -16,35 +16,33 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def lexicon_hits(text: Column, lexicon: Lexicon) -> Column:
-    """Words of a text that the lexicon knows, repeats included."""
-    return F.filter(words_of(text), _one_of(lexicon.words()))
+def _among(words: str, terms: list[str]) -> str:
+    return f"filter({words}, w -> w IN ({', '.join(sql_text(t) for t in terms)}))"
 
 
-def _one_of(terms: list[str]):
-    return lambda word: word.isin(terms)
+def lexicon_hits(text: str, lexicon: Lexicon) -> Column:
+    """Words of the text column that the lexicon knows, repeats included."""
+    words = f"regexp_extract_all(lower(coalesce({text}, '')), '{WORD}', 0)"
+    return F.expr(_among(words, lexicon.words()))
 
 
-def _scores(hits: Column, lexicon: Lexicon) -> list[Column]:
-    """One struct per category, ordered so that the natural order is the ranking."""
+def _ranked(hits: str, lexicon: Lexicon) -> Column:
+    """(order, category) of every category with a hit, best first."""
     scores = []
     for category in lexicon.categories():
-        groups = lexicon.by_weight(category)
-        score = F.lit(0.0)
-        for weight, terms in sorted(groups.items()):
-            count = F.size(F.filter(hits, _one_of(terms)))
-            score = score + count.cast("double") * F.lit(weight)
-        scores.append(F.struct((-score).alias("order"), F.lit(category).alias("category")))
-    return scores
+        groups = sorted(lexicon.by_weight(category).items())
+        score = " + ".join(f"size({_among(hits, terms)}) * CAST({weight} AS double)" for weight, terms in groups)
+        scores.append(f"named_struct('order', -({score}), 'category', {sql_text(category)})")
+    return F.expr(f"filter(array_sort(array({', '.join(scores)})), s -> s.order < 0)")
 
 
-def _justification(hits: Column, lexicon: Lexicon, category: Column) -> Column:
+def _justification(hits: str, lexicon: Lexicon, category: str) -> str:
     """Matched terms of one category, in alphabetical order."""
-    terms = F.lit(None).cast("array<string>")
-    for name in lexicon.categories():
-        own = [t for c, t, _ in lexicon.terms if c == name]
-        terms = F.when(category == name, F.filter(hits, _one_of(own))).otherwise(terms)
-    return F.array_join(F.array_sort(F.array_distinct(terms)), ", ")
+    cases = " ".join(
+        f"WHEN {sql_text(name)} THEN {_among(hits, [t for c, t, _ in lexicon.terms if c == name])}"
+        for name in lexicon.categories()
+    )
+    return f"coalesce(array_join(array_sort(array_distinct(CASE {category} {cases} END)), ', '), '')"
 
 
 def with_categorization(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "categorization") -> DataFrame:
@@ -52,35 +50,20 @@ def with_categorization(df: DataFrame, lexicon: Lexicon, text: str = "text", out
     the category's share of the whole score; documents without a hit are Unknown."""
     if not 0 < len(lexicon) <= INLINE_TERMS:
         raise ValueError("use categorize_by_join for an empty lexicon or one above INLINE_TERMS")
-    hits = F.col("_hits")
-    ranked = F.filter(F.sort_array(F.array(*_scores(hits, lexicon))), lambda s: s["order"] < 0)
-    first, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
-    total = F.aggregate("_ranked", F.lit(0.0), lambda acc, s: acc - s["order"])
-
-    def share(entry: Column) -> Column:
-        return F.when(entry.isNull(), F.lit(0.0)).otherwise(F.round(-entry["order"] / F.col("_total"), 4))
 
-    def name(entry: Column) -> Column:
-        return F.coalesce(entry["category"], F.lit(UNKNOWN_CATEGORY))
-
-    def reason(entry: Column) -> Column:
-        return F.coalesce(_justification(hits, lexicon, entry["category"]), F.lit(""))
+    def fields(prefix: str, index: int) -> list[str]:
+        entry = f"get(_ranked, {index})"
+        return [
+            f"'{prefix}_category', coalesce({entry}.category, '{UNKNOWN_CATEGORY}')",
+            f"'{prefix}_confidence', coalesce(round(-{entry}.order / _total, 4), CAST(0.0 AS double))",
+            f"'{prefix}_justification', {_justification('_hits', lexicon, entry + '.category')}",
+        ]
 
     return (
-        df.withColumn("_hits", lexicon_hits(F.coalesce(F.col(text), F.lit("")), lexicon))
-        .withColumn("_ranked", ranked)
-        .withColumn("_total", total)
-        .withColumn(
-            out,
-            F.struct(
-                name(first).alias("primary_category"),
-                share(first).alias("primary_confidence"),
-                reason(first).alias("primary_justification"),
-                name(second).alias("secondary_category"),
-                share(second).alias("secondary_confidence"),
-                reason(second).alias("secondary_justification"),
-            ),
-        )
+        df.withColumn("_hits", lexicon_hits(text, lexicon))
+        .withColumn("_ranked", _ranked("_hits", lexicon))
+        .withColumn("_total", F.expr("aggregate(_ranked, CAST(0.0 AS double), (total, s) -> total - s.order)"))
+        .withColumn(out, F.expr(f"named_struct({', '.join(fields('primary', 0) + fields('secondary', 1))})"))
         .drop("_hits", "_ranked", "_total")
     )
 

@@ -12,7 +12,7 @@ from dossierflow.operators.rules import PII_RULES, PiiRule, pii_items_of
 
 def with_pii_items(df: DataFrame, rules: Iterable[PiiRule] = PII_RULES, text: str = "text", out: str = "pii_items") -> DataFrame:
     """Adds array<struct<type, value, strategy, replacement>>."""
-    return df.withColumn(out, pii_items_of(F.col(text), rules))
+    return df.withColumn(out, pii_items_of(text, rules))
 
 
 def with_safe_text(df: DataFrame, text: str = "text", items: str = "pii_items", out: str = "safe_text") -> DataFrame:

@@ -11,7 +11,7 @@ from dossierflow.operators.rules import ENTITY_RULES, Rule, entities_of
 
 def with_entities(df: DataFrame, rules: Iterable[Rule] = ENTITY_RULES, text: str = "text", out: str = "entities") -> DataFrame:
     """Adds array<struct<type, value, confidence>>: one pass over each text for all rules."""
-    return df.withColumn(out, entities_of(F.col(text), rules))
+    return df.withColumn(out, entities_of(text, rules))
 
 
 def rules_for(rules: Iterable[Rule], *types: str) -> tuple[Rule, ...]:

@@ -3,7 +3,9 @@
 A rule is one pattern for one type. ``needs`` lists texts of which at least one is
 part of every match, ``probe`` is a cheaper pattern that every match contains: a
 search for them lets most texts skip the pattern itself.
-Repetitions are bounded wherever a failed match could be retried from each position.
+Repetitions are bounded wherever a failed match could be retried from each position,
+and a pattern starts with a look at the first character, so that most positions of a
+text are left after one test.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from dossierflow.functions.redaction import replacement
+from dossierflow.functions.redaction import replacement_sql
 from dossierflow.schemas import CATEGORIES, ENTITY, PII_ITEM, ddl
 
 # ASCII word edges: the built-in \b also counts accented letters as word characters.
@@ -23,46 +25,46 @@ END = "(?![0-9A-Za-z_])"
 MONTHS = (
     "January|February|March|April|May|June|July|August|September|October|November|December"
 )
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 PHONE = (
-    rf"(?:\+1[ .-]?|{START}1[ .-])?(?:\([0-9]{{3}}\) ?|{START}[0-9]{{3}}[.-])"
+    rf"(?=[+(0-9])(?:\+1[ .-]?|{START}1[ .-])?(?:\([0-9]{{3}}\) ?|{START}[0-9]{{3}}[.-])"
     rf"[0-9]{{3}}[.-][0-9]{{4}}{END}"
 )
 DATE = (
-    rf"{START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}"
+    rf"(?=[0-9JFMASOND]){START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}"
     rf"|(?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}}){END}"
 )
-MONEY = r"-?\$(?:[0-9]{1,3}(?:,[0-9]{3}){1,6}|[0-9]{1,18})(?:\.[0-9]{2})?"
-RATE = rf"{START}[0-9]{{1,3}}(?:\.[0-9]{{1,4}})?%"
-SSN = rf"(?:{START}[0-9]{{3}}|\*{{3}}|{START}X{{3}})-(?:[0-9]{{2}}|\*{{2}}|X{{2}})-[0-9]{{4}}{END}"
-EIN = rf"{START}[0-9]{{2}}-[0-9]{{7}}{END}"
-ACCOUNT_LABEL = r"(?:Account|Card|Loan|Policy|Member) (?:Number|No\.|ID):? ?"
+MONEY = r"(?=[-$])-?\$(?:[0-9]{1,3}(?:,[0-9]{3}){1,6}|[0-9]{1,18})(?:\.[0-9]{2})?"
+RATE = rf"(?=[0-9]){START}[0-9]{{1,3}}(?:\.[0-9]{{1,4}})?%"
+SSN = rf"(?=[0-9*X])(?:{START}[0-9]{{3}}|\*{{3}}|{START}X{{3}})-(?:[0-9]{{2}}|\*{{2}}|X{{2}})-[0-9]{{4}}{END}"
+EIN = rf"(?=[0-9]){START}[0-9]{{2}}-[0-9]{{7}}{END}"
+ACCOUNT_LABEL = r"(?=[ACLPM])(?:Account|Card|Loan|Policy|Member) (?:Number|No\.|ID):? ?"
 ACCOUNT = rf"{ACCOUNT_LABEL}([0-9A-Z*]{{1,12}}(?:[ -][0-9A-Z*]{{1,12}}){{0,6}}){END}"
 CAPITALIZED = r"[A-Z][A-Za-z'.-]{0,30}"
 PERSON_LABEL = (
-    r"(?:Account Holder|Primary Borrower|Co-Borrower|Borrower|Name|Insured|Primary|Contingent|Advisor):"
+    r"(?=[ABCINP])(?:Account Holder|Primary Borrower|Co-Borrower|Borrower|Name|Insured|Primary|Contingent|Advisor):"
 )
 PERSON = rf"{PERSON_LABEL} ({CAPITALIZED}(?: {CAPITALIZED}){{1,3}})"
-ORGANIZATION_LABEL = r"(?:Bank|Lender|Employer|Issuer|Company|Institution|Insurer):"
+ORGANIZATION_LABEL = r"(?=[BLEIC])(?:Bank|Lender|Employer|Issuer|Company|Institution|Insurer):"
 ORGANIZATION = rf"{ORGANIZATION_LABEL} ({CAPITALIZED}(?: {CAPITALIZED}){{0,5}})"
 FIRM = (
-    rf"{START}([A-Z][A-Za-z&]{{1,30}}(?: [A-Z][A-Za-z&]{{1,30}}){{0,4}} "
+    rf"(?=[A-Z]){START}([A-Z][A-Za-z&]{{1,30}}(?: [A-Z][A-Za-z&]{{1,30}}){{0,4}} "
     rf"(?:Bank|Inc\.|LLC|Corporation|Insurance Company|Credit Union))"
 )
 STREET = r"(?:Street|Avenue|Road|Drive|Lane|Boulevard|Way|Court|Plaza)"
 ADDRESS = (
-    rf"{START}[0-9]{{1,6}} (?:[A-Z][A-Za-z.]{{0,20}} ){{1,4}}{STREET}{END}"
+    rf"(?=[0-9]){START}[0-9]{{1,6}} (?:[A-Z][A-Za-z.]{{0,20}} ){{1,4}}{STREET}{END}"
     r"(?:, [A-Z][A-Za-z]{0,20}(?: [A-Z][A-Za-z]{0,20}){0,2})?(?:, [A-Z]{2} [0-9]{5})?"
 )
 STREET_WORDS = ("Street", "Avenue", "Road", "Drive", "Lane", "Boulevard", "Way", "Court", "Plaza")
-CREDIT_SCORE = rf"(?:Credit Score|FICO Score|FICO): ?([0-9]{{3}}){END}"
-PROPERTY = r"(?:Property Address|Property|Collateral): ([^\r\n]+)"
-ROUTING = rf"(?:Routing Number|ABA Number|ABA): ?([0-9]{{9}}){END}"
-LICENSE = rf"(?:Driver's License|Driver License): ?([A-Z0-9]{{5,20}}){END}"
-BIRTH = rf"(?:Date of Birth|DOB): ?({DATE})"
-INCOME = rf"(?:Annual Income|Monthly Income|Salary|Compensation): ?({MONEY})"
+CREDIT_SCORE = rf"(?=[CF])(?:Credit Score|FICO Score|FICO): ?([0-9]{{3}}){END}"
+PROPERTY = r"(?=[PC])(?:Property Address|Property|Collateral): ([^\r\n]+)"
+ROUTING = rf"(?=[RA])(?:Routing Number|ABA Number|ABA): ?([0-9]{{9}}){END}"
+LICENSE = rf"(?=D)(?:Driver's License|Driver License): ?([A-Z0-9]{{5,20}}){END}"
+BIRTH = rf"(?=D)(?:Date of Birth|DOB): ?({DATE})"
+INCOME = rf"(?=[AMSC])(?:Annual Income|Monthly Income|Salary|Compensation): ?({MONEY})"
 BALANCE = (
-    r"(?:Beginning Balance|Ending Balance|Previous Balance|New Balance|Current Balance|Balance)"
+    r"(?=[BEPNC])(?:Beginning Balance|Ending Balance|Previous Balance|New Balance|Current Balance|Balance)"
     rf"[^$\r\n]{{0,20}}({MONEY})"
 )
 LABEL_NEEDS = ("Holder:", "Borrower:", "Name:", "Insured:", "Primary:", "Contingent:", "Advisor:")
@@ -123,53 +125,83 @@ PII_RULES: tuple[PiiRule, ...] = (
 )
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """All values of one rule in a text, in text order."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    if not rule.needs and not rule.probe:
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches_sql(text: str, rule: Rule) -> str:
+    """All values of one rule in the text column, in text order."""
+    found = f"regexp_extract_all({text}, {sql_text(rule.pattern)}, {rule.group})"
+    tests = [f"contains({text}, {sql_text(need)})" for need in rule.needs]
+    if rule.probe:
+        tests.append(f"regexp_like({text}, {sql_text(rule.probe)})")
+    if not tests:
         return found
-    present = F.regexp_like(text, F.lit(rule.probe)) if rule.probe else F.lit(False)
-    for need in rule.needs:
-        present = present | F.contains(text, F.lit(need))
-    return F.when(present, found).otherwise(F.array().cast("array<string>"))
+    return f"CASE WHEN {' OR '.join(tests)} THEN {found} ELSE CAST(array() AS array<string>) END"
 
 
-def _entity(rule: Rule):
-    def build(value: Column) -> Column:
-        return F.struct(
-            F.lit(rule.type).alias("type"), value.alias("value"), F.lit(rule.confidence).alias("confidence")
-        )
+def _key(rule: Rule) -> tuple:
+    return (rule.pattern, rule.group, rule.needs, rule.probe)
 
-    return build
 
+class SharedMatches:
+    """Matches of two rule sets with each distinct pattern searched once.
 
-def _pii_item(rule: PiiRule):
-    def build(value: Column) -> Column:
-        return F.struct(
-            F.lit(rule.type).alias("type"),
-            value.alias("value"),
-            F.lit(rule.strategy).alias("strategy"),
-            replacement(rule.type, rule.strategy, value).alias("replacement"),
-        )
+    ``columns`` gives one expression per pattern, to be added to the rows; Catalyst
+    drops those that nothing reads. ``sql`` is what stands for a rule's matches then.
+    """
+
+    def __init__(self, first: Iterable[Rule], second: Iterable[Rule], prefix: str = "_match"):
+        first, second = list(first), list(second)
+        keys = dict.fromkeys(_key(r) for r in [*second, *first])
+        self.names = {key: f"{prefix}{i}" for i, key in enumerate(keys)}
+        in_second = {_key(r) for r in second}
+        self.rules = {_key(r): (r, _key(r) in in_second) for r in [*first, *second]}
+
+    def columns(self, text_of_first: str, text_of_second: str) -> dict[str, Column]:
+        """Patterns only the first set has read the first text, all others the second."""
+        return {
+            self.names[key]: F.expr(matches_sql(text_of_second if shared else text_of_first, rule))
+            for key, (rule, shared) in self.rules.items()
+        }
 
-    return build
+    def sql(self, text: str, rule: Rule) -> str:
+        return self.names[_key(rule)]
 
 
-def _items(text: Column, rules: Iterable[Rule], build, data_type: str) -> Column:
-    """Items rule by rule, in text order within a rule; none for a NULL text."""
-    parts = [F.transform(matches(text, rule), build(rule)) for rule in rules]
-    empty = F.array().cast(data_type)
-    return F.coalesce(F.concat(*parts), empty) if parts else empty
+def _items(text: str, rules: Iterable[Rule], item, data_type: str, search) -> Column:
+    """Items rule by rule, in text order within a rule; none for a NULL text.
 
+    The expression is handed over as text: it has hundreds of nodes, and building it
+    call by call would take longer than planning it.
+    """
+    parts = [f"transform({search(text, rule)}, v -> {item(rule)})" for rule in rules]
+    empty = f"CAST(array() AS {data_type})"
+    if not parts:
+        return F.expr(empty)
+    return F.expr(f"CASE WHEN {text} IS NULL THEN {empty} ELSE concat({', '.join(parts)}) END")
 
-def entities_of(text: Column, rules: Iterable[Rule]) -> Column:
-    """Typed entities of a text."""
-    return _items(text, rules, _entity, f"array<{ddl(ENTITY)}>")
 
+def entities_of(text: str, rules: Iterable[Rule], search=matches_sql) -> Column:
+    """Typed entities of the text column ``text``."""
+
+    def item(rule: Rule) -> str:
+        return f"named_struct('type', {sql_text(rule.type)}, 'value', v, 'confidence', CAST({rule.confidence} AS double))"
+
+    return _items(text, rules, item, f"array<{ddl(ENTITY)}>", search)
+
+
+def pii_items_of(text: str, rules: Iterable[PiiRule], search=matches_sql) -> Column:
+    """Personal data of the text column ``text`` with strategy and replacement."""
+
+    def item(rule: PiiRule) -> str:
+        return (
+            f"named_struct('type', {sql_text(rule.type)}, 'value', v, 'strategy', {sql_text(rule.strategy)}, "
+            f"'replacement', {replacement_sql(rule.type, rule.strategy, 'v')})"
+        )
 
-def pii_items_of(text: Column, rules: Iterable[PiiRule]) -> Column:
-    """Personal data of a text with strategy and replacement."""
-    return _items(text, rules, _pii_item, f"array<{ddl(PII_ITEM)}>")
+    return _items(text, rules, item, f"array<{ddl(PII_ITEM)}>", search)
 
 
 @dataclass(frozen=True)

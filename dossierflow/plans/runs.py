@@ -23,7 +23,7 @@ from dossierflow.operators.categorize import with_categorization
 from dossierflow.operators.extract import item_count
 from dossierflow.operators.ingest import ingest_error, ingest_struct, is_supported
 from dossierflow.operators.parse import native_text, parse_error, parse_struct, parsed_error, parsed_text
-from dossierflow.operators.rules import entities_of, pii_items_of
+from dossierflow.operators.rules import SharedMatches, entities_of, matches_sql, pii_items_of
 from dossierflow.operators.scoring import reply_column
 from dossierflow.schemas import (
     CATEGORIZATION,
@@ -118,7 +118,18 @@ def _scored(df: DataFrame, stage: str, settings: Settings) -> DataFrame:
     return df.withColumn("_value", parse_reply(F.col("_reply"))).drop("_prompt")
 
 
-def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool) -> DataFrame:
+def _with_matches(df: DataFrame, settings: Settings) -> tuple[DataFrame, SharedMatches]:
+    """Adds the matches that extract and deidentify build their items from."""
+    shared = SharedMatches(settings.entity_rules, settings.pii_rules)
+    texts = {
+        "_extract_text": F.when(_due("extract"), F.col("_joined")),
+        "_deidentify_text": F.when(_due("deidentify"), F.col("_joined")),
+    }
+    df = df.withColumns(texts).withColumns(shared.columns("_extract_text", "_deidentify_text"))
+    return df.drop(*texts), shared
+
+
+def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, search) -> DataFrame:
     out, data_type, key = {
         "categorize": ("categorization", CATEGORIZATION, None),
         "extract": ("extraction", EXTRACTION, "entities"),
@@ -134,20 +145,32 @@ def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool) -
     else:
         df = df.withColumn(f"{stage}_reply", _null(REPLY))
         message = F.lit(None).cast("string")
+        df = df.withColumn("_scan", F.when(due, F.col("_joined")))
         if stage == "categorize":
-            df = df.withColumn("_scan", F.when(due, F.col("_joined")))
-            df = with_categorization(df, settings.lexicon, text="_scan", out="_native").drop("_scan")
+            df = with_categorization(df, settings.lexicon, text="_scan", out="_native")
             result = F.col("_native")
         elif stage == "extract":
-            result = F.struct(entities_of(F.col("_joined"), settings.entity_rules), F.lit(None).cast("string"))
+            result = F.struct(entities_of("_scan", settings.entity_rules, search), F.lit(None).cast("string"))
         else:
-            result = F.struct(pii_items_of(F.col("_joined"), settings.pii_rules), F.lit(None).cast("string"))
+            result = F.struct(pii_items_of("_scan", settings.pii_rules, search), F.lit(None).cast("string"))
     df = df.withColumn("_message", message)
     fresh = F.when(due & F.col("_message").isNull(), result.cast(ddl(data_type)))
     if resumed and stage != "deidentify":
         fresh = F.when(F.col("start_index") > RESUMABLE_STAGES.index(stage), F.col(f"cached_{out}")).otherwise(fresh)
     df = df.withColumn(out, F.coalesce(fresh, _null(data_type)))
-    return _fail(df, stage, F.col("_message"), settings, due).drop("_message", "_native", "_reply", "_value")
+    return _fail(df, stage, F.col("_message"), settings, due).drop("_message", "_native", "_reply", "_value", "_scan")
+
+
+def spread_small(docs: DataFrame, bytes_per_core: int = 8 * 1024 * 1024) -> DataFrame:
+    """The stages are bound by CPU, so an input of fewer bytes than the cluster's cores
+    could each take in one go is dealt out to all cores first. Its size is the planner's
+    estimate and no job runs for it; larger inputs have splits enough and keep theirs."""
+    if docs.isStreaming:
+        return docs
+    session = docs.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(cores) if size < cores * bytes_per_core else docs
 
 
 def run_stages(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -167,9 +190,13 @@ def run_stages(docs: DataFrame, settings: Settings) -> DataFrame:
     df = df.withColumn("file_size_bytes", F.octet_length("content").cast("long"))
     df = _parse(df, settings, resumed)
     df = df.withColumn("_joined", join_pages(F.col("parse.pages")))
+    search, found = matches_sql, []
     for stage in MODEL_STAGES:
-        df = _model_stage(df, stage, settings, resumed)
-    return _outcome(df, settings, resumed).drop("_joined", "content", "payload")
+        if stage == "extract" and not {"extract", "deidentify"} & set(settings.scorers):
+            df, shared = _with_matches(df, settings)
+            search, found = shared.sql, list(shared.names.values())
+        df = _model_stage(df, stage, settings, resumed, search)
+    return _outcome(df, settings, resumed).drop("_joined", "content", "payload", *found)
 
 
 def _outcome(df: DataFrame, settings: Settings, resumed: bool) -> DataFrame:
