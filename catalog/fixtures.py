@@ -152,7 +152,7 @@ view("lexicon", f"SELECT * FROM (VALUES {lexicon_values(COMMON_WORDS)}) AS v(cat
 view(
     "payloads",
     """SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN [] ELSE
-            list_append(list_append(list_transform(string_split(text, chr(10))[1:5],
+            list_append(list_append(list_transform(string_split(text, chr(10)),
                 lambda line: json_object('content', line)), json_object('content', NULL)),
                 json_object('id', 1, 'content', 7)) END AS elements,
         CASE WHEN doc_id % 11 = 0 THEN 'E' || doc_id END AS error_status FROM documents""",
@@ -161,8 +161,7 @@ view(
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    lines = F.slice(F.split("text", "\n"), 1, 5)
-    texts = F.transform(lines, lambda t: F.to_json(F.struct(t.alias("content"))))
+    texts = F.transform(F.split("text", "\n"), lambda t: F.to_json(F.struct(t.alias("content"))))
     elements = F.concat(texts, F.array(F.lit('{"content":null}'), F.lit('{"id":1,"content":7}')))
     elements = F.when(F.col("doc_id") % 13 == 0, F.array().cast("array<string>")).otherwise(elements)
     error = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit('"E'), F.col("doc_id"), F.lit('"'))).otherwise(F.lit("null"))

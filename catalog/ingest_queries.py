@@ -85,14 +85,16 @@ def ingest_manifest(spark, sf):
 @query(
     "ingest_new_only",
     """SELECT volume_path, min(doc_id) AS doc_id, arg_min(filename, doc_id) AS filename, count(*) - 1 AS refused
-    FROM uploads WHERE doc_id % 4 <> 0
-    AND volume_path NOT IN (SELECT volume_path FROM uploads WHERE doc_id % 4 = 0) GROUP BY volume_path""",
+    FROM uploads WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    AND volume_path NOT IN (SELECT volume_path FROM uploads JOIN labels USING (doc_id)) GROUP BY volume_path""",
     ("uploads",),
 )
 def ingest_new_only(spark, sf):
+    """Labelled documents have landed before; the others are uploaded without overwrite."""
     up = fx.uploads(spark, sf).select("volume_path", "doc_id", "filename")
-    existing = ingest.manifest(up.filter("doc_id % 4 = 0"), "doc_id")
-    return ingest.new_only(up.filter("doc_id % 4 <> 0"), existing, "doc_id")
+    labels = table(spark, sf, "labels").select("doc_id")
+    existing = ingest.manifest(up.join(labels, "doc_id", "left_semi"), "doc_id")
+    return ingest.new_only(up.join(labels, "doc_id", "left_anti"), existing, "doc_id")
 
 
 @query(

@@ -60,17 +60,21 @@ MARKDOWN = (
 )
 
 
-@query(
-    "parse_markdown",
-    "SELECT doc_id, md5(source || chr(10) || lang || ' see notes' || chr(10) || chr(10) || "
-    "replace(replace(replace(text, '**', ''), '__', ''), '`', '') || chr(10) || chr(10) || 'end *kept*') AS text_md5 "
-    "FROM documents WHERE NOT regexp_matches(text, '(?m)^[ \\t]*(#|>|[*+-])') AND NOT contains(text, '](') AND NOT contains(text, '***')",
-)
+_MD = rf"({MARKDOWN})"
+for _pattern, _with in (
+    (r"(?m)^[ \t]*```[^\n]*$", ""),
+    (r"(?m)^[ \t]{0,3}(?:#{1,6}|>|[*+-])[ \t]+", ""),
+    (r"!?\[([^\[\]\n]*)\]\([^()\n]*\)", r"\1"),
+    (r"\*\*|__|`", ""),
+):
+    _MD = f"regexp_replace({_MD}, '{_pattern}', '{_with}', 'g')"
+
+
+@query("parse_markdown", f"SELECT doc_id, md5({_MD}) AS text_md5, CAST(length({_MD}) AS bigint) AS text_length FROM documents")
 def parse_markdown(spark, sf):
-    """Markdown made of every document whose own lines hold no markers of their own."""
-    docs = table(spark, sf, "documents")
-    plain = docs.filter(r"NOT text RLIKE '(?md)^[ \\t]*(#|>|[*+-])' AND NOT contains(text, '](') AND NOT contains(text, '***')")
-    return plain.select("doc_id", F.md5(tx.markdown_to_text(F.expr(MARKDOWN))).alias("text_md5"))
+    """Markdown made of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", tx.markdown_to_text(F.expr(MARKDOWN)).alias("t"))
+    return docs.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("text_length"))
 
 
 @query("parse_pages",

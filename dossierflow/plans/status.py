@@ -169,13 +169,11 @@ def reset_stuck_events(status: DataFrame, now: Column, limit: int | None = 1000)
 def stage_counts(status: DataFrame) -> DataFrame:
     """Files being processed per stage, empty stages included, and in total; the total
     also counts files at a stage of another name."""
-    processing = status.filter("status = 'processing'").groupBy(F.lower("current_stage").alias("stage")).count()
-    # five fixed stages and the total: each input row feeds its stage and the total
-    names = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(s).alias("stage")) for i, s in enumerate(STAGES)],
-                    F.struct(F.lit(len(STAGES)).alias("position"), F.lit("total").alias("stage")))
-    one = status.sparkSession.range(1).select(F.inline(names))
-    total = processing.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count")).withColumn("stage", F.lit("total"))
-    counts = processing.filter(F.col("stage").isin(STAGES)).unionByName(total)
-    return F.broadcast(one).join(counts, "stage", "left").select(
-        "position", "stage", F.coalesce("count", F.lit(0)).alias("n")
-    )
+    stage = F.lower("current_stage")
+    counters = [F.count_if(stage == s).alias(s) for s in STAGES]
+    counts = status.filter("status = 'processing'").agg(*counters, F.count("*").alias("total"))
+    rows = [
+        F.struct(F.lit(i).alias("position"), F.lit(name).alias("stage"), F.col(name).alias("n"))
+        for i, name in enumerate([*STAGES, "total"])
+    ]
+    return counts.select(F.inline(F.array(*rows)))
