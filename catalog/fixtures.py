@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.registry import table, view
 from dossierflow.functions.paths import safe_filename
 from dossierflow.operators.rules import Lexicon
+from dossierflow.operators.sizes import spread_small
 from dossierflow.plans import status as st
-from dossierflow.plans.runs import spread_small
 from dossierflow.settings import Settings
 
 # --- uploads: every document as an upload of several file types, names that collide ---
@@ -261,7 +261,7 @@ view(
 
 def stage_events(spark: SparkSession, sf: str) -> DataFrame:
     """The update log: one insert per file at its first event, then one update per event."""
-    ev = table(spark, sf, "events").select(
+    ev = spread_small(table(spark, sf, "events")).select(
         F.concat(F.lit("f"), F.col("user_id")).alias("file_id"),
         F.col("ts").cast("timestamp").alias("event_time"),
         F.col("event_id").alias("seq"), "event_id", "event_type",

@@ -7,6 +7,7 @@ from catalog.registry import query, table, view
 from dossierflow.functions.redaction import mask_entities
 from dossierflow.operators import categorize, deidentify, extract
 from dossierflow.operators.rules import DEFAULT_LEXICON, ENTITY_RULES, PII_RULES
+from dossierflow.operators.sizes import spread_small
 
 # --- the rules once more, in the check engine's pattern language: (type, pattern, group, confidence or strategy) ---
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -109,9 +110,13 @@ def _ranked(source: str, lexicon: str) -> str:
 view("finance_lexicon", f"SELECT * FROM (VALUES {fx.lexicon_values(DEFAULT_LEXICON)}) AS v(category, term, weight)")
 
 
+def _documents(spark, sf):
+    return spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("categorize", categorize_sql("documents", "lexicon"), ("lexicon",))
 def categorize_query(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf)
     return categorize.with_categorization(docs, fx.COMMON_WORDS).select("doc_id", "categorization.*")
 
 
@@ -131,7 +136,7 @@ def categorize_by_join(spark, sf):
     words = table(spark, sf, "benchmark").select("item_id", F.explode(categorize.words_of(F.col("text"))).alias("term"))
     lexicon = words.groupBy(F.concat(F.lit("I"), F.col("item_id") % 7).alias("category"), "term").agg(
         F.max(F.lit(1.0) + F.col("item_id") % 3).alias("weight"))
-    return categorize.categorize_by_join(table(spark, sf, "documents").select("doc_id", "text"), lexicon)
+    return categorize.categorize_by_join(_documents(spark, sf), lexicon)
 
 
 @query(
@@ -141,7 +146,7 @@ def categorize_by_join(spark, sf):
     ("lexicon",),
 )
 def categorize_unknown(spark, sf):
-    docs = categorize.with_categorization(table(spark, sf, "documents").select("doc_id", "text"), fx.COMMON_WORDS)
+    docs = categorize.with_categorization(_documents(spark, sf), fx.COMMON_WORDS)
     out = docs.select("doc_id", "categorization.primary_category", "categorization.primary_confidence")
     return out.filter("primary_category = 'Unknown'")
 
@@ -153,7 +158,7 @@ def _entities(df):
 @query("extract_entities", f"SELECT doc_id, {_POS}, type, value, CAST(confidence AS double) AS confidence FROM doc_entities",
        ("doc_entities",))
 def extract_entities(spark, sf):
-    return _entities(table(spark, sf, "documents").select("doc_id", "text"))
+    return _entities(_documents(spark, sf))
 
 
 @query("extract_statements", f"SELECT doc_id, {_POS}, type, value, CAST(confidence AS double) AS confidence FROM st_entities",
@@ -169,7 +174,7 @@ def _one_type(entity_type: str, source: str):
 
     @query(f"extract_{entity_type}", sql, ("statements",) if source == "statements" else ())
     def run(spark, sf):
-        docs = fx.statements(spark, sf) if source == "statements" else table(spark, sf, "documents").select("doc_id", "text")
+        docs = fx.statements(spark, sf) if source == "statements" else _documents(spark, sf)
         found = extract.with_entities(docs, extract.rules_for(ENTITY_RULES, entity_type))
         return extract.entities_long(found).filter("pos IS NOT NULL").groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
@@ -186,7 +191,7 @@ for _type, _source in (
        "SELECT d.doc_id, count(e.doc_id) AS entities_count FROM documents d LEFT JOIN doc_entities e USING (doc_id) GROUP BY d.doc_id",
        ("doc_entities",))
 def entities_count(spark, sf):
-    docs = extract.with_entities(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = extract.with_entities(_documents(spark, sf))
     return docs.select("doc_id", extract.item_count(F.col("entities")).cast("long").alias("entities_count"))
 
 
@@ -202,7 +207,7 @@ def entities_preview(spark, sf):
        f"SELECT d.doc_id, e.pos, e.type, e.value FROM documents d LEFT JOIN (SELECT *, {_POS} FROM doc_entities) e USING (doc_id)",
        ("doc_entities",))
 def entities_long(spark, sf):
-    docs = extract.with_entities(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = extract.with_entities(_documents(spark, sf))
     return extract.entities_long(docs).select("doc_id", "pos", "type", "value")
 
 
@@ -213,7 +218,7 @@ def _pii(df, out="pii_items"):
 
 @query("detect_pii", f"SELECT doc_id, {_POS}, type, value, strategy, replacement FROM doc_pii", ("doc_pii",))
 def detect_pii(spark, sf):
-    return _pii(table(spark, sf, "documents").select("doc_id", "text"))
+    return _pii(_documents(spark, sf))
 
 
 @query("pii_strategies", f"SELECT doc_id, {_POS}, type, value, strategy, replacement FROM st_pii", ("st_pii",))
@@ -263,7 +268,7 @@ def _safe_text(df):
 
 @query("deidentify_text", _replaced_sql("documents", "doc_pii"), ("doc_pii",))
 def deidentify_text(spark, sf):
-    return _safe_text(table(spark, sf, "documents").select("doc_id", "text"))
+    return _safe_text(_documents(spark, sf))
 
 
 @query("deidentify_statements", _replaced_sql("statements", "st_pii"), ("statements", "st_pii"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, table, view
 from catalog.rule_queries import categorize_sql
+from dossierflow.operators.sizes import spread_small
 from dossierflow.plans import resume, results as res, runs, spans as sp, status as st, views
 from dossierflow.plans.runs import run_stages
 from dossierflow.sources import logs
@@ -26,7 +27,7 @@ _COUNTS = ("CAST(entities_count AS int) AS entities_count", "CAST(pii_items_mask
 
 
 def wide(spark, sf, **changes):
-    return run_stages(runs.spread_small(fx.run_docs(spark, sf)), fx.run_settings(**changes))
+    return run_stages(spread_small(fx.run_docs(spark, sf)), fx.run_settings(**changes))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierflow.operators.rules import Lexicon, sql_text
+from dossierflow.operators.sizes import is_broadcastable
 from dossierflow.schemas import UNKNOWN_CATEGORY
 
 # Largest lexicon written into the plan; larger ones go through the join.
@@ -71,19 +72,19 @@ def with_categorization(df: DataFrame, lexicon: Lexicon, text: str = "text", out
 def categorize_by_join(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same classification for a lexicon table of any size (category, term, weight).
 
-    Words are counted per document before they meet the lexicon, and only keys, counts
-    and terms are shuffled; the texts stay where they are. Spark broadcasts the lexicon
-    if its size is below the session's threshold and joins by term otherwise. Returns
-    ``key`` and the six classification fields.
+    A lexicon whose planned size is below the session's broadcast threshold is sent to
+    the words where they are, and only scores are shuffled. For a larger one the words
+    are counted per document first, so that the join by term moves one row per document
+    and term; a term that a third of all documents hold is split by the skew join. The
+    texts themselves never move. Returns ``key`` and the six classification fields.
     """
-    counted = (
-        docs.select(key, F.explode(words_of(F.col(text))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("n"))
-    )
+    words = docs.select(key, F.explode(words_of(F.col(text))).alias("term"))
+    if is_broadcastable(lexicon):
+        hits = words.withColumn("n", F.lit(1)).join(F.broadcast(lexicon), "term")
+    else:
+        hits = words.groupBy(key, "term").agg(F.count("*").alias("n")).join(lexicon, "term")
     scored = (
-        counted.join(lexicon, "term")
-        .groupBy(key, "category")
+        hits.groupBy(key, "category")
         .agg(
             F.sum(F.col("n") * F.col("weight")).alias("score"),
             # at most one entry per lexicon term of the category

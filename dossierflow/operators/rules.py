@@ -4,8 +4,8 @@ A rule is one pattern for one type. ``needs`` lists texts of which at least one
 part of every match, ``probe`` is a cheaper pattern that every match contains: a
 search for them lets most texts skip the pattern itself.
 Repetitions are bounded wherever a failed match could be retried from each position,
-and a pattern starts with a look at the first character, so that most positions of a
-text are left after one test.
+and a pattern starts with a cheap look at its first characters, so that most positions
+of a text are left after one test.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ PHONE = (
     rf"[0-9]{{3}}[.-][0-9]{{4}}{END}"
 )
 DATE = (
-    rf"(?=[0-9JFMASOND]){START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}"
+    rf"(?=[0-9]{{1,4}}[-/]|[JFMASOND]){START}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}"
     rf"|(?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}}){END}"
 )
 MONEY = r"(?=[-$])-?\$(?:[0-9]{1,3}(?:,[0-9]{3}){1,6}|[0-9]{1,18})(?:\.[0-9]{2})?"
-RATE = rf"(?=[0-9]){START}[0-9]{{1,3}}(?:\.[0-9]{{1,4}})?%"
-SSN = rf"(?=[0-9*X])(?:{START}[0-9]{{3}}|\*{{3}}|{START}X{{3}})-(?:[0-9]{{2}}|\*{{2}}|X{{2}})-[0-9]{{4}}{END}"
-EIN = rf"(?=[0-9]){START}[0-9]{{2}}-[0-9]{{7}}{END}"
+RATE = rf"(?=[0-9]{{1,3}}[.%]){START}[0-9]{{1,3}}(?:\.[0-9]{{1,4}})?%"
+SSN = rf"(?=[0-9*X]{{3}}-)(?:{START}[0-9]{{3}}|\*{{3}}|{START}X{{3}})-(?:[0-9]{{2}}|\*{{2}}|X{{2}})-[0-9]{{4}}{END}"
+EIN = rf"(?=[0-9]{{2}}-){START}[0-9]{{2}}-[0-9]{{7}}{END}"
 ACCOUNT_LABEL = r"(?=[ACLPM])(?:Account|Card|Loan|Policy|Member) (?:Number|No\.|ID):? ?"
 ACCOUNT = rf"{ACCOUNT_LABEL}([0-9A-Z*]{{1,12}}(?:[ -][0-9A-Z*]{{1,12}}){{0,6}}){END}"
 CAPITALIZED = r"[A-Z][A-Za-z'.-]{0,30}"
@@ -53,7 +53,7 @@ FIRM = (
 )
 STREET = r"(?:Street|Avenue|Road|Drive|Lane|Boulevard|Way|Court|Plaza)"
 ADDRESS = (
-    rf"(?=[0-9]){START}[0-9]{{1,6}} (?:[A-Z][A-Za-z.]{{0,20}} ){{1,4}}{STREET}{END}"
+    rf"(?=[0-9]{{1,6}} [A-Z]){START}[0-9]{{1,6}} (?:[A-Z][A-Za-z.]{{0,20}} ){{1,4}}{STREET}{END}"
     r"(?:, [A-Z][A-Za-z]{0,20}(?: [A-Z][A-Za-z]{0,20}){0,2})?(?:, [A-Z]{2} [0-9]{5})?"
 )
 STREET_WORDS = ("Street", "Avenue", "Road", "Drive", "Lane", "Boulevard", "Way", "Court", "Plaza")

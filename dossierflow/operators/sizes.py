@@ -1,0 +1,30 @@
+"""Decisions by the planner's size estimates; no job runs for them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate, which is the file size for a plain scan and too large
+    rather than too small for joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def is_broadcastable(df: DataFrame) -> bool:
+    """Whether the planned size is below the session's broadcast threshold."""
+    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    units = {"k": 1024, "m": 1024**2, "g": 1024**3}
+    digits = raw.lower().rstrip("b")
+    limit = int(float(digits[:-1]) * units[digits[-1]]) if digits[-1:] in units else int(digits)
+    return 0 <= planned_bytes(df) < limit
+
+
+def spread_small(docs: DataFrame, bytes_per_core: int = 8 * 1024 * 1024) -> DataFrame:
+    """The stages are bound by CPU, so an input of fewer bytes than the cluster's cores
+    could each take in one go is dealt out to all cores first; larger inputs have splits
+    enough and keep theirs."""
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if planned_bytes(docs) < cores * bytes_per_core else docs

@@ -161,18 +161,6 @@ def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, s
     return _fail(df, stage, F.col("_message"), settings, due).drop("_message", "_native", "_reply", "_value", "_scan")
 
 
-def spread_small(docs: DataFrame, bytes_per_core: int = 8 * 1024 * 1024) -> DataFrame:
-    """The stages are bound by CPU, so an input of fewer bytes than the cluster's cores
-    could each take in one go is dealt out to all cores first. Its size is the planner's
-    estimate and no job runs for it; larger inputs have splits enough and keep theirs."""
-    if docs.isStreaming:
-        return docs
-    session = docs.sparkSession
-    cores = session.sparkContext.defaultParallelism
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return docs.repartition(cores) if size < cores * bytes_per_core else docs
-
-
 def run_stages(docs: DataFrame, settings: Settings) -> DataFrame:
     """One wide row per document with every stage's result, outcome and counts.
 

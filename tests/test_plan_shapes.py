@@ -7,7 +7,8 @@ from catalog import QUERIES, fixtures as fx
 from dossierflow.operators import ingest
 from dossierflow.operators.rules import SharedMatches
 from dossierflow.plans import status as st
-from dossierflow.plans.runs import run_stages, spread_small
+from dossierflow.operators.sizes import spread_small
+from dossierflow.plans.runs import run_stages
 from dossierflow.settings import Settings
 
 

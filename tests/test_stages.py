@@ -107,6 +107,14 @@ def test_categorize_both_ways_against_brute_force(spark, sf):
     joined = categorize.categorize_by_join(docs, table)
     for got in (inline, joined):
         assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = categorize.categorize_by_join(docs, table)
+        assert "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
+        assert {r[0]: tuple(r[1:]) for r in large.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_empty_lexicon_is_refused(spark):
