@@ -26,10 +26,7 @@ def status_initial(spark, sf):
     """A record for every upload of a batch before any work starts."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.expr(fx.UPLOAD_NAME).alias("filename"))
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    insert = st.inserted(F.col("filename"), F.lit(None).cast("string"), now)
-    steps = F.array(insert, st.changes({"status": F.lit("processing")}))
-    log = docs.select("file_id", now.alias("event_time"), F.posexplode(steps).alias("pos", "changes"))
-    folded = st.fold(log.withColumn("seq", F.col("pos").cast("long")))
+    folded = st.fold(st.initial_events(docs, now))
     return folded.select(F.col("file_id").cast("long").alias("doc_id"), "filename", "status", "current_stage",
                          F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 

@@ -80,6 +80,24 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
+def initial_events(files: DataFrame, now: Column) -> DataFrame:
+    """Records for a whole batch of files before any work starts: inserted as pending,
+    then set to processing. Needs file_id and filename; ids come from ``new_file_ids``
+    or from the source."""
+    steps = F.array(
+        inserted(F.col("filename"), F.lit(None).cast("string"), now), changes({"status": F.lit("processing")})
+    )
+    rows = files.select("file_id", F.posexplode(steps).alias("pos", "changes"))
+    return rows.select("file_id", now.alias("event_time"), F.col("pos").cast("long").alias("seq"), "changes")
+
+
+def new_file_ids(files: DataFrame, *identity: str) -> DataFrame:
+    """Adds a file_id that is a digest of the identifying columns: a task that is run
+    again gives the same id, which a random one would not."""
+    text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity])
+    return files.withColumn("file_id", F.sha2(text, 256))
+
+
 def events_of_runs(wide: DataFrame, now: Column) -> DataFrame:
     """The update log that finished runs leave behind, all at one time, in order of
     ``seq``: insert, processing, one update per finished stage, final state."""

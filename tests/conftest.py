@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, shuffle_partitions=4)
+    return local_session(8, shuffle_partitions=4)
 
 
 @pytest.fixture(scope="session")

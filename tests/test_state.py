@@ -64,6 +64,16 @@ def test_partial_updates(spark):
     assert failed.b == {"status": "failed", "error_message": "x", "end_time": "t"}
 
 
+def test_new_ids_are_repeatable(spark):
+    files = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "filename string, size int")
+    first = [r.file_id for r in st.new_file_ids(files, "filename", "size").collect()]
+    assert len(set(first)) == 3 and first == [r.file_id for r in st.new_file_ids(files, "filename", "size").collect()]
+    log = st.initial_events(st.new_file_ids(files, "filename", "size"), F.lit("2024-01-01").cast("timestamp"))
+    rows = st.fold(log).collect()
+    assert {(r.status, r.current_stage, r.filename) for r in rows} == {("processing", "ingest", "a"), ("processing", "ingest", "b")}
+    assert all(r.created_at == r.start_time == r.updated_at for r in rows)
+
+
 def some_status(spark):
     rows = [("a", "processing", "parse", "2024-01-03"), ("b", "completed", "deidentify", "2024-01-03"), ("c", "processing", None, None),
             ("d", "processing", "odd", "2024-01-01"), ("e", "failed", "Parse", "2024-01-02")]
