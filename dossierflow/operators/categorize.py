@@ -72,7 +72,7 @@ def with_categorization(df: DataFrame, lexicon: Lexicon, text: str = "text", out
 def categorize_by_join(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same classification for a lexicon table of any size (category, term, weight).
 
-    A lexicon whose planned size is below the session's broadcast threshold is sent to
+    A lexicon whose measured size is below the session's broadcast threshold is sent to
     the words where they are, and only scores are shuffled. For a larger one the words
     are counted per document first, so that the join by term moves one row per document
     and term; a term that a third of all documents hold is split by the skew join. The

@@ -1,23 +1,35 @@
-"""Decisions by the planner's size estimates; no job runs for them."""
+"""Decisions by size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate, which is the file size for a plain scan and too large
-    rather than too small for joins."""
+    """The optimizer's estimate; no job runs for it."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def is_broadcastable(df: DataFrame) -> bool:
-    """Whether the planned size is below the session's broadcast threshold."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+def measured_bytes(df: DataFrame) -> int:
+    """What the rows really hold, by one aggregate."""
+    per_row = F.lit(8)
+    for name in df.columns:
+        per_row = per_row + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 8
+    return int(df.agg(F.coalesce(F.sum(per_row.cast("long")), F.lit(0))).first()[0])
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """The session's broadcast threshold in bytes."""
+    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().rstrip("b")
     units = {"k": 1024, "m": 1024**2, "g": 1024**3}
-    digits = raw.lower().rstrip("b")
-    limit = int(float(digits[:-1]) * units[digits[-1]]) if digits[-1:] in units else int(digits)
-    return 0 <= planned_bytes(df) < limit
+    return int(float(raw[:-1]) * units[raw[-1]]) if raw[-1:] in units else int(raw)
+
+
+def is_broadcastable(df: DataFrame) -> bool:
+    """Whether the rows fit the session's broadcast threshold. They are measured, since
+    estimates can be too small after an explode, but only if the estimate fits."""
+    limit = broadcast_limit(df)
+    return planned_bytes(df) <= limit and measured_bytes(df) <= limit
 
 
 def spread_small(docs: DataFrame, bytes_per_core: int = 8 * 1024 * 1024) -> DataFrame:

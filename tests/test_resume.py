@@ -19,33 +19,51 @@ def landed(docs):
     return docs.select(F.concat(F.lit("/Volumes/c/s/v/"), "filename").alias("volume_path"), "content")
 
 
-def state_after(docs, stage):
-    """Status and results of runs that failed at a stage."""
-    wide = runs.run_stages(docs, Settings(catalog="c", schema="s", volume="v", force_fail_stage=stage))
-    now = F.lit(NOW).cast("timestamp")
-    return st.fold(st.events_of_runs(wide, now)), results.from_wide(wide, now)
+@pytest.fixture(scope="module")
+def state_after(docs, tmp_path_factory):
+    """Status, results and update log of runs that failed at a stage, written once."""
+    made = {}
+
+    def state(stage):
+        if stage not in made:
+            spark, folder = docs.sparkSession, tmp_path_factory.mktemp("state")
+            wide = runs.run_stages(docs, Settings(catalog="c", schema="s", volume="v", force_fail_stage=stage))
+            now = F.lit(NOW).cast("timestamp")
+            log = st.events_of_runs(wide, now)
+            for name, df in (("log", log), ("results", results.from_wide(wide, now))):
+                df.write.parquet(str(folder / name))
+            log, stored = (spark.read.parquet(str(folder / n)) for n in ("log", "results"))
+            made[stage] = (st.fold(log), stored, log)
+        return made[stage]
+
+    return state
+
+
+SAME = ["file_id", "status", "error", "parse", "categorization", "extraction", "deidentification", "masked_entities",
+        "primary_category", "entities_count", "pii_items_masked"]
+
+
+@pytest.fixture(scope="module")
+def uninterrupted(docs):
+    return {r.file_id: r for r in runs.run_stages(docs, SETTINGS).select(*SAME).collect()}
 
 
 @pytest.mark.parametrize("stage,index", [("parse", 0), ("categorize", 1), ("extract", 2), ("deidentify", 3)])
-def test_resumed_run_equals_uninterrupted_run(spark, docs, stage, index):
-    status, stored = state_after(docs, stage)
+def test_resumed_run_equals_uninterrupted_run(state_after, uninterrupted, docs, tmp_path, stage, index):
+    status, stored, _ = state_after(stage)
     requests = status.select("file_id", F.lit("").alias("volume_path"), "filename", F.col("current_stage").alias("failed_stage"),
                              F.concat(F.lit("t-"), "file_id").alias("trace_id"))
-    planned = resume.plan(requests, status, stored)
-    assert {r.start_index for r in planned.select("start_index").collect()} == {index}
-    again = resume.run(planned, landed(docs), SETTINGS)
-    same = ["file_id", "status", "error", "parse", "categorization", "extraction", "deidentification", "masked_entities",
-            "primary_category", "entities_count", "pii_items_masked"]
-    want = {r.file_id: r for r in runs.run_stages(docs, SETTINGS).select(*same).collect()}
-    assert {r.file_id: r for r in again.select(*same).collect()} == want
-    assert {r.stages_completed for r in again.select("stages_completed").collect()} == {4}
+    resume.run(resume.plan(requests, status, stored), landed(docs), SETTINGS).write.parquet(str(tmp_path / "again"))
+    again = docs.sparkSession.read.parquet(str(tmp_path / "again"))
+    assert {r.file_id: r for r in again.select(*SAME).collect()} == uninterrupted
+    assert {(r.start_index, r.stages_completed) for r in again.select("start_index", "stages_completed").collect()} == {(index, 4)}
     rows = spans.spans(again, SETTINGS).filter("file_id = 'f0'").orderBy("position").collect()
     assert [r.position for r in rows] == [0, 2, 3, 4, 5]
     assert [r.position - 2 for r in rows[1:] if "is_cached_replay" in r.attributes] == list(range(index))
 
 
-def test_broken_cache_starts_at_first_missing_stage(spark, docs):
-    status, stored = state_after(docs, "deidentify")
+def test_broken_cache_starts_at_first_missing_stage(state_after, uninterrupted, docs):
+    status, stored, _ = state_after("deidentify")
     broken = stored.withColumn("categorize_result", F.when(F.col("file_id") == "f1", F.lit("{oops")).otherwise(F.col("categorize_result")))
     broken = broken.withColumn("extract_result", F.when(F.col("file_id") == "f2", F.lit(None).cast("string")).otherwise(F.col("extract_result")))
     broken = broken.filter("file_id <> 'f3'")
@@ -54,12 +72,11 @@ def test_broken_cache_starts_at_first_missing_stage(spark, docs):
     assert {r.file_id: (r.requested_index, r.start_index) for r in planned.collect()} == {
         "f0": (3, 3), "f1": (3, 1), "f2": (3, 2), "f3": (3, 0), "f4": (3, 3)}
     again = resume.run(planned, landed(docs), SETTINGS)
-    want = {r.file_id: r.pii_items_masked for r in runs.run_stages(docs, SETTINGS).collect()}
-    assert {r.file_id: r.pii_items_masked for r in again.collect()} == want
+    assert {r.file_id: r for r in again.select(*SAME).collect()} == uninterrupted
 
 
-def test_requests_without_path_fail_with_a_message(spark, docs):
-    status, stored = state_after(docs, "parse")
+def test_requests_without_path_fail_with_a_message(state_after, docs):
+    status, stored, _ = state_after("parse")
     status = status.withColumn("volume_path", F.when(F.col("file_id") != "f0", F.col("volume_path")))
     requests = status.select("file_id", F.lit(None).cast("string").alias("volume_path"), "filename", F.lit("parse").alias("failed_stage"), F.lit("n").alias("trace_id"))
     again = {r.file_id: r for r in resume.run(resume.plan(requests, status, stored), landed(docs), SETTINGS).collect()}
@@ -79,9 +96,8 @@ def test_trace_history(spark):
     assert df.filter(resume.trace_history(F.col("r"), F.col("old"), F.col("new")) != F.col("want")).count() == 0
 
 
-def test_opening_a_rerun_resets_stages_error_and_end(spark, docs):
-    status, stored = state_after(docs, "extract")
-    log = st.events_of_runs(runs.run_stages(docs, Settings(catalog="c", schema="s", volume="v", force_fail_stage="extract")), F.lit(NOW).cast("timestamp"))
+def test_opening_a_rerun_resets_stages_error_and_end(state_after):
+    status, stored, log = state_after("extract")
     requests = status.select("file_id", "volume_path", "filename", F.col("current_stage").alias("failed_stage"), F.lit("n").alias("trace_id"))
     opened = resume.reset_changes(resume.plan(requests, status, stored), F.lit("2024-01-02").cast("timestamp"))
     row = st.fold(log.unionByName(opened)).filter("file_id = 'f0'").first()
