@@ -24,8 +24,17 @@ class Reply:
     finish_reason: str = "stop"
 
 
+@dataclass(frozen=True)
+class ModelOptions:
+    """What a scorer is told about the call."""
+
+    model: str = "rules"
+    temperature: float = 0.0
+    max_tokens: int = 5000
+
+
 # A scorer turns a list of prompts into as many replies.
-Scorer = Callable[[list[str]], list[Reply]]
+Scorer = Callable[[list[str], ModelOptions], list[Reply]]
 
 
 def _row(reply: Reply | None, error: str | None) -> tuple:
@@ -36,11 +45,11 @@ def _row(reply: Reply | None, error: str | None) -> tuple:
             reply.prompt_tokens, reply.completion_tokens, total)
 
 
-def _score(prompts: list[str], scorer: Scorer) -> list[tuple]:
+def _score(prompts: list[str], scorer: Scorer, options: ModelOptions) -> list[tuple]:
     """Replies of one batch. If the batch fails, each prompt is tried alone, so that one
     bad document fails alone."""
     try:
-        replies = scorer(prompts)
+        replies = scorer(prompts, options)
         if len(replies) == len(prompts):
             return [_row(r, None) for r in replies]
     except Exception:
@@ -48,13 +57,13 @@ def _score(prompts: list[str], scorer: Scorer) -> list[tuple]:
     rows = []
     for prompt in prompts:
         try:
-            rows.append(_row(scorer([prompt])[0], None))
+            rows.append(_row(scorer([prompt], options)[0], None))
         except Exception as exc:
             rows.append(_row(None, str(exc) or type(exc).__name__))
     return rows
 
 
-def reply_column(prompt: Column, scorer: Scorer, batch: int = 64) -> Column:
+def reply_column(prompt: Column, scorer: Scorer, options: ModelOptions = ModelOptions(), batch: int = 64) -> Column:
     """Reply struct per prompt. Only the prompt crosses to Python (as Arrow batches);
     every other column of the row stays in the JVM. NULL prompts are not scored."""
 
@@ -67,7 +76,7 @@ def reply_column(prompt: Column, scorer: Scorer, batch: int = 64) -> Column:
             values = prompts.tolist()
             for start in range(0, len(wanted), batch):
                 chunk = wanted[start : start + batch]
-                for i, row in zip(chunk, _score([values[i] for i in chunk], scorer)):
+                for i, row in zip(chunk, _score([values[i] for i in chunk], scorer, options)):
                     rows[i] = row
             frame = pd.DataFrame(rows, columns=names)
             for name in ("prompt_tokens", "completion_tokens", "total_tokens"):
@@ -77,7 +86,7 @@ def reply_column(prompt: Column, scorer: Scorer, batch: int = 64) -> Column:
     return score(prompt)
 
 
-def stub_scorer(prompts: list[str]) -> list[Reply]:
+def stub_scorer(prompts: list[str], options: ModelOptions) -> list[Reply]:
     """A deterministic stand-in: answers with an empty result; a token is a piece
     between white space."""
     replies = []

@@ -24,7 +24,7 @@ from dossierflow.operators.extract import item_count
 from dossierflow.operators.ingest import ingest_error, ingest_struct, is_supported
 from dossierflow.operators.parse import native_text, parse_error, parse_struct, parsed_error, parsed_text
 from dossierflow.operators.rules import SharedMatches, entities_of, matches_sql, pii_items_of
-from dossierflow.operators.scoring import reply_column
+from dossierflow.operators.scoring import ModelOptions, reply_column
 from dossierflow.schemas import (
     CATEGORIZATION,
     DEIDENTIFICATION,
@@ -111,8 +111,9 @@ def _scored(df: DataFrame, stage: str, settings: Settings) -> DataFrame:
     if f"{stage}_prompt" in df.columns:
         template = or_default(F.col(f"{stage}_prompt"), template)
     prompt = F.when(_due(stage), render_prompt(template, F.col("_joined")))
+    options = ModelOptions(settings.model, settings.temperature, settings.max_tokens)
     df = df.withColumn("_prompt", prompt)
-    df = df.withColumn(f"{stage}_reply", reply_column(F.col("_prompt"), settings.scorers[stage]))
+    df = df.withColumn(f"{stage}_reply", reply_column(F.col("_prompt"), settings.scorers[stage], options))
     text = F.col(f"{stage}_reply.reply")
     df = df.withColumn("_reply", strip_fence(text) if settings.strip_reply_fences else text)
     return df.withColumn("_value", parse_reply(F.col("_reply"))).drop("_prompt")

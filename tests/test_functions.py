@@ -1,6 +1,5 @@
 import os.path
 import re
-import sys
 import urllib.parse
 
 from hypothesis import HealthCheck, given, settings, strategies as hs

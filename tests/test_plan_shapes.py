@@ -1,7 +1,6 @@
 """What the physical plans must and must not hold."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from catalog import QUERIES, fixtures as fx
 from dossierflow.operators import ingest

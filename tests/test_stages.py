@@ -188,7 +188,8 @@ def scorer_for(stage):
         "deidentify": '{"pii_items": [{"type": "ssn", "value": "1", "strategy": "MASK", "replacement": "*"}]}',
     }[stage]
 
-    def score(prompts):
+    def score(prompts, options):
+        assert (options.model, options.temperature, options.max_tokens) == ("m1", 0.0, 5000)
         out = []
         for p in prompts:
             if "poison" in p:
