@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.registry import query, table
-from dossierflow.functions.paths import image_output_path, is_volume_path, safe_filename, volume_parts
+from dossierflow.functions.paths import file_extension, image_output_path, is_volume_path, safe_filename, volume_parts
+from dossierflow.functions.text import decode_utf8
 from dossierflow.operators import ingest
 from dossierflow.sources.files import read_files
+from dossierflow.sources.folders import work_folder
 
 
 @query("read_files")
@@ -16,6 +18,22 @@ def read_files_query(spark, sf):
     return files.select("filename", F.col("length").alias("size_bytes"))
 
 
+@query(
+    "landed_files",
+    """SELECT '.txt' AS extension, CAST(sum(strlen(text) + 1) AS bigint) AS total_bytes,
+    CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS bigint) AS lines FROM documents""",
+)
+def landed_files(spark, sf):
+    """All documents written as files of bounded size and read back with their contents."""
+    folder = work_folder(spark, "landed-files")
+    table(spark, sf, "documents").select("text").write.option("maxRecordsPerFile", 1000).text(folder)
+    files = read_files(spark, folder, "*.txt").withColumn("text", decode_utf8(F.col("content")))
+    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return files.groupBy(file_extension(F.col("filename")).alias("extension")).agg(
+        F.sum(F.octet_length("content")).cast("long").alias("total_bytes"), F.sum(newlines).cast("long").alias("lines")
+    )
+
+
 @query("file_fingerprint", "SELECT doc_id, sha256(text) AS file_hash_sha256, CAST(strlen(text) AS bigint) AS size_bytes FROM documents")
 def file_fingerprint(spark, sf):
     docs = table(spark, sf, "documents")
