@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import exact_dedup, sharding
+from pyspark.sql import functions as F
+
+from dossierflow.llm import decontamination, exact_dedup, secrets, sharding, toxicity
 from dossierflow.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
 
 
+@query("op3_decontamination")
+def op3_decontamination(spark, sf_dir):
+    """Words of every document that lie in windows of benchmark items."""
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    scored = toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("n_sentences", F.size("sentences").cast("long")).drop("sentences")
+
+
+@query("op6_secrets")
+def op6_secrets(spark, sf_dir):
+    """Secrets of every document: fixed patterns and learnt formats."""
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     """Every document in one of 24 contiguous shards of equal bytes."""
