@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossierflow.llm import decontamination, exact_dedup, secrets, sharding, toxicity
+import public_tokenizers
+from dossierflow.llm import decontamination, exact_dedup, html_extraction, packing, secrets, sharding, toxicity
 from dossierflow.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
 
 
+@query("op1_packing")
+def op1_packing(spark, sf_dir):
+    """All documents as pieces packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
 @query("op3_decontamination")
 def op3_decontamination(spark, sf_dir):
     """Words of every document that lie in windows of benchmark items."""
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
 
+@query("op4_html_extraction")
+def op4_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark, sf_dir):
     """Toxicity of every document, learnt from the labels outside the held-out fold."""
