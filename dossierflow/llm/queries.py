@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from dossierflow.llm import decontamination, exact_dedup, html_extraction, packing, secrets, sharding, toxicity
+from dossierflow.llm import decontamination, exact_dedup, html_extraction, jaccard_join, packing, secrets, sharding, toxicity
 from dossierflow.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -42,6 +42,12 @@ def op6_secrets(spark, sf_dir):
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark, sf_dir):
+    """Links between documents whose sets of five-word n-grams are similar from 0.8 on."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     """Every document in one of 24 contiguous shards of equal bytes."""
