@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from dossierflow.llm import decontamination, exact_dedup, html_extraction, jaccard_join, packing, secrets, sharding, toxicity
+from dossierflow.llm import (
+    decontamination,
+    exact_dedup,
+    html_extraction,
+    jaccard_join,
+    packing,
+    secrets,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from dossierflow.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -54,6 +65,12 @@ def op8_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    """Every document without strings of 100 bytes and more that start earlier."""
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op10_exact_dedup",
     r"""

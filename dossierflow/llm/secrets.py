@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from dossierflow.llm.batches import column
 
-#: distinct credentials of a kind that an automaton is fitted on at most
-SAMPLE = 400
+#: distinct credentials of a kind that an automaton is fitted on at most, and slices they are taken from
+SAMPLE, SLICES = 400, 40
 #: significance of a merge: the smaller, the more states are merged
 ALPHA = 0.05
 #: the score of a candidate reaches that of this share of the credentials of a kind
@@ -164,7 +164,7 @@ class Automaton:
 
 
 def credentials(docs: DataFrame) -> DataFrame:
-    """kind, credential: distinct fixed matches, SAMPLE of each kind by hash."""
+    """kind, credential: distinct fixed matches, at most SAMPLE of each kind, by hash."""
 
     def run(batches):
         for b in batches:
@@ -175,13 +175,14 @@ def credentials(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select("text").mapInArrow(run, "kind string, credential string").distinct()
-    # the first by hash of each of 16 slices of a kind, then of the kind: no kind meets in one task
-    order = [F.xxhash64("credential"), F.col("credential")]
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("credential", F.lit(1)), F.lit(64)))
-    part = Window.partitionBy("kind", "slice").orderBy(*order)
-    rows = rows.withColumn("r", F.row_number().over(part)).where(F.col("r") <= SAMPLE)
-    full = Window.partitionBy("kind").orderBy(*order)
-    return rows.withColumn("r", F.row_number().over(full)).where(F.col("r") <= SAMPLE).select("kind", "credential")
+    # the first by hash of each of SLICES slices of a kind: no kind meets in one task
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("credential", F.lit(1)), F.lit(SLICES)))
+    part = Window.partitionBy("kind", "slice").orderBy(F.xxhash64("credential"), "credential")
+    return (
+        rows.withColumn("place", F.row_number().over(part))
+        .where(F.col("place") <= SAMPLE // SLICES)
+        .select("kind", "credential")
+    )
 
 
 def learn(docs: DataFrame) -> dict[str, Automaton]:
