@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-import public_tokenizers
 from dossierflow.llm import (
     decontamination,
     exact_dedup,
@@ -28,6 +28,12 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    """Every document without passages of 35 words and more that stand anywhere else."""
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op3_decontamination")
 def op3_decontamination(spark, sf_dir):
     """Words of every document that lie in windows of benchmark items."""
