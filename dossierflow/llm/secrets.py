@@ -85,7 +85,12 @@ class Automaton:
         self._infer(math.sqrt(0.5 * math.log(2 / alpha)))
         scores = sorted(self.score(w) for w in set(words))
         self.threshold = scores[int((1 - SHARE) * len(scores))] if scores else math.inf
-        self.states = 1 + len({t for g in self.go for t in g.values()})
+        reached, todo = {0}, [0]
+        while todo:
+            new = set(self.go[todo.pop()].values()) - reached
+            reached |= new
+            todo.extend(new)
+        self.states = len(reached)
 
     def _total(self, s: int) -> int:
         return self.ends[s] + sum(self.count[s].values())
