@@ -70,7 +70,7 @@ def token_usage_query(spark, sf):
     CASE shape WHEN 0 THEN CAST('0.' || (doc_id % 90 + 10) AS double) WHEN 5 THEN NULL ELSE 0.0 END AS primary_confidence,
     CASE shape WHEN 0 THEN 'j' || doc_id WHEN 5 THEN NULL ELSE left(reply, 200) END AS primary_justification,
     CASE shape WHEN 0 THEN 2 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END WHEN 5 THEN 0 ELSE 0 END AS entities_count,
-    CASE WHEN shape IN (1, 2, 6) THEN left(reply, 200) END AS raw_response,
+    CASE WHEN shape IN (1, 2, 6) THEN reply END AS raw_response,
     CASE shape WHEN 0 THEN 1 ELSE 0 END AS pii_count
     FROM replies WHERE shape NOT IN (3, 4)""",
     ("replies",),

@@ -7,7 +7,6 @@ from catalog.registry import query, table, view
 from dossierflow.functions.redaction import mask_entities
 from dossierflow.operators import categorize, deidentify, extract
 from dossierflow.operators.rules import DEFAULT_LEXICON, ENTITY_RULES, PII_RULES
-from dossierflow.operators.sizes import spread_small
 
 # --- the rules once more, in the check engine's pattern language: (type, pattern, group, confidence or strategy) ---
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -90,6 +89,9 @@ for _v in ("doc", "st"):
 _POS = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rule, hit) - 1 AS int) AS pos"
 
 
+_WORD = r"[\p{L}\p{N}]+(?:-\p{N}+)*"
+
+
 def categorize_sql(source: str, lexicon: str) -> str:
     return f"""SELECT d.doc_id, coalesce(a.category, 'Unknown') AS primary_category,
     coalesce(round(a.score / a.total, 4), 0.0) AS primary_confidence, coalesce(a.terms, '') AS primary_justification,
@@ -103,7 +105,7 @@ def _ranked(source: str, lexicon: str) -> str:
     return f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rn,
     sum(score) OVER (PARTITION BY doc_id) AS total FROM (
     SELECT doc_id, category, CAST(sum(weight) AS double) AS score, string_agg(DISTINCT term, ', ' ORDER BY term) AS terms
-    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {source}) JOIN {lexicon} USING (term)
+    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM {source}) JOIN {lexicon} USING (term)
     GROUP BY doc_id, category)"""
 
 
@@ -111,7 +113,7 @@ view("finance_lexicon", f"SELECT * FROM (VALUES {fx.lexicon_values(DEFAULT_LEXIC
 
 
 def _documents(spark, sf):
-    return spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 @query("categorize", categorize_sql("documents", "lexicon"), ("lexicon",))
@@ -125,8 +127,8 @@ def categorize_statements(spark, sf):
     return categorize.with_categorization(fx.statements(spark, sf), DEFAULT_LEXICON).select("doc_id", "categorization.*")
 
 
-BENCH_LEXICON = """SELECT DISTINCT 'I' || (item_id % 7) AS category, term, 1.0 + item_id % 3 AS weight FROM (
-    SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark)"""
+BENCH_LEXICON = f"""SELECT DISTINCT 'I' || (item_id % 7) AS category, term, 1.0 + item_id % 3 AS weight FROM (
+    SELECT item_id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM benchmark)"""
 view("bench_lexicon", f"SELECT category, term, CAST(max(weight) AS double) AS weight FROM ({BENCH_LEXICON}) GROUP BY ALL")
 
 
@@ -141,8 +143,8 @@ def categorize_by_join(spark, sf):
 
 @query(
     "categorize_unknown",
-    """SELECT doc_id, 'Unknown' AS primary_category, 0.0::double AS primary_confidence FROM documents
-    WHERE NOT list_has_any(regexp_extract_all(lower(text), '[a-z]+'), (SELECT list(term) FROM lexicon))""",
+    f"""SELECT doc_id, 'Unknown' AS primary_category, 0.0::double AS primary_confidence FROM documents
+    WHERE NOT list_has_any(regexp_extract_all(lower(text), '{_WORD}'), (SELECT list(term) FROM lexicon))""",
     ("lexicon",),
 )
 def categorize_unknown(spark, sf):
@@ -253,12 +255,26 @@ def mask_entities_query(spark, sf):
     return rows.select("doc_id", "pos", "e.type", "e.value", F.col("e.masked").cast("string").alias("masked"))
 
 
+_ALNUM = r"'[\p{L}\p{N}]'"
+
+
 def _replaced_sql(source: str, pii: str) -> str:
-    """Values replaced one after another, the longest first, by a fold over a list."""
+    """Whole values replaced: all places of all values as rows, those that cut a word left out, of
+    those that overlap the first and longest taken, and the text put together around them."""
     return f"""SELECT d.doc_id, md5(coalesce(r.t, d.text)) AS safe_md5 FROM {source} d LEFT JOIN (
-    SELECT doc_id, list_reduce(list_prepend(any_value(text), list(value || chr(1) || replacement ORDER BY length(value) DESC, value, replacement)),
-        lambda acc, x: replace(acc, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) AS t
-    FROM (SELECT DISTINCT doc_id, value, replacement FROM {pii}) JOIN {source} USING (doc_id) GROUP BY doc_id) r USING (doc_id)"""
+    WITH v AS (SELECT doc_id, value, min(replacement) AS replacement FROM {pii} WHERE length(value) > 0 GROUP BY ALL),
+    parts AS (SELECT doc_id, text, value, replacement, string_split(text, value) AS p FROM v JOIN {source} USING (doc_id)),
+    places AS (SELECT doc_id, text, value, replacement, length(value) AS n,
+        unnest(list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS bigint) + (i - 1) * length(value) + 1)) AS spot
+        FROM parts),
+    whole AS (SELECT *, spot + n AS stop FROM places WHERE
+        NOT (regexp_matches(left(value, 1), {_ALNUM}) AND spot > 1 AND regexp_matches(substr(text, spot - 1, 1), {_ALNUM}))
+        AND NOT (regexp_matches(right(value, 1), {_ALNUM}) AND regexp_matches(substr(text, spot + n, 1), {_ALNUM}))),
+    free AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM whole o WHERE o.doc_id = w.doc_id
+        AND o.spot < w.stop AND w.spot < o.stop AND (o.spot < w.spot OR (o.spot = w.spot AND o.n > w.n)))),
+    ordered AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY spot), 1) AS begin FROM free)
+    SELECT doc_id, string_agg(substr(text, begin, spot - begin) || replacement, '' ORDER BY spot)
+        || substr(any_value(text), max(stop)) AS t FROM ordered GROUP BY doc_id) r USING (doc_id)"""
 
 
 def _safe_text(df):

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, table, view
 from catalog.rule_queries import categorize_sql
-from dossierflow.operators.sizes import spread_small
 from dossierflow.plans import resume, results as res, runs, spans as sp, status as st, views
 from dossierflow.plans.runs import run_stages
 from dossierflow.sources import logs
@@ -27,7 +26,7 @@ _COUNTS = ("CAST(entities_count AS int) AS entities_count", "CAST(pii_items_mask
 
 
 def wide(spark, sf, **changes):
-    return run_stages(spread_small(fx.run_docs(spark, sf)), fx.run_settings(**changes))
+    return run_stages(fx.run_docs(spark, sf), fx.run_settings(**changes))
 
 
 @query(
@@ -66,7 +65,7 @@ def run_summary(spark, sf):
     "forced_failure",
     """SELECT file_id, 'failed' AS status, coalesce(failed_stage, 'extract') AS failed_stage,
     CASE WHEN failed_stage IS NULL THEN 4 ELSE stages_completed END AS stages_completed,
-    coalesce(error, 'TEST FAILURE: Forced failure at extract stage for testing') AS error,
+    coalesce(error, 'forced to fail at extract') AS error,
     CAST(entities_count AS int) AS entities_count, 0 AS pii_items_masked FROM outcomes""",
     ("outcomes",),
 )

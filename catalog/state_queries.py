@@ -72,7 +72,7 @@ def _to_delete(spark, sf):
 @query(
     "status_delete_report",
     """SELECT 'f' || doc_id AS file_id, CASE WHEN s.file_id IS NULL THEN 0 ELSE 1 END AS deleted,
-    CASE WHEN s.file_id IS NULL THEN 'File not found' END AS error
+    CASE WHEN s.file_id IS NULL THEN 'no record of this file' END AS error
     FROM labels LEFT JOIN status s ON s.file_id = 'f' || doc_id WHERE toxic = 0""",
     ("status",),
 )
@@ -82,9 +82,9 @@ def status_delete_report(spark, sf):
 
 
 _STUCK = """SELECT file_id, 'failed' AS status, current_stage,
-    'Processing interrupted by app restart (was at stage: ' || current_stage || ')' AS error_message,
+    'The run was cut off by a restart during stage ' || current_stage AS error_message,
     CASE WHEN current_stage = 'extract' THEN 'failed' ELSE stage_extract_status END AS stage_extract_status
-    FROM (SELECT * FROM status ORDER BY created_at DESC NULLS FIRST, file_id LIMIT 1000) WHERE status = 'processing'"""
+    FROM status WHERE status = 'processing'"""
 
 
 @query("reset_stuck", _STUCK, ("status",))

@@ -55,9 +55,19 @@ def replacement_sql(pii_type: str, strategy: str, value: str) -> str:
     return f"'{REDACTED}'"
 
 
+def _quoted(value: Column) -> Column:
+    """Pattern of a whole value: it neither starts nor ends inside a word."""
+    body = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    word = r"[\p{L}\p{N}]"
+    before = F.when(F.left(value, F.lit(1)).rlike(word), F.lit(f"(?<!{word})")).otherwise(F.lit(""))
+    after = F.when(F.right(value, F.lit(1)).rlike(word), F.lit(f"(?!{word})")).otherwise(F.lit(""))
+    return F.concat(before, body, after)
+
+
 def apply_replacements(text: Column, items: Column) -> Column:
-    """Text with every item's value replaced, longest value first (ties by value), so
-    that a value inside a longer one does not break it."""
+    """Text with every whole occurrence of an item's value replaced, in one pass: what was
+    replaced is not read again. Where values overlap the first and longest wins; a value
+    with several replacements gets the first of them in alphabetical order."""
     usable = F.filter(items, lambda i: (F.length(i["value"]) > 0) & i["replacement"].isNotNull())
     ordered = F.sort_array(
         F.array_distinct(
@@ -71,7 +81,9 @@ def apply_replacements(text: Column, items: Column) -> Column:
             )
         )
     )
-    return F.when(
-        F.size(items) > 0,
-        F.aggregate(ordered, text, lambda acc, i: F.replace(acc, i["value"], i["replacement"])),
-    ).otherwise(text)
+    pattern = F.array_join(F.transform(ordered, lambda i: _quoted(i["value"])), "|")
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    between = F.split(text, pattern, F.lit(-1))
+    new = F.transform(found, lambda m: F.get(F.filter(ordered, lambda i: i["value"] == m), F.lit(0))["replacement"])
+    joined = F.array_join(F.zip_with(between, new, lambda b, r: F.concat(b, F.coalesce(r, F.lit("")))), "")
+    return F.when(F.size(ordered) > 0, joined).otherwise(text)

@@ -112,10 +112,10 @@ def _array_ddl(fields: dict[str, str]) -> str:
 
 
 def list_reply(value: Column, reply: Column, key: str) -> Column:
-    """struct(items, raw_response): a bad reply yields no items and its first characters."""
+    """struct(items, raw_response): a bad reply yields no items and is kept as it is."""
     items = entities_from(value) if key == "entities" else pii_items_from(value)
     return F.struct(
-        items.alias(key), F.when(value.isNull(), excerpt(reply)).alias("raw_response")
+        items.alias(key), F.when(value.isNull(), reply).alias("raw_response")
     )
 
 
@@ -134,11 +134,22 @@ def clean_control(stored: Column) -> Column:
     return F.regexp_replace(stored, r"[\x00-\x1f\x7f-\x9f]", " ")
 
 
+def _requoted(text: Column) -> Column:
+    """A literal in single quotes as JSON. Quotes that delimit stand next to a bracket, colon
+    or comma; a quote between two letters belongs to the string, and so does what a string
+    in double quotes holds."""
+    edge = r"(?<=[\[{:,])([ ]*)'|'(?=[ ]*[\]}:,])"
+    marked = F.regexp_replace(text, edge, "$1\u0001")
+    marked = F.replace(F.replace(marked, F.lit('"'), F.lit('\\"')), F.lit("\u0001"), F.lit('"'))
+    # strings that were in double quotes already keep them
+    return F.regexp_replace(marked, r"(?<=[\[{:,])([ ]*)\\\"|\\\"(?=[ ]*[\]}:,])", '$1"')
+
+
 def repair_json(stored: Column) -> Column:
     """Stored JSON text that reads as one value, NULL if no attempt does. Attempts:
     without control characters; then as a literal with single quotes."""
     cleaned = clean_control(stored)
-    requoted = F.replace(cleaned, F.lit("'"), F.lit('"'))
+    requoted = _requoted(cleaned)
     for word, wanted in (("None", "null"), ("True", "true"), ("False", "false")):
         requoted = F.regexp_replace(requoted, rf"([:\[,] ?){word}(?= ?[,\]}}])", f"$1{wanted}")
     return F.when(is_json(cleaned), cleaned).when(is_json(requoted), requoted)

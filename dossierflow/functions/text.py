@@ -12,7 +12,7 @@ PAGE_BREAK = "\n\n"
 def decode_utf8(content: Column) -> Column:
     """Bytes as text; malformed sequences become replacement characters instead of
     failing the whole job."""
-    return content.cast("string")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def html_to_text(html: Column) -> Column:

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierflow.operators.rules import Lexicon, sql_text
-from dossierflow.operators.sizes import is_broadcastable
 from dossierflow.schemas import UNKNOWN_CATEGORY
 
-# Largest lexicon written into the plan; larger ones go through the join.
-INLINE_TERMS = 2000
-WORD = "[a-z]+"
+# letters and digits of any script; a number may follow after a hyphen, as in names of forms
+WORD = r"[\\p{L}\\p{N}]+(?:-\\p{N}+)*"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.expr(f"'{WORD}'"), F.lit(0))
+
+
+def with_categorization_from(df: DataFrame, lexicon: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """Adds the classification struct from a lexicon table; ``key`` names a row."""
+    found = categorize_by_join(df.select(key, text), lexicon, key, text)
+    fields = [c for c in found.columns if c != key]
+    return df.join(found.select(key, F.struct(*fields).alias(out)), key, "left")
 
 
 def _among(words: str, terms: list[str]) -> str:
@@ -49,8 +54,8 @@ def _justification(hits: str, lexicon: Lexicon, category: str) -> str:
 def with_categorization(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "categorization") -> DataFrame:
     """Adds the classification struct row by row: no explode, no shuffle. Confidence is
     the category's share of the whole score; documents without a hit are Unknown."""
-    if not 0 < len(lexicon) <= INLINE_TERMS:
-        raise ValueError("use categorize_by_join for an empty lexicon or one above INLINE_TERMS")
+    if not len(lexicon):
+        raise ValueError("the lexicon is empty")
 
     def fields(prefix: str, index: int) -> list[str]:
         entry = f"get(_ranked, {index})"
@@ -72,17 +77,15 @@ def with_categorization(df: DataFrame, lexicon: Lexicon, text: str = "text", out
 def categorize_by_join(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same classification for a lexicon table of any size (category, term, weight).
 
-    A lexicon whose measured size is below the session's broadcast threshold is sent to
-    the words where they are, and only scores are shuffled. For a larger one the words
-    are counted per document first, so that the join by term moves one row per document
-    and term; a term that a third of all documents hold is split by the skew join. The
-    texts themselves never move. Returns ``key`` and the six classification fields.
+    Words are counted per document first, so that the join by term moves one row per
+    document and term; adaptive execution broadcasts a lexicon that turns out small and
+    splits a term that a third of all documents hold. A term listed several times in a
+    category counts once, at its highest weight, as in a ``Lexicon``. The texts themselves
+    never move. Returns ``key`` and the six classification fields.
     """
     words = docs.select(key, F.explode(words_of(F.col(text))).alias("term"))
-    if is_broadcastable(lexicon):
-        hits = words.withColumn("n", F.lit(1)).join(F.broadcast(lexicon), "term")
-    else:
-        hits = words.groupBy(key, "term").agg(F.count("*").alias("n")).join(lexicon, "term")
+    unique = lexicon.groupBy("category", F.lower("term").alias("term")).agg(F.max("weight").alias("weight"))
+    hits = words.groupBy(key, "term").agg(F.count("*").alias("n")).join(unique, "term")
     scored = (
         hits.groupBy(key, "category")
         .agg(

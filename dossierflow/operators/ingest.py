@@ -73,10 +73,11 @@ def new_only(uploads: DataFrame, existing: DataFrame, order: str) -> DataFrame:
 
 
 def latest_content(uploads: DataFrame, order: str) -> DataFrame:
-    """Whole winning upload per path, content included. The rank filter is applied
-    before the shuffle too, so at most one upload per path leaves each task."""
-    newest = Window.partitionBy("volume_path").orderBy(F.col(order).desc())
-    return uploads.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    """Whole winning upload per path, content included; ``order`` tells uploads of a path
+    apart. Winners are decided on narrow rows, combined before their shuffle; contents are
+    looked up by hash, so no task sorts them."""
+    winners = uploads.groupBy("volume_path").agg(F.max(order).alias(order))
+    return uploads.join(winners.hint("shuffle_hash"), ["volume_path", order], "left_semi").select(*uploads.columns)
 
 
 def first_per_path(rows: DataFrame, path: str, order: str) -> DataFrame:

@@ -210,6 +210,14 @@ class Lexicon:
 
     terms: tuple[tuple[str, str, float], ...] = field(default_factory=tuple)
 
+    def __post_init__(self) -> None:
+        # lower case, and each term once in a category, at its highest weight
+        best: dict[tuple[str, str], float] = {}
+        for category, term, weight in self.terms:
+            key = (category, term.lower())
+            best[key] = max(weight, best.get(key, weight))
+        object.__setattr__(self, "terms", tuple((c, t, w) for (c, t), w in best.items()))
+
     @classmethod
     def of(cls, groups: dict[str, str | Iterable[str]], weight: float = 1.0) -> "Lexicon":
         rows = []

@@ -34,13 +34,47 @@ def from_stage_updates(updates: DataFrame) -> DataFrame:
     )
 
 
-def from_wide(wide: DataFrame, now: Column, compact: bool = False) -> DataFrame:
+def fold(rows: DataFrame) -> DataFrame:
+    """One row per file from all rows that runs and reruns appended: of each stage the newest
+    result there is, the first creation and the last update. A rerun that fails early leaves
+    the later stages' earlier results in place."""
+    kept = [c for c in COLUMNS if c not in ("file_id", "created_at", "updated_at")]
+    newest = [F.expr(f"max_by({c}, updated_at) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in kept]
+    folded = rows.groupBy("file_id").agg(
+        *newest, F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
+    )
+    return folded.select(*COLUMNS)
+
+
+def _inner(json: str, tail: str) -> Column:
+    """Keys of a stored stage without its braces and without the given keys at its end."""
+    return F.regexp_replace(F.regexp_replace(json, rf"{tail}\}}$", ""), r"^\{", "")
+
+
+def expanded(results: DataFrame) -> DataFrame:
+    """Stored results as a view in which every stage repeats the keys of those before it."""
+    time, model = r',"timestamp":"[^"]*"', r'(?:,"model_used":"(?:[^"\\]|\\.)*")?'
+    parse = _inner("parse_result", time)
+    categorize = _inner("categorize_result", model + time)
+
+    def whole(name: str, *before: Column) -> Column:
+        return F.when(F.col(name).isNotNull(), F.concat(
+            F.lit("{"), F.concat_ws(",", *before, _inner(name, "")), F.lit("}"))).alias(name)
+
+    made = {
+        "categorize_result": whole("categorize_result", parse),
+        "extract_result": whole("extract_result", parse, categorize),
+        "deidentify_result": whole("deidentify_result", parse, categorize),
+    }
+    return results.select(*[made.get(c, F.col(c)) for c in results.columns])
+
+
+def from_wide(wide: DataFrame, now: Column) -> DataFrame:
     """Results rows straight from finished runs, without a shuffle.
 
-    Every stage's JSON repeats the keys of the stages before it, later keys winning.
-    The extract result keeps the entity values as found; only the deidentify result
-    holds the masked ones. ``compact`` stores each stage's own keys only, so that the
-    text of a document is stored once instead of four times.
+    Every stage's JSON holds its own keys, so that a document's text is stored once;
+    ``expanded`` shows the form that repeats earlier stages. The extract result keeps the
+    entity values as found; only the deidentify result holds the masked ones.
     """
     parse = [F.col(f"parse.{n}").alias(n) for n in ("status", "volume_path", "document_text", "pages", "image_output_path")]
     model = [F.col("model_used"), now.cast("string").alias("timestamp")]
@@ -52,13 +86,11 @@ def from_wide(wide: DataFrame, now: Column, compact: bool = False) -> DataFrame:
         F.col("extraction.raw_response").alias("raw_response"),
     ).alias("extraction")
     deidentify = [masked, *counts, F.col("deidentification"), F.col("pii_items_masked"), F.col("final_output")]
-    before = [] if compact else parse
-    between = [] if compact else categorize
     json = {
         "parse_result": ("parse", parse + model[1:]),
-        "categorize_result": ("categorization", before + categorize + model),
-        "extract_result": ("extraction", before + between + extract + model),
-        "deidentify_result": ("deidentification", before + between + deidentify + model),
+        "categorize_result": ("categorization", categorize + model),
+        "extract_result": ("extraction", extract + model),
+        "deidentify_result": ("deidentification", deidentify + model),
     }
     null = F.lit(None).cast("string")
     trace = F.col("trace_id") if "trace_id" in wide.columns else null

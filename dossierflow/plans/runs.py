@@ -19,7 +19,7 @@ from dossierflow.functions.replies import (
     strip_fence,
 )
 from dossierflow.functions.text import join_pages
-from dossierflow.operators.categorize import with_categorization
+from dossierflow.operators.categorize import with_categorization, with_categorization_from
 from dossierflow.operators.extract import item_count
 from dossierflow.operators.ingest import ingest_error, ingest_struct, is_supported
 from dossierflow.operators.parse import native_text, parse_error, parse_struct, parsed_error, parsed_text
@@ -51,7 +51,7 @@ def _fail(df: DataFrame, stage: str, message: Column, settings: Settings, ran: C
     text = F.concat(F.lit(f"{STAGE_LABELS[stage]} failed: "), message)
     if forced:
         # the forced failure comes after the stage's work and before its own outcome is read
-        text = F.when(ran, F.lit(f"TEST FAILURE: Forced failure at {stage} stage for testing"))
+        text = F.when(ran, F.lit(f"forced to fail at {stage}"))
     elif stage in MODEL_STAGES and settings.hide_stage_errors:
         text = F.lit(None).cast("string")
     return df.withColumns(
@@ -148,7 +148,10 @@ def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, s
         message = F.lit(None).cast("string")
         df = df.withColumn("_scan", F.when(due, F.col("_joined")))
         if stage == "categorize":
-            df = with_categorization(df, settings.lexicon, text="_scan", out="_native")
+            if isinstance(settings.lexicon, DataFrame):
+                df = with_categorization_from(df, settings.lexicon, "file_id", "_scan", "_native")
+            else:
+                df = with_categorization(df, settings.lexicon, text="_scan", out="_native")
             result = F.col("_native")
         elif stage == "extract":
             result = F.struct(entities_of("_scan", settings.entity_rules, search), F.lit(None).cast("string"))

@@ -100,7 +100,9 @@ def new_file_ids(files: DataFrame, *identity: str) -> DataFrame:
 
 def events_of_runs(wide: DataFrame, now: Column) -> DataFrame:
     """The update log that finished runs leave behind, all at one time, in order of
-    ``seq``: insert, processing, one update per finished stage, final state."""
+    ``seq``: insert, processing, one update per finished stage, final state. A rerun (a row
+    with cached results) leaves no insert; ids of trace, experiment and run and the log's path
+    are written if the rows carry them."""
     ran = {
         "ingest": F.col("volume_path").isNotNull() & ~F.col("failed_stage").eqNullSafe("ingest"),
         "parse": F.col("parse").isNotNull() & ~F.col("failed_stage").eqNullSafe("parse"),
@@ -108,7 +110,18 @@ def events_of_runs(wide: DataFrame, now: Column) -> DataFrame:
         "extract": F.col("extraction").isNotNull() & ~F.col("failed_stage").eqNullSafe("extract"),
     }
     null_map = F.lit(None).cast("map<string,string>")
-    steps = [inserted(F.col("filename"), F.lit(None).cast("string"), now), changes({"status": F.lit("processing")})]
+    first = inserted(F.col("filename"), F.lit(None).cast("string"), now)
+    opened = {"status": F.lit("processing")}
+    if "cached_parse" in wide.columns:
+        # a rerun has its record: times of the first run stay, the old outcome is cleared
+        first = null_map
+        cleared = F.create_map(
+            F.lit("error_message"), F.lit(None).cast("string"), F.lit("end_time"), F.lit(None).cast("string")
+        )
+    else:
+        cleared = F.create_map().cast("map<string,string>")
+    opened |= {c: F.col(c) for c in ("trace_id", "experiment_id", "run_id", "log_file_path") if c in wide.columns}
+    steps = [first, F.map_concat(changes(opened), cleared)]
     for i, stage in enumerate(STAGES[:-1]):
         values = {"current_stage": F.lit(STAGES[i + 1]), f"stage_{stage}_status": F.lit("completed")}
         if stage == "ingest":
@@ -154,31 +167,35 @@ def deletion_report(status: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("file_id").join(known, "file_id", "left").select(
         "file_id",
         F.coalesce("_known", F.lit(False)).alias("deleted"),
-        F.when(F.col("_known").isNull(), F.lit("File not found")).alias("error"),
+        F.when(F.col("_known").isNull(), F.lit("no record of this file")).alias("error"),
     )
 
 
-def reset_stuck(status: DataFrame, now: Column, limit: int | None = 1000) -> DataFrame:
-    """Files that are still processing among the newest ``limit`` files, as they look
-    after being marked failed. ``limit=None`` sweeps the whole table."""
-    recent = status if limit is None else newest(status, limit)
+def _stuck(status: DataFrame, limit: int | None) -> tuple[DataFrame, Column]:
+    """Files still processing, and the message they are failed with."""
+    swept = status if limit is None else newest(status, limit)
     stage = F.coalesce(F.col("current_stage"), F.lit("unknown"))
-    message = F.concat(F.lit("Processing interrupted by app restart (was at stage: "), stage, F.lit(")"))
+    message = F.concat(F.lit("The run was cut off by a restart during stage "), stage)
+    return swept.filter("status = 'processing'"), message
+
+
+def reset_stuck(status: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """Files that are still processing, as they look after being marked failed. The whole
+    table is swept; ``limit`` looks at the newest files only, if asked to."""
+    stuck, message = _stuck(status, limit)
     own = {
         f"stage_{s}_status": F.when(F.col("current_stage") == s, F.lit("failed")).otherwise(F.col(f"stage_{s}_status"))
         for s in STAGES
     }
-    return recent.filter("status = 'processing'").withColumns(
+    return stuck.withColumns(
         {"error_message": message, "end_time": now, "updated_at": now, **own, "status": F.lit("failed")}
     )
 
 
-def reset_stuck_events(status: DataFrame, now: Column, limit: int | None = 1000) -> DataFrame:
+def reset_stuck_events(status: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """The same sweep as updates to append to the log."""
-    recent = status if limit is None else newest(status, limit)
-    stage = F.coalesce(F.col("current_stage"), F.lit("unknown"))
-    message = F.concat(F.lit("Processing interrupted by app restart (was at stage: "), stage, F.lit(")"))
-    return recent.filter("status = 'processing'").select(
+    stuck, message = _stuck(status, limit)
+    return stuck.select(
         "file_id", now.alias("event_time"), F.lit(0).cast("long").alias("seq"),
         failed(message, F.col("current_stage"), now).alias("changes"),
     )

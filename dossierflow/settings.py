@@ -6,6 +6,8 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 from dossierflow.functions.prompts import default_prompt
 from dossierflow.operators.rules import (
     DEFAULT_LEXICON,
@@ -36,7 +38,8 @@ class Settings:
     )
     entity_rules: tuple[Rule, ...] = ENTITY_RULES
     pii_rules: tuple[PiiRule, ...] = PII_RULES
-    lexicon: Lexicon = DEFAULT_LEXICON
+    # a Lexicon lives in the plan; a table (category, term, weight) is joined
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON
     force_fail_stage: str | None = None
     # Reported outcome when a model stage fails: False reports the failure, True
     # lets the run end as completed with empty results.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierflow.operators.ingest import is_supported
+from dossierflow.operators.ingest import is_supported, latest_content
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,10 +25,27 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
 
 
 def supported_only(files: DataFrame, max_bytes: int, size: str = "length") -> DataFrame:
-    """Only files within the declared type and size limits."""
-    return files.filter(is_supported(F.col("filename"), F.col(size), max_bytes))
+    """Only files within the declared type and size limits. The size is a condition of its
+    own, so the scan applies it before a file is opened."""
+    return files.filter(F.col(size) <= max_bytes).filter(is_supported(F.col("filename"), F.col(size), max_bytes))
 
 
-def land(winners: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """Write landed documents (volume_path, content, ...) as a table."""
-    winners.write.mode(mode).parquet(folder)
+def refused(files: DataFrame, max_bytes: int, size: str = "length") -> DataFrame:
+    """The other files, as failed rows without contents."""
+    allowed = is_supported(F.col("filename"), F.col(size), max_bytes)
+    too_large = F.coalesce(F.col(size) > max_bytes, F.lit(False))
+    return files.filter(~allowed).select(
+        "file_id", "filename", F.col(size).alias("size_bytes"), F.lit("failed").alias("status"),
+        F.when(too_large, F.lit("file is too large")).otherwise(F.lit("file type is not supported")).alias("error"),
+    )
+
+
+def land(uploads: DataFrame, folder: str) -> None:
+    """Add uploads (volume_path, an order column, content, ...) to the landed table. Earlier
+    landings stay; which upload of a path counts is decided when the table is read."""
+    uploads.write.mode("append").parquet(folder)
+
+
+def landed(spark: SparkSession, folder: str, order: str) -> DataFrame:
+    """The newest upload of every path over all landings."""
+    return latest_content(spark.read.parquet(folder), order)

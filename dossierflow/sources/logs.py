@@ -58,11 +58,12 @@ def log_file_content(logs: DataFrame) -> DataFrame:
     )
 
 
-def write_logs(logs: DataFrame, folder: str) -> None:
-    """Log lines below one folder per date, replacing the dates written."""
+def write_logs(logs: DataFrame, folder: str, batch: str) -> None:
+    """Log lines below one folder per date and batch of runs. A batch that is written again
+    replaces itself; other runs of the day stay."""
     (
         log_lines(logs)
-        .select("log_date", "log_file_path", "seq", "line")
+        .select("log_date", F.lit(batch).alias("batch"), "log_file_path", "seq", "line")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("log_date").parquet(folder)
+        .partitionBy("log_date", "batch").parquet(folder)
     )

@@ -11,12 +11,13 @@ from dossierflow.sources.files import BINARY_SCHEMA, _named
 
 
 def arriving_files(spark: SparkSession, folder: str, glob: str | None = None, max_files: int = 1000) -> DataFrame:
-    """New files of a folder, each path once even if it is listed again within an hour."""
+    """New files of a folder. The source remembers which file, by path and modification time,
+    it has read; late and overwritten files are read like any other, so the newest version
+    of a path is the one of its latest ``modificationTime``."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(folder).withWatermark("modificationTime", "1 hour").dropDuplicatesWithinWatermark(["path"])
-    return _named(files).withColumn("file_id", F.sha2("path", 256))
+    return _named(reader.load(folder)).withColumn("file_id", F.sha2("path", 256))
 
 
 def write_once(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

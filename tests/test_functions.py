@@ -166,6 +166,31 @@ def test_replacements_longest_first(spark):
     assert df.select(redaction.apply_replacements(F.col("t"), F.col("i"))).first()[0] == "<1> <2> <1>"
 
 
+def test_replacements_are_whole_values_in_one_pass(spark):
+    text = "Credit Score: 555 at desk 5551, 555-1 Balance: $12345.50, Income: $10000. Q\\E(x) 10000"
+    items = [("555", "[REDACTED]"), ("$12345.50", "$10000+"), ("$10000", "$10000+"), ("10000", "N"), ("Q\\E(x)", "q"), ("", "no"), ("x", None)]
+    df = spark.createDataFrame([(text, items), ("none", []), (None, items)], "t string, i array<struct<value:string,replacement:string>>")
+    got = [r[0] for r in df.select(redaction.apply_replacements(F.col("t"), F.col("i"))).collect()]
+    assert got == ["Credit Score: [REDACTED] at desk 5551, [REDACTED]-1 Balance: $10000+, Income: $10000+. q N", "none", None]
+
+
+def test_literals_with_apostrophes(spark):
+    rows = ["{'a': \"O'Brien\", 'n': None}", "{'a': 'it''s', 'b': [True, 'x']}", "{'a': 'say \"hi\" now'}", "{'k': 'd\u2019or', 'v': 'O'Neil Co'}"]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    got = [r[0] for r in df.select(replies.repair_json(F.col("s"))).collect()]
+    import json
+
+    assert [json.loads(g) if g else g for g in got] == [
+        {"a": "O'Brien", "n": None}, {"a": "it''s", "b": [True, "x"]}, {"a": 'say "hi" now'}, {"k": "d\u2019or", "v": "O'Neil Co"}]
+
+
+def test_malformed_bytes_become_replacement_characters(spark):
+    from dossierflow.functions.text import decode_utf8
+
+    df = spark.createDataFrame([(bytes.fromhex("41ff42"),)], "b binary")
+    assert df.select(decode_utf8(F.col("b"))).first()[0] == "A\ufffdB"
+
+
 def test_view_helpers(spark):
     assert evaluate(spark, ["", "a", "a,b", "a, ,b", None], views.trace_list) == [[], ["a"], ["b", "a"], ["b", "a"], []]
     assert evaluate(spark, ["", "a", "a,b,c"], views.trace_labels) == [["N/A"], ["a"], ["Latest: c", "Prev: b", "Prev: a"]]

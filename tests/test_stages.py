@@ -117,6 +117,23 @@ def test_categorize_both_ways_against_brute_force(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_repeated_and_many_terms_in_both_forms(spark):
+    """A term listed three times counts once; a lexicon of 5,000 terms is no limit, in a run either."""
+    repeated = (("A", "apple", 1.0), ("A", "Apple", 1.0), ("A", "apple", 1.0), ("B", "pear", 2.0))
+    many = (*repeated, *(("C", f"w{i}", 1.0) for i in range(5000)), ("D", "401k", 5.0), ("D", "w-2", 5.0), ("D", "été", 5.0))
+    docs = spark.createDataFrame([(1, "Apple pear"), (2, "w17 w18 pear apple"), (3, "form W-2"), (4, "ÉTÉ"), (5, "401k")], "doc_id long, text string")
+    for terms, want in ((repeated, ["B", "B", "Unknown", "Unknown", "Unknown"]), (many, ["B", "B", "D", "D", "D"])):
+        table = spark.createDataFrame(list(terms), "category string, term string, weight double")
+        inline = categorize.with_categorization(docs, rules.Lexicon(terms)).select("doc_id", "categorization.*")
+        joined = categorize.categorize_by_join(docs, table)
+        rows = [sorted(map(tuple, df.collect())) for df in (inline, joined)]
+        assert rows[0] == rows[1] and [r[1] for r in rows[0]] == want
+        files = docs.select(F.col("doc_id").cast("string").alias("file_id"), F.lit("a.txt").alias("filename"), F.col("text").cast("binary").alias("content"))
+        for lexicon in (rules.Lexicon(terms), table):
+            wide = runs.run_stages(files, Settings(lexicon=lexicon))
+            assert [r.primary_category for r in wide.orderBy("file_id").collect()] == want
+
+
 def test_empty_lexicon_is_refused(spark):
     with pytest.raises(ValueError):
         categorize.with_categorization(spark.createDataFrame([("x",)], "text string"), rules.Lexicon())
@@ -173,7 +190,7 @@ def test_file_limits_are_opt_in(spark):
 def test_forced_failure(spark, stage, done):
     rows = [("a", "a.txt", b"text"), ("b", "b.txt", None)]
     got = {r.file_id: r for r in runs.run_stages(docs_of(spark, rows), Settings(force_fail_stage=stage)).collect()}
-    assert got["a"].error == f"TEST FAILURE: Forced failure at {stage.lower()} stage for testing"
+    assert got["a"].error == f"forced to fail at {stage.lower()}"
     assert (got["a"].failed_stage, got["a"].stages_completed) == (stage.lower(), done)
     assert got["b"].failed_stage == "ingest"
     records = runs.failures(runs.run_stages(docs_of(spark, rows), Settings(force_fail_stage=stage))).collect()
@@ -236,7 +253,8 @@ def test_results_keep_the_unmasked_extract_result(spark, sample_docs):
 
     wide = runs.run_stages(sample_docs, Settings())
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    row = results.from_wide(wide, now).filter("file_id = 'bank.txt'").first()
+    stored = results.from_wide(wide, now)
+    row = results.expanded(stored).filter("file_id = 'bank.txt'").first()
     parsed, cat, ext, dei = (json.loads(row[f"{s}_result"]) for s in ("parse", "categorize", "extract", "deidentify"))
     assert parsed["pages"] == [{"text": parsed["document_text"], "page_id": 0}]
     assert set(parsed) - {"timestamp"} < set(cat) < set(ext) < set(dei)
@@ -244,7 +262,7 @@ def test_results_keep_the_unmasked_extract_result(spark, sample_docs):
     assert dei["extraction"]["entities"][0] == {"type": "person", "value": "[REDACTED]", "confidence": 0.85, "masked": True}
     assert "masked" not in dei["extraction"]["entities"][2]
     assert dei["final_output"] is True and dei["pii_items_masked"] == 9
-    small = results.from_wide(wide, now, compact=True).filter("file_id = 'bank.txt'").first()
+    small = stored.filter("file_id = 'bank.txt'").first()
     assert "document_text" not in json.loads(small.categorize_result)
 
 

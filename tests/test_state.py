@@ -94,7 +94,7 @@ def test_reset_looks_at_the_newest_only(spark):
     now = F.lit("2024-02-01").cast("timestamp")
     got = {r.file_id: r for r in st.reset_stuck(some_status(spark), now, limit=4).collect()}
     assert set(got) == {"a", "c"}
-    assert got["a"].error_message == "Processing interrupted by app restart (was at stage: parse)" and got["a"].stage_parse_status == "failed"
+    assert got["a"].error_message == "The run was cut off by a restart during stage parse" and got["a"].stage_parse_status == "failed"
     assert {r.file_id for r in st.reset_stuck(some_status(spark), now, limit=None).collect()} == {"a", "c", "d"}
     events = {r.file_id: r.changes for r in st.reset_stuck_events(some_status(spark), now, limit=None).collect()}
     assert events["a"]["stage_parse_status"] == "failed" and "current_stage" not in events["c"]
@@ -104,7 +104,7 @@ def test_delete_leaves_results(spark):
     ids = spark.createDataFrame([("a",), ("zz",)], "file_id string")
     assert {r.file_id for r in st.delete_records(some_status(spark), ids).collect()} == {"b", "c", "d", "e"}
     assert {r.file_id: (r.deleted, r.error) for r in st.deletion_report(some_status(spark), ids).collect()} == {
-        "a": (True, None), "zz": (False, "File not found")}
+        "a": (True, None), "zz": (False, "no record of this file")}
     found = spark.createDataFrame([("a", "r"), ("q", "r")], "file_id string, parse_result string")
     left = st.delete_records(some_status(spark), ids)
     assert {r.file_id for r in results.orphans(found, left).collect()} == {"a", "q"}
@@ -139,6 +139,38 @@ def test_tables(spark, tmp_path):
     spark.sql("DROP TABLE dossier_test_results")
 
 
+def test_landings_and_reruns_keep_earlier_data(spark, tmp_path):
+    from dossierflow.sources import files
+
+    folder = str(tmp_path / "landed")
+    for rows in ([("/p/a", 1, b"one"), ("/p/b", 2, b"two")], [("/p/a", 3, b"new")]):
+        files.land(spark.createDataFrame(rows, "volume_path string, seq long, content binary"), folder)
+    got = {r.volume_path: bytes(r.content) for r in files.landed(spark, folder, "seq").collect()}
+    assert got == {"/p/a": b"new", "/p/b": b"two"}
+
+
+def test_size_filter_reaches_the_scan(spark, tmp_path):
+    from dossierflow.sources import files
+
+    (tmp_path / "a.txt").write_text("x" * 50)
+    (tmp_path / "b.txt").write_text("x")
+    (tmp_path / "c.exe").write_text("x")
+    found = files.read_files(spark, str(tmp_path))
+    plan = files.supported_only(found, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,10)" in plan
+    assert [r.filename for r in files.supported_only(found, 10).collect()] == ["b.txt"]
+    assert {r.filename: r.error for r in files.refused(found, 10).collect()} == {
+        "a.txt": "file is too large", "c.exe": "file type is not supported"}
+
+
+def test_the_sweep_reads_the_whole_table(spark):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    log = spark.range(1500).select(
+        F.concat(F.lit("f"), "id").alias("file_id"), now.alias("event_time"), F.lit(0).cast("long").alias("seq"),
+        st.changes({"status": F.lit("processing"), "current_stage": F.lit("parse")}).alias("changes"))
+    assert st.reset_stuck(st.fold(log), now).count() == 1500 == st.reset_stuck_events(st.fold(log), now).count()
+
+
 def test_log_lines_and_files(spark, tmp_path):
     wide = spark.createDataFrame([("r1", "a.txt", 2, "failed", "Parse failed: x"), ("r2", "b.txt", 5, "completed", None)],
                                  "file_id string, filename string, stages_completed int, status string, error string")
@@ -150,8 +182,10 @@ def test_log_lines_and_files(spark, tmp_path):
         "2024-03-05 06:07:08,009 - dossierflow.runs - INFO - [RUN r1] Stage 2: Parse",
         "2024-03-05 06:07:08,009 - dossierflow.runs - ERROR - [RUN r1] Failed: Parse failed: x"]
     for _ in range(2):
-        logs.write_logs(made, str(tmp_path / "logs"))
+        logs.write_logs(made, str(tmp_path / "logs"), "morning")
     assert spark.read.parquet(str(tmp_path / "logs")).count() == 4 + 7
+    logs.write_logs(made, str(tmp_path / "logs"), "evening")
+    assert spark.read.parquet(str(tmp_path / "logs")).count() == 2 * (4 + 7)
 
 
 def test_read_deidentify_counts(spark):
