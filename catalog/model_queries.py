@@ -6,6 +6,8 @@ from catalog import fixtures as fx
 from catalog.registry import query, table
 from dossierflow.functions import prompts, replies as rp
 from dossierflow.operators.scoring import reply_column, stub_scorer, token_usage
+from dossierflow.plans.runs import run_stages
+from dossierflow.settings import Settings
 
 TEMPLATE = 'Read this:\n{document_text}\nAnswer {{"ok": true}}'
 
@@ -51,6 +53,35 @@ def score_stub(spark, sf):
     return _scored(spark, sf).select("doc_id", "r.model", "r.finish_reason", "r.prompt_tokens", "r.total_tokens")
 
 
+def _mail_scorer(asked, options):
+    """Answers with the mail addresses that stand after white space in a prompt."""
+    import json
+    import re
+
+    from dossierflow.operators.scoring import Reply
+
+    found = [re.findall(r"\s([a-z]+\.[0-9]+@mail[0-9]\.example\.com)", p) for p in asked]
+    return [Reply(json.dumps({"entities": [{"type": "email", "value": m} for m in f]}), "mail") for f in found]
+
+
+@query(
+    "scored_windows",
+    r"""SELECT doc_id, count(DISTINCT m) AS mails, md5(coalesce(string_agg(DISTINCT m, ',' ORDER BY m), '')) AS mails_md5 FROM (
+    SELECT doc_id, unnest(CASE WHEN len(f) = 0 THEN [NULL] ELSE f END) AS m FROM (
+    SELECT doc_id, regexp_extract_all(text, '\s([a-z]+\.[0-9]+@mail[0-9]\.example\.com)', 1) AS f FROM documents)) GROUP BY doc_id""",
+)
+def scored_windows(spark, sf):
+    """A whole run with a model: it sees every part of every text."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("file_id"), F.lit("a.txt").alias("filename"),
+        F.col("text").cast("binary").alias("content"))
+    wide = run_stages(docs, Settings(scorers={"extract": _mail_scorer}, prompts={"extract": "|{document_text}|"}))
+    mails = F.array_sort(F.array_distinct(F.transform("extraction.entities", lambda e: e["value"])))
+    return wide.select(
+        F.col("file_id").cast("long").alias("doc_id"), F.size(mails).cast("long").alias("mails"),
+        F.md5(F.array_join(mails, ",")).alias("mails_md5"))
+
+
 @query(
     "token_usage",
     f"""SELECT lang AS stage, 'stub' AS model, count(*) AS calls, CAST(sum({_WORDS}) AS bigint) AS prompt_tokens,

@@ -224,7 +224,7 @@ def resume_plan(spark, sf):
 @query(
     "resume_backfill",
     """SELECT file_id, volume_path, CASE WHEN volume_path IS NULL THEN
-    'Cannot reprocess: volume_path is empty and not found in database' END AS error FROM requests""",
+    'no volume path, neither given nor recorded' END AS error FROM requests""",
     ("requests",),
 )
 def resume_backfill(spark, sf):
@@ -257,8 +257,7 @@ def trace_history(spark, sf):
 
 def resumed(spark, sf):
     landed = table(spark, sf, "documents").select(
-        F.concat(F.lit("/Volumes/main/docs/inbox/d"), "doc_id", F.lit(".txt")).alias("volume_path"),
-        F.col("text").cast("binary").alias("content"))
+        F.concat(F.lit("d"), "doc_id").alias("file_id"), F.col("text").cast("binary").alias("content"))
     return resume.run(planned(spark, sf), landed, fx.run_settings())
 
 

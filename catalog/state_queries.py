@@ -38,6 +38,19 @@ def status_fold(spark, sf):
     return fx.status(spark, sf).select(*_MAIN, _time("end_time"), _time("created_at"), _time("updated_at"))
 
 
+@query(
+    "status_incremental",
+    f"SELECT {', '.join(_MAIN)}, {_time_sql('end_time')}, {_time_sql('created_at')}, {_time_sql('updated_at')} FROM status",
+    ("status",),
+)
+def status_incremental(spark, sf):
+    """Every second event compacted first, the others added to what that leaves."""
+    log = fx.stage_events(spark, sf)
+    old = st.compact(log.filter("seq % 2 = 0"))
+    status = st.fold(st.compact(old.unionByName(log.filter("seq % 2 <> 0"))))
+    return status.select(*_MAIN, _time("end_time"), _time("created_at"), _time("updated_at"))
+
+
 @query("status_failed",
        f"SELECT file_id, current_stage, error_message, {', '.join(_STAGES)}, {_time_sql('end_time')} FROM status WHERE status = 'failed'",
        ("status",))
@@ -110,6 +123,25 @@ def _results(spark, sf):
         "quality")
 
 
+@query(
+    "results_after_rerun",
+    """SELECT 'f' || doc_id AS file_id, 'tr' || doc_id AS trace_id,
+    CASE WHEN quality = 0 THEN 'parse 2' ELSE 'parse 1' END AS parse_result, 'category 1' AS categorize_result,
+    '2024-01-01' AS created, CASE WHEN quality = 0 THEN '2024-01-02' ELSE '2024-01-01' END AS updated FROM labels""",
+)
+def results_after_rerun(spark, sf):
+    """One row per file after a rerun that got no further than parse."""
+    def rows(part, day, **stages):
+        now = F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+        return res.skeleton(part, now).withColumns({f"{s}_result": F.lit(v) for s, v in stages.items()})
+
+    first = rows(_results(spark, sf), 1, parse="parse 1", categorize="category 1")
+    again = rows(_results(spark, sf).filter("quality = 0"), 2, parse="parse 2")
+    return res.fold(first.unionByName(again)).select(
+        "file_id", "trace_id", "parse_result", "categorize_result",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 @query(
     "results_skeleton",
     """SELECT 'f' || doc_id AS file_id, 'tr' || doc_id AS trace_id, 'exp' AS experiment_id,

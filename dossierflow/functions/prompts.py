@@ -52,6 +52,17 @@ def truncate_text(text: Column, limit: int = PROMPT_TEXT_CHARS) -> Column:
     return F.left(text, F.lit(limit))
 
 
+def text_windows(text: Column, size: int = PROMPT_TEXT_CHARS, overlap: int = 500) -> Column:
+    """The whole text as overlapping pieces of at most ``size`` code points, at least one; what
+    is no longer than ``overlap`` lies whole in some piece. A NULL text is one empty piece."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the window")
+    step = size - overlap
+    whole = F.coalesce(text, F.lit(""))
+    last = F.greatest(F.ceil((F.length(whole) - F.lit(overlap)) / F.lit(step)), F.lit(1)).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * step + 1, F.lit(size)))
+
+
 def or_default(value: Column, default: Column | str) -> Column:
     """``value``, or the default where it is NULL or empty."""
     fallback = default if isinstance(default, Column) else F.lit(default)

@@ -86,6 +86,51 @@ def reply_column(prompt: Column, scorer: Scorer, options: ModelOptions = ModelOp
     return score(prompt)
 
 
+def reply_list_column(prompts: Column, scorer: Scorer, options: ModelOptions = ModelOptions(), batch: int = 64) -> Column:
+    """Reply structs for arrays of prompts, in their order; NULL arrays are not scored."""
+
+    @F.pandas_udf(f"array<{ddl(REPLY)}>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = [f.name for f in REPLY.fields]
+        for lists in batches:
+            flat = [p for some in lists if some is not None for p in some]
+            rows: list[tuple] = []
+            for start in range(0, len(flat), batch):
+                rows.extend(_score(flat[start : start + batch], scorer, options))
+            out, at = [], 0
+            for some in lists:
+                n = 0 if some is None else len(some)
+                out.append(None if some is None else [dict(zip(names, r)) for r in rows[at : at + n]])
+                at += n
+            yield pd.Series(out, dtype=object)
+
+    return score(prompts)
+
+
+def one_reply(replies: Column) -> Column:
+    """Replies to the windows of one document as one: texts and ids joined, tokens summed, the
+    first error."""
+    first = F.get(replies, F.lit(0))
+
+    def total(name: str) -> Column:
+        return F.aggregate(
+            F.transform(replies, lambda r: r[name]), F.lit(None).cast("long"),
+            lambda acc, n: F.coalesce(acc + n, acc, n),
+        )
+
+    def joined(name: str, by: str) -> Column:
+        some = F.filter(F.transform(replies, lambda r: r[name]), lambda x: x.isNotNull())
+        return F.when(F.size(some) > 0, F.array_join(some, by))
+
+    cut = F.exists(replies, lambda r: F.coalesce(r["finish_reason"] == "length", F.lit(False)))
+    error = F.get(F.filter(F.transform(replies, lambda r: r["error"]), lambda e: e.isNotNull()), F.lit(0))
+    return F.struct(
+        joined("reply", "\n").alias("reply"), first["model"].alias("model"), joined("request_id", ",").alias("request_id"),
+        F.when(cut, F.lit("length")).otherwise(first["finish_reason"]).alias("finish_reason"), error.alias("error"),
+        *[total(n).alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")],
+    ).cast(ddl(REPLY))
+
+
 def stub_scorer(prompts: list[str], options: ModelOptions) -> list[Reply]:
     """A deterministic stand-in: answers with an empty result; a token is a piece
     between white space."""

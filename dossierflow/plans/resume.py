@@ -10,7 +10,7 @@ from dossierflow.plans.status import changes
 from dossierflow.schemas import CATEGORIZATION, EXTRACTION, PARSE, RESUMABLE_STAGES, ddl
 from dossierflow.settings import Settings
 
-NO_PATH = "Cannot reprocess: volume_path is empty and not found in database"
+NO_PATH = "no volume path, neither given nor recorded"
 
 
 def requested_index(failed_stage: Column) -> Column:
@@ -104,9 +104,17 @@ def reset_changes(planned: DataFrame, now: Column) -> DataFrame:
 
 
 def run(planned: DataFrame, landed: DataFrame, settings: Settings) -> DataFrame:
-    """Wide rows of the rerun. ``landed`` (volume_path, content) is read only for files
-    that parse again; fresh and cached results end up in the same columns."""
-    again = planned.filter("start_index = 0 AND error IS NULL").select("file_id", "volume_path")
-    content = again.join(landed.select("volume_path", "content"), "volume_path").select("file_id", "content")
-    df = planned.drop("failed_stage").join(content, "file_id", "left")
-    return run_stages(df, settings)
+    """Wide rows of the rerun. ``landed`` (content, and file_id or volume_path) is joined once,
+    and only contents of files that parse again go on; fresh and cached results end up in
+    the same columns."""
+    again = (F.col("start_index") == 0) & F.col("error").isNull()
+    if "file_id" in landed.columns:
+        df = planned.join(landed.select("file_id", "content"), "file_id", "left")
+        df = df.withColumn("content", F.when(again, F.col("content")))
+    else:
+        # files that need no content get a key of their own, so that they don't meet in one task
+        wanted = F.when(again, F.col("volume_path")).otherwise(F.concat(F.lit("\u0000"), "file_id"))
+        content = landed.select(F.col("volume_path").alias("_path"), "content")
+        df = planned.withColumn("_wanted", wanted)
+        df = df.join(content, F.col("_wanted") == F.col("_path"), "left").drop("_wanted", "_path")
+    return run_stages(df.drop("failed_stage"), settings)

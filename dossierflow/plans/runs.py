@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossierflow.functions.prompts import or_default, render_prompt
+from dossierflow.functions.prompts import or_default, render_prompt, text_windows
 from dossierflow.functions.redaction import mask_entities
 from dossierflow.functions.replies import (
     categorization_error,
@@ -24,7 +24,7 @@ from dossierflow.operators.extract import item_count
 from dossierflow.operators.ingest import ingest_error, ingest_struct, is_supported
 from dossierflow.operators.parse import native_text, parse_error, parse_struct, parsed_error, parsed_text
 from dossierflow.operators.rules import SharedMatches, entities_of, matches_sql, pii_items_of
-from dossierflow.operators.scoring import ModelOptions, reply_column
+from dossierflow.operators.scoring import ModelOptions, one_reply, reply_list_column
 from dossierflow.schemas import (
     CATEGORIZATION,
     DEIDENTIFICATION,
@@ -34,6 +34,7 @@ from dossierflow.schemas import (
     RESUMABLE_STAGES,
     STAGE_LABELS,
     STAGES,
+    UNKNOWN_CATEGORY,
     ddl,
 )
 from dossierflow.settings import Settings
@@ -105,18 +106,44 @@ def _parse(df: DataFrame, settings: Settings, resumed: bool) -> DataFrame:
     return _fail(df, "parse", F.col("_message"), settings, due).drop("_message", "_text", "_parsed")
 
 
-def _scored(df: DataFrame, stage: str, settings: Settings) -> DataFrame:
-    """Adds the stage's reply struct and its parsed value."""
+def _scored(df: DataFrame, stage: str, settings: Settings, key: str | None) -> DataFrame:
+    """Adds the stage's reply, its result over all windows of the text, and what was wrong."""
     template = F.lit(settings.prompts[stage])
     if f"{stage}_prompt" in df.columns:
         template = or_default(F.col(f"{stage}_prompt"), template)
-    prompt = F.when(_due(stage), render_prompt(template, F.col("_joined")))
+    windows = text_windows(F.col("_joined"), settings.prompt_chars, settings.prompt_overlap)
+    prompts = F.when(_due(stage), F.transform(windows, lambda w: render_prompt(template, w, settings.prompt_chars)))
     options = ModelOptions(settings.model, settings.temperature, settings.max_tokens)
-    df = df.withColumn("_prompt", prompt)
-    df = df.withColumn(f"{stage}_reply", reply_column(F.col("_prompt"), settings.scorers[stage], options))
-    text = F.col(f"{stage}_reply.reply")
-    df = df.withColumn("_reply", strip_fence(text) if settings.strip_reply_fences else text)
-    return df.withColumn("_value", parse_reply(F.col("_reply"))).drop("_prompt")
+    df = df.withColumn("_prompts", prompts)
+    df = df.withColumn("_replies", reply_list_column(F.col("_prompts"), settings.scorers[stage], options))
+    body = (lambda text: strip_fence(text)) if settings.strip_reply_fences else (lambda text: text)
+    df = df.withColumn(
+        "_read",
+        F.transform("_replies", lambda r: F.struct(
+            r["error"].alias("error"), body(r["reply"]).alias("reply"), parse_reply(body(r["reply"])).alias("value"))),
+    )
+    df = df.withColumn(f"{stage}_reply", one_reply(F.col("_replies")))
+    shape = categorization_error if key is None else lambda value: list_error(value, key)
+    errors = F.transform("_read", lambda x: F.coalesce(x["error"], shape(x["value"])))
+    df = df.withColumn("_error", F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0)))
+    if key is None:
+        # the surest window decides, the earlier one if two are as sure
+        found = F.transform("_read", lambda x: categorization_from(x["value"], x["reply"]).cast(ddl(CATEGORIZATION)))
+        sure = lambda c: F.coalesce(c["primary_confidence"], F.lit(-1.0))
+        known = lambda c: c["primary_category"] != UNKNOWN_CATEGORY
+        rank = lambda c: F.coalesce(known(c).cast("int"), F.lit(0)) + sure(c)
+        result = F.aggregate(
+            F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), F.get(found, F.lit(0)),
+            lambda best, c: F.when(rank(c) > rank(best), c).otherwise(best),
+        )
+    else:
+        found = F.transform("_read", lambda x: list_reply(x["value"], x["reply"], key))
+        raw = F.filter(F.transform(found, lambda x: x["raw_response"]), lambda r: r.isNotNull())
+        items = F.flatten(F.transform(found, lambda x: x[key]))
+        # overlapping windows name some items twice; one window's own repeats stay
+        items = F.when(F.size(found) > 1, F.array_distinct(items)).otherwise(items)
+        result = F.struct(items.alias(key), F.when(F.size(raw) > 0, F.array_join(raw, "\n")).alias("raw_response"))
+    return df.withColumn("_result", result).drop("_prompts", "_replies", "_read")
 
 
 def _with_matches(df: DataFrame, settings: Settings) -> tuple[DataFrame, SharedMatches]:
@@ -138,11 +165,8 @@ def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, s
     }[stage]
     due = _due(stage)
     if stage in settings.scorers:
-        df = _scored(df, stage, settings)
-        value, reply = F.col("_value"), F.col("_reply")
-        shape = categorization_error(value) if key is None else list_error(value, key)
-        message = F.when(due, F.coalesce(F.col(f"{stage}_reply.error"), shape))
-        result = categorization_from(value, reply) if key is None else list_reply(value, reply, key)
+        df = _scored(df, stage, settings, key)
+        message, result = F.when(due, F.col("_error")), F.col("_result")
     else:
         df = df.withColumn(f"{stage}_reply", _null(REPLY))
         message = F.lit(None).cast("string")
@@ -162,7 +186,7 @@ def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, s
     if resumed and stage != "deidentify":
         fresh = F.when(F.col("start_index") > RESUMABLE_STAGES.index(stage), F.col(f"cached_{out}")).otherwise(fresh)
     df = df.withColumn(out, F.coalesce(fresh, _null(data_type)))
-    return _fail(df, stage, F.col("_message"), settings, due).drop("_message", "_native", "_reply", "_value", "_scan")
+    return _fail(df, stage, F.col("_message"), settings, due).drop("_message", "_native", "_error", "_result", "_scan")
 
 
 def run_stages(docs: DataFrame, settings: Settings) -> DataFrame:

@@ -80,6 +80,21 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
+def compact(events: DataFrame) -> DataFrame:
+    """A shorter log with the same fold: of each file and column only the latest entry. New
+    events are appended to it, late ones too, and it is compacted again; a file costs at most
+    one row for each column, however long its history."""
+    latest = F.struct("event_time", "seq")
+    entries = events.select("file_id", "event_time", "seq", F.explode("changes").alias("name", "value"))
+    kept = entries.groupBy("file_id", "name").agg(
+        F.max(latest).alias("at"), F.max_by(F.struct("value"), latest).alias("entry")
+    )
+    return (
+        kept.groupBy("file_id", F.col("at.event_time").alias("event_time"), F.col("at.seq").alias("seq"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("name", "entry.value"))).alias("changes"))
+    )
+
+
 def initial_events(files: DataFrame, now: Column) -> DataFrame:
     """Records for a whole batch of files before any work starts: inserted as pending,
     then set to processing. Needs file_id and filename; ids come from ``new_file_ids``

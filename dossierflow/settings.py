@@ -46,6 +46,9 @@ class Settings:
     hide_stage_errors: bool = False
     strip_reply_fences: bool = False
     scorers: dict[str, Callable] = field(default_factory=dict)
+    # a model sees a whole document in windows of so many characters, which overlap
+    prompt_chars: int = 5000
+    prompt_overlap: int = 500
     logs_path: str = "/Volumes/catalog/schema/volume/logs"
     table_rows: int = 20
 
