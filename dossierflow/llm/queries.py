@@ -10,6 +10,7 @@ from dossierflow.llm import (
     exact_dedup,
     html_extraction,
     jaccard_join,
+    oracles,
     packing,
     secrets,
     sharding,
@@ -28,13 +29,13 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op2_substring_dedup(spark, sf_dir):
     """Every document without passages of 35 words and more that stand anywhere else."""
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op3_decontamination")
+@query("op3_decontamination", oracles.DECONTAMINATION)
 def op3_decontamination(spark, sf_dir):
     """Words of every document that lie in windows of benchmark items."""
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
@@ -59,7 +60,7 @@ def op6_secrets(spark, sf_dir):
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
-@query("op7_ngram_jaccard_join")
+@query("op7_ngram_jaccard_join", oracles.JACCARD_JOIN)
 def op7_ngram_jaccard_join(spark, sf_dir):
     """Links between documents whose sets of five-word n-grams are similar from 0.8 on."""
     return jaccard_join.join(table(spark, sf_dir, "documents"))
