@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that are worked on at once; a longer text is a slice of its own
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -28,9 +28,9 @@ from dossierflow.llm.hashing import Prefix, Words, bytes_prefix
 from dossierflow.llm.store import keep
 
 #: bytes of segments that a task judges at once
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: segments of one value that a task judges at once; values with more are judged by shuffled window hashes
-HOT_SEGMENTS = 50_000
+HOT_SEGMENTS = 20_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
