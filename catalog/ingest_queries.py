@@ -7,15 +7,26 @@ from catalog.registry import query, table
 from dossierflow.functions.paths import file_extension, image_output_path, is_volume_path, safe_filename, volume_parts
 from dossierflow.functions.text import decode_utf8
 from dossierflow.operators import ingest
-from dossierflow.sources.files import read_files
+from dossierflow.sources.files import land, landed, read_files
 from dossierflow.sources.folders import work_folder
 
 
-@query("read_files")
+@query(
+    "read_files",
+    """SELECT lang, CAST(sum(strlen(text) + 1) AS bigint) AS total_bytes, count(*) AS documents FROM documents
+    WHERE text IS NOT NULL GROUP BY lang""",
+)
 def read_files_query(spark, sf):
-    """Listing of the table files themselves; contents are not opened."""
-    files = read_files(spark, sf, "*.parquet")
-    return files.select("filename", F.col("length").alias("size_bytes"))
+    """Files below one folder per language, found recursively and read with their contents: what
+    the listing says of their sizes must agree with the bytes read."""
+    folder = work_folder(spark, "read-files")
+    docs = table(spark, sf, "documents").select("lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    docs.filter("text IS NOT NULL").write.option("maxRecordsPerFile", 1000).partitionBy("lang").text(folder)
+    files = read_files(spark, folder, "*.txt", recursive=True).filter(F.octet_length("content") == F.col("length"))
+    text = decode_utf8(F.col("content"))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return files.groupBy(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")).agg(
+        F.sum("length").cast("long").alias("total_bytes"), F.sum(lines).cast("long").alias("documents"))
 
 
 @query(
@@ -115,6 +126,20 @@ def ingest_new_only(spark, sf):
     return ingest.new_only(up.join(labels, "doc_id", "left_anti"), existing, "doc_id")
 
 
+@query(
+    "land_twice",
+    """SELECT volume_path, max(doc_id) AS doc_id, md5(arg_max(text, doc_id)) AS content_md5 FROM uploads GROUP BY volume_path""",
+    ("uploads",),
+)
+def land_twice(spark, sf):
+    """Two landings, the later documents first: nothing is lost and the newest upload of a path counts."""
+    folder = work_folder(spark, "land-twice")
+    uploads = fx.uploads(spark, sf).select("volume_path", "doc_id", "text")
+    for part in ("doc_id % 3 = 0", "doc_id % 3 <> 0"):
+        land(uploads.filter(part), folder)
+    return landed(spark, folder, "doc_id").select("volume_path", "doc_id", F.md5("text").alias("content_md5"))
+
+
 @query(
     "landed_content",
     """SELECT volume_path, max(doc_id) AS doc_id, md5(arg_max(text, doc_id)) AS content_md5 FROM uploads GROUP BY volume_path""",

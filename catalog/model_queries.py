@@ -6,7 +6,7 @@ from catalog import fixtures as fx
 from catalog.registry import query, table
 from dossierflow.functions import prompts, replies as rp
 from dossierflow.operators.scoring import reply_column, stub_scorer, token_usage
-from dossierflow.plans.runs import run_stages
+from dossierflow.plans.runs import run_stages, usage_rows
 from dossierflow.settings import Settings
 
 TEMPLATE = 'Read this:\n{document_text}\nAnswer {{"ok": true}}'
@@ -165,3 +165,17 @@ def reply_fenced(spark, sf):
     df = fx.replies(spark, sf).withColumn("v", rp.parse_reply(rp.strip_fence(F.col("reply"))))
     found = df.select("doc_id", F.try_variant_get("v", "$.primary_category", "string").alias("primary_category"))
     return found.filter("primary_category = 'Tax Document'")
+
+
+@query(
+    "run_usage",
+    """SELECT unnest(['categorize', 'extract', 'deidentify']) AS stage, 'stub' AS model, count(*) AS calls,
+    CAST(6 * sum(greatest(ceil((length(text) - 500) / 4500.0), 1)) AS bigint) AS completion_tokens FROM documents WHERE length(trim(text)) > 0""",
+)
+def run_usage(spark, sf):
+    """Tokens of each model stage over whole runs: six for each window of a text."""
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("file_id"), F.lit("a.txt").alias("filename"),
+        F.col("text").cast("binary").alias("content"))
+    wide = run_stages(docs, Settings(scorers={s: stub_scorer for s in ("categorize", "extract", "deidentify")}))
+    return token_usage(usage_rows(wide)).select("stage", "model", "calls", "completion_tokens")

@@ -6,6 +6,8 @@ from catalog import fixtures as fx
 from catalog.registry import query, table, view
 from dossierflow.functions import prompts, text as tx
 from dossierflow.operators import ingest, parse
+from dossierflow.plans.runs import run_stages
+from dossierflow.settings import Settings
 
 # what the payload's elements amount to as text
 PAYLOAD_TEXT = """array_to_string(list_filter(list_transform(elements, lambda e: json_extract_string(e, '$.content')),
@@ -54,6 +56,35 @@ def parse_html(spark, sf):
     return pages.select("page_id", tx.html_to_text(F.col("html")).alias("document_text"))
 
 
+@query(
+    "run_html",
+    f"""SELECT page_id, CASE WHEN t = '' THEN 'failed' ELSE 'completed' END AS status, md5(nullif(t, '')) AS text_md5
+    FROM (SELECT page_id, {HTML_SQL} AS t FROM pages)""",
+)
+def run_html(spark, sf):
+    """Whole runs over pages."""
+    pages = table(spark, sf, "pages").select(
+        F.col("page_id").cast("string").alias("file_id"), F.lit("page.html").alias("filename"),
+        F.col("html").cast("binary").alias("content"))
+    wide = run_stages(pages, Settings())
+    return wide.select(F.col("file_id").cast("long").alias("page_id"), "status", F.md5("parse.document_text").alias("text_md5"))
+
+
+@query(
+    "run_payload",
+    """SELECT doc_id, CASE WHEN error_status IS NULL AND length(t) > 0 THEN 'completed' ELSE 'failed' END AS status,
+    CASE WHEN error_status IS NULL AND length(t) > 0 THEN md5(t) END AS text_md5 FROM parsed""",
+    ("parsed",),
+)
+def run_payload(spark, sf):
+    """Whole runs over the replies of an external parser."""
+    docs = fx.payloads(spark, sf).select(
+        "doc_id", F.col("doc_id").cast("string").alias("file_id"), F.lit("a.pdf").alias("filename"),
+        F.col("payload").cast("binary").alias("content"), "payload")
+    wide = run_stages(docs, Settings())
+    return wide.select("doc_id", "status", F.md5("parse.document_text").alias("text_md5"))
+
+
 MARKDOWN = (
     "'# ' || source || chr(10) || '- **' || lang || '** see [notes](http://example.com/' || CAST(doc_id AS string) || ')' "
     "|| chr(10) || '```text' || chr(10) || text || chr(10) || '```' || chr(10) || '> `end` *kept*'"

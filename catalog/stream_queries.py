@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, table
 from dossierflow.plans.runs import summary
+from dossierflow.settings import Settings
 from dossierflow.sources.folders import work_folder
 from dossierflow.streaming import arrivals, progress
 
@@ -31,6 +32,22 @@ def stream_ingest(spark, sf):
     return summary(done).select("file_id", "status", "stages_completed", "primary_category", "entities_count", "pii_items_masked")
 
 
+@query(
+    "stream_arrivals",
+    """SELECT CAST(sum(strlen(text) + 1) AS bigint) AS total_bytes, CAST(0 AS bigint) AS failed FROM documents WHERE text IS NOT NULL""",
+)
+def stream_arrivals(spark, sf):
+    """Documents written as files, old ones last, and run as a stream of arriving files."""
+    base = work_folder(spark, "stream-arrivals")
+    docs = table(spark, sf, "documents").filter("text IS NOT NULL").select("text")
+    docs.write.option("maxRecordsPerFile", 500).text(f"{base}/inbox")
+    arriving = arrivals.arriving_files(spark, f"{base}/inbox", "*.txt", max_files=5)
+    arrivals.process_arrivals(arriving, Settings(), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{base}/out")
+    return done.agg(
+        F.sum("file_size_bytes").cast("long").alias("total_bytes"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
 @query("stream_stage_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_stage_counts(spark, sf):
     base = work_folder(spark, "stream-counts")

@@ -50,8 +50,8 @@ def trace_list(spark, sf):
 @query(
     "links",
     f"""SELECT file_id,
-    CASE WHEN volume_path IS NOT NULL THEN '{HOST}/explore/data/volumes/main/docs/inbox?o={WORKSPACE}&filePreviewPath=' || file_id || '.txt' END AS file_url,
-    '{HOST}/explore/data/volumes/main/docs/logs?o={WORKSPACE}&filePreviewPath=app/' || strftime(created_at, '%Y-%m-%d') || '/' || file_id || '.log' AS log_url
+    CASE WHEN volume_path IS NOT NULL THEN '{HOST}/files/main/docs/inbox/' || file_id || '.txt?workspace={WORKSPACE}' END AS file_url,
+    '{HOST}/files/main/docs/logs/app/' || strftime(created_at, '%Y-%m-%d') || '/' || file_id || '.log?workspace={WORKSPACE}' AS log_url
     FROM status""",
     ("status",),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 ROOT = "Volumes"
@@ -69,24 +71,28 @@ def percent_encode(value: Column) -> Column:
     return encoded
 
 
-def volume_link(path: Column, inner: Column, host: str, workspace: str) -> Column:
-    """Browser link to ``inner`` inside the volume that ``path`` names."""
-    parts = path_segments(path)
-    return F.when(
-        is_volume_path(path),
-        F.concat(
-            F.lit(f"{host}/explore/data/volumes/"),
-            F.concat_ws("/", F.get(parts, 1), F.get(parts, 2), F.get(parts, 3)),
-            F.lit(f"?o={workspace}&filePreviewPath="),
-            inner,
-        ),
-    )
+# where a file of a volume is shown: a page address with places for its parts
+LINK = "{host}/files/{catalog}/{schema}/{volume}/{inner}?workspace={workspace}"
 
 
-def document_link(path: Column, filename: Column, host: str, workspace: str) -> Column:
+def volume_link(path: Column, inner: Column, host: str, workspace: str, template: str = LINK) -> Column:
+    """Browser link to ``inner`` inside the volume that ``path`` names."""
+    parts = path_segments(path)
+    values = {
+        "host": F.lit(host), "workspace": F.lit(workspace), "inner": inner,
+        "catalog": F.get(parts, 1), "schema": F.get(parts, 2), "volume": F.get(parts, 3),
+    }
+    pieces = [
+        F.coalesce(values[p[1:-1]], F.lit("")) if p[1:-1] in values and p[0] == "{" else F.lit(p)
+        for p in re.split(r"(\{\w+\})", template) if p
+    ]
+    return F.when(is_volume_path(path), F.concat(*pieces))
+
+
+def document_link(path: Column, filename: Column, host: str, workspace: str, template: str = LINK) -> Column:
     """Link to a landed document: the path's fifth segment, else its file name."""
     fifth = F.get(path_segments(path), 4)
-    return volume_link(path, F.coalesce(fifth, filename, F.lit("")), host, workspace)
+    return volume_link(path, F.coalesce(fifth, filename, F.lit("")), host, workspace, template)
 
 
 def log_file_path(base: Column, started: Column, run_id: Column) -> Column:
@@ -94,10 +100,12 @@ def log_file_path(base: Column, started: Column, run_id: Column) -> Column:
     return F.concat(base, F.lit("/"), F.date_format(started, "yyyy-MM-dd"), F.lit("/"), run_id, F.lit(".log"))
 
 
-def log_link(path: Column, created: Column, file_id: Column, base: str, host: str, workspace: str) -> Column:
+def log_link(
+    path: Column, created: Column, file_id: Column, base: str, host: str, workspace: str, template: str = LINK
+) -> Column:
     """Link to a log: from its stored path, else from the date and id of the record."""
     derived = log_file_path(F.lit(base), created, file_id)
     used = F.coalesce(F.nullif(path, F.lit("")), derived)
     parts = path_segments(used)
     inner = F.array_join(F.slice(parts, 5, F.greatest(F.size(parts), F.lit(1))), "/")
-    return volume_link(used, inner, host, workspace)
+    return volume_link(used, inner, host, workspace, template)

@@ -243,14 +243,24 @@ def failures(wide: DataFrame) -> DataFrame:
 
 
 def summary(wide: DataFrame) -> DataFrame:
-    """Completion records."""
+    """Completion records, with seconds if the rows carry start_time and end_time."""
+    seconds = []
+    if {"start_time", "end_time"} <= set(wide.columns):
+        seconds = [duration_seconds(F.col("start_time"), F.col("end_time")).alias("total_time_seconds")]
     return wide.select(
         "file_id", "filename", "status", "stages_completed",
         F.when(F.col("status") == "completed", F.col("primary_category")).alias("primary_category"),
-        "entities_count", "pii_items_masked",
+        "entities_count", "pii_items_masked", *seconds,
     )
 
 
+def usage_rows(wide: DataFrame) -> DataFrame:
+    """One row per document and model stage that was scored, for ``scoring.token_usage``."""
+    calls = [F.struct(F.lit(s).alias("stage"), F.col(f"{s}_reply").alias("r")) for s in MODEL_STAGES]
+    rows = wide.select("file_id", F.inline(F.array(*calls)))
+    return rows.filter("r.model IS NOT NULL OR r.error IS NOT NULL").select("file_id", "stage", "r.*")
+
+
 def duration_seconds(start: Column, end: Column) -> Column:
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
     return micros / F.lit(1000000.0)

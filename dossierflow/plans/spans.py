@@ -58,11 +58,15 @@ def spans(wide: DataFrame, settings: Settings) -> DataFrame:
     if resumed:
         extra = {"volume_path": c("volume_path"), "file_id": c("file_id"), "is_reprocess": F.lit("true"),
                  "resume_from_stage": c("start_stage")}
+        if "existing_trace_id" in wide.columns:
+            extra["previous_trace_ids"] = F.coalesce(c("existing_trace_id"), F.lit(""))
         attributes |= extra
         inputs |= extra
     else:
         attributes |= {"file_size_bytes": c("file_size_bytes")}
         inputs |= {"file_size_bytes": c("file_size_bytes"), "pipeline_id": c("file_id")}
+    if "log_file_path" in wide.columns:
+        attributes["log_file_path"] = c("log_file_path")
     failure = _map({
         "pipeline_status": F.lit("failed"),
         "failed_at_stage": c("failed_stage"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossierflow.functions.paths import document_link, log_link, percent_encode
+from dossierflow.functions.paths import LINK, document_link, log_link, percent_encode
 from dossierflow.functions.replies import clean_control, is_json, repair_json, salvage_items
 from dossierflow.plans.status import newest
 from dossierflow.schemas import PII_ITEM, ddl
@@ -74,12 +74,12 @@ def shown_time(value: Column, is_text: bool = False) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("-"))
 
 
-def with_links(status: DataFrame, host: str, workspace: str, logs_path: str) -> DataFrame:
+def with_links(status: DataFrame, host: str, workspace: str, logs_path: str, template: str = LINK) -> DataFrame:
     """Adds file_url and log_url."""
     return status.withColumns(
         {
-            "file_url": document_link(F.col("volume_path"), F.col("filename"), host, workspace),
-            "log_url": log_link(F.col("log_file_path"), F.col("created_at"), F.col("file_id"), logs_path, host, workspace),
+            "file_url": document_link(F.col("volume_path"), F.col("filename"), host, workspace, template),
+            "log_url": log_link(F.col("log_file_path"), F.col("created_at"), F.col("file_id"), logs_path, host, workspace, template),
         }
     )
 

@@ -76,27 +76,49 @@ def _fields(names: str, data_type: T.DataType) -> list[T.StructField]:
     return [T.StructField(name, data_type) for name in names.split()]
 
 
+# ---------------------------------------------------------------------------
+# Columns of the status and results tables.
+# ---------------------------------------------------------------------------
 STATUS_SCHEMA = T.StructType(
-    [T.StructField("file_id", T.StringType(), False)]
-    + _fields(
-        "filename volume_path status current_stage trace_id experiment_id run_id log_file_path",
-        T.StringType(),
-    )
-    + _fields("start_time end_time", T.TimestampType())
-    + _fields("error_message", T.StringType())
-    + _fields(" ".join(f"stage_{s}_status" for s in STAGES) + " primary_category", T.StringType())
-    + _fields("entities_count pii_items_masked", T.IntegerType())
-    + _fields("created_at updated_at", T.TimestampType())
+    [
+        T.StructField("file_id", T.StringType(), False),
+        T.StructField("filename", T.StringType()),
+        T.StructField("volume_path", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("current_stage", T.StringType()),
+        T.StructField("trace_id", T.StringType()),
+        T.StructField("experiment_id", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("log_file_path", T.StringType()),
+        T.StructField("start_time", T.TimestampType()),
+        T.StructField("end_time", T.TimestampType()),
+        T.StructField("error_message", T.StringType()),
+        T.StructField("stage_ingest_status", T.StringType()),
+        T.StructField("stage_parse_status", T.StringType()),
+        T.StructField("stage_categorize_status", T.StringType()),
+        T.StructField("stage_extract_status", T.StringType()),
+        T.StructField("stage_deidentify_status", T.StringType()),
+        T.StructField("primary_category", T.StringType()),
+        T.StructField("entities_count", T.IntegerType()),
+        T.StructField("pii_items_masked", T.IntegerType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("updated_at", T.TimestampType()),
+    ]
 )
 
 RESULTS_SCHEMA = T.StructType(
-    [T.StructField("file_id", T.StringType(), False)]
-    + _fields(
-        "trace_id experiment_id source_volume_path "
-        "parse_result categorize_result extract_result deidentify_result",
-        T.StringType(),
-    )
-    + _fields("created_at updated_at", T.TimestampType())
+    [
+        T.StructField("file_id", T.StringType(), False),
+        T.StructField("trace_id", T.StringType()),
+        T.StructField("experiment_id", T.StringType()),
+        T.StructField("source_volume_path", T.StringType()),
+        T.StructField("parse_result", T.StringType()),
+        T.StructField("categorize_result", T.StringType()),
+        T.StructField("extract_result", T.StringType()),
+        T.StructField("deidentify_result", T.StringType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("updated_at", T.TimestampType()),
+    ]
 )
 
 # One row per partial update: only the keys present in ``changes`` are written,

@@ -10,11 +10,14 @@ from dossierflow.settings import Settings
 from dossierflow.sources.files import BINARY_SCHEMA, _named
 
 
-def arriving_files(spark: SparkSession, folder: str, glob: str | None = None, max_files: int = 1000) -> DataFrame:
+def arriving_files(spark: SparkSession, folder: str, glob: str | None = None, max_files: int = 1000,
+                   max_age: str = "36500d") -> DataFrame:
     """New files of a folder. The source remembers which file, by path and modification time,
     it has read; late and overwritten files are read like any other, so the newest version
-    of a path is the one of its latest ``modificationTime``."""
+    of a path is the one of its latest ``modificationTime``. The source would ignore files that
+    are older than the newest one by ``max_age``: copied files are, so by default none is."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("maxFilesPerTrigger", max_files)
+    reader = reader.option("maxFileAge", max_age)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return _named(reader.load(folder)).withColumn("file_id", F.sha2("path", 256))

@@ -58,12 +58,14 @@ def test_percent_encode(spark):
 def test_links(spark):
     link = lambda c: paths.document_link(c, F.lit("name.txt"), "https://h", "7")
     assert evaluate(spark, ["/Volumes/c/s/v/f.txt", "/Volumes/c/s/v", "/tmp", None], link) == [
-        "https://h/explore/data/volumes/c/s/v?o=7&filePreviewPath=f.txt",
-        "https://h/explore/data/volumes/c/s/v?o=7&filePreviewPath=name.txt", None, None]
+        "https://h/files/c/s/v/f.txt?workspace=7",
+        "https://h/files/c/s/v/name.txt?workspace=7", None, None]
+    own = lambda c: paths.document_link(c, F.lit("n"), "h", "7", "{host}#{inner}@{volume}{other}")
+    assert evaluate(spark, ["/Volumes/c/s/v/f.txt"], own) == ["h#f.txt@v{other}"]
     log = lambda c: paths.log_link(c, F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("id1"), "/Volumes/a/b/c/logs", "https://h", "7")
     assert evaluate(spark, ["/Volumes/c/s/v/x/y.log", "", "/tmp/x"], log) == [
-        "https://h/explore/data/volumes/c/s/v?o=7&filePreviewPath=x/y.log",
-        "https://h/explore/data/volumes/a/b/c?o=7&filePreviewPath=logs/2024-01-02/id1.log", None]
+        "https://h/files/c/s/v/x/y.log?workspace=7",
+        "https://h/files/a/b/c/logs/2024-01-02/id1.log?workspace=7", None]
 
 
 def test_html_to_text(spark):

@@ -103,3 +103,15 @@ def test_opening_a_rerun_resets_stages_error_and_end(state_after):
     row = st.fold(log.unionByName(opened)).filter("file_id = 'f0'").first()
     assert (row.status, row.current_stage, row.error_message, row.end_time) == ("processing", "extract", None, None)
     assert (row.stage_ingest_status, row.stage_parse_status, row.stage_categorize_status, row.stage_extract_status) == ("completed", "completed", "completed", None)
+
+
+def test_resume_joins_each_table_once(spark, sf):
+    from catalog.run_queries import resumed
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = resumed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") <= 4

@@ -171,6 +171,21 @@ def test_the_sweep_reads_the_whole_table(spark):
     assert st.reset_stuck(st.fold(log), now).count() == 1500 == st.reset_stuck_events(st.fold(log), now).count()
 
 
+def test_rerun_keeps_creation_time_and_writes_ids(spark):
+    old, new = (F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp") for d in (1, 2))
+    wide = spark.createDataFrame(
+        [("a", "a.txt", "/Volumes/c/s/v/a.txt", "completed", None, None, "C", 1, 2, "x", "x", "x", "x", "t1", "/logs/a.log")],
+        "file_id string, filename string, volume_path string, status string, error string, failed_stage string, primary_category string, "
+        "entities_count int, pii_items_masked int, parse string, categorization string, extraction string, cached_parse string, "
+        "trace_id string, log_file_path string")
+    first = st.events_of_runs(wide.drop("cached_parse"), old)
+    failed = spark.range(1).select(F.lit("a").alias("file_id"), old.alias("event_time"), F.lit(99).cast("long").alias("seq"),
+                                   st.failed(F.lit("boom"), F.lit("extract"), old).alias("changes"))
+    row = st.fold(first.unionByName(failed).unionByName(st.events_of_runs(wide, new))).first()
+    assert str(row.created_at) == str(row.start_time) == "2024-01-01 00:00:00" and str(row.end_time) == "2024-01-02 00:00:00"
+    assert (row.status, row.error_message, row.trace_id, row.log_file_path) == ("completed", None, "t1", "/logs/a.log")
+
+
 def test_log_lines_and_files(spark, tmp_path):
     wide = spark.createDataFrame([("r1", "a.txt", 2, "failed", "Parse failed: x"), ("r2", "b.txt", 5, "completed", None)],
                                  "file_id string, filename string, stages_completed int, status string, error string")

@@ -50,6 +50,23 @@ def test_arrivals_equal_the_batch_run(spark, tmp_path):
     assert streamed == batch and len(streamed) == len(SAMPLES)
 
 
+def test_late_and_old_files_are_not_lost(spark, tmp_path):
+    import os
+    import time
+
+    inbox = tmp_path / "late"
+    inbox.mkdir()
+    now = time.time()
+    for name, age in (("a.txt", 0), ("b.txt", 3 * 3600), ("c.txt", 30 * 86400)):
+        (inbox / name).write_text("text of " + name)
+        os.utime(inbox / name, (now - age, now - age))
+        arrivals.process_arrivals(
+            arrivals.arriving_files(spark, str(inbox)), Settings(), str(tmp_path / "out"), str(tmp_path / "check")
+        ).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.filename for r in done.collect()} == {"a.txt", "b.txt", "c.txt"}
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     inbox = tmp_path / "in"
     put(inbox, *SAMPLES[0][:2])
