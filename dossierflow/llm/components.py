@@ -17,10 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round writes its labels, so lineage stays short; nothing but a count of changed
     labels reaches the driver. Self loops keep a node alone, an empty table gives no rows.
     """
-    both = keep(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = keep(edges.select(F.inline(turned)).distinct(), "edges")
     labels = keep(
         both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels"
     )
