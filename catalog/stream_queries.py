@@ -63,7 +63,7 @@ def stream_stage_counts(spark, sf):
 def stream_progress(spark, sf):
     base = work_folder(spark, "stream-progress")
     events = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = progress.window_progress(events, "ts", "event_type", "1 day", "3650 days")
+    counts = progress.window_progress(events, "ts", "event_type", "1 day")
     progress.start_snapshots(counts, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     latest = progress.latest_of_updates(spark.read.parquet(f"{base}/out"), "window_start", "event_type")
     return latest.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")

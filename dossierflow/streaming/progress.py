@@ -11,10 +11,12 @@ def live_counts(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def window_progress(events: DataFrame, time: str, key: str, width: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """Events per tumbling window and key; events later than ``lateness`` are dropped."""
+def window_progress(events: DataFrame, time: str, key: str, width: str = "1 day",
+                    lateness: str | None = None) -> DataFrame:
+    """Events per tumbling window and key. Windows stay open, at one row of state for each window
+    and key, so late events count; with ``lateness`` a window closes and later events don't."""
     return (
-        events.withWatermark(time, lateness)
+        (events.withWatermark(time, lateness) if lateness else events)
         .groupBy(F.window(time, width).alias("window"), key)
         .agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("window_start"), key, "n")
