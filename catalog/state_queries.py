@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, table
 from dossierflow.plans import results as res, status as st
+from dossierflow.sources.folders import work_folder
+from dossierflow.sources.tables import append, ensure_table
 
 _STAGES = [f"stage_{s}_status" for s in ("ingest", "parse", "categorize", "extract", "deidentify")]
 _MAIN = ["file_id", "filename", "volume_path", "status", "current_stage", "error_message", *_STAGES,
@@ -59,6 +61,32 @@ def status_failed(spark, sf):
         "file_id", "current_stage", "error_message", *_STAGES, _time("end_time"))
 
 
+def _through_table(spark, rows, kind):
+    """Rows appended to a table that is created for them, read back from it."""
+    folder = work_folder(spark, f"{kind}-table")
+    name = f"{kind}_{folder.rsplit('-', 1)[1]}"
+    ensure_table(spark, name, kind, folder)
+    append(rows, name, kind)
+    return spark.table(name)
+
+
+@query("status_table_rows",
+       f"SELECT {', '.join(_MAIN)}, {_time_sql('created_at')} FROM status", ("status",))
+def status_table_rows(spark, sf):
+    return _through_table(spark, fx.status(spark, sf), "status").select(*_MAIN, _time("created_at"))
+
+
+@query(
+    "results_table_rows",
+    """SELECT 'f' || doc_id AS file_id, 'tr' || doc_id AS trace_id, 'exp' AS experiment_id,
+    '/Volumes/main/docs/inbox/' || doc_id AS source_volume_path, CAST(NULL AS varchar) AS parse_result FROM labels""",
+)
+def results_table_rows(spark, sf):
+    rows = res.skeleton(_results(spark, sf), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return _through_table(spark, rows, "results").select(
+        "file_id", "trace_id", "experiment_id", "source_volume_path", "parse_result")
+
+
 @query("status_lookup", f"SELECT {', '.join(_MAIN)} FROM status WHERE file_id = 'f7'", ("status",))
 def status_lookup(spark, sf):
     return st.processing_status(fx.status(spark, sf), "f7").select(*_MAIN)
