@@ -217,7 +217,8 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
             )
 
     named = members.select("key", "node", "rest", "copies", "group", "block", "blocks")
-    sets = docs.select(_key(), "text").join(named, "key").drop("key").mapInArrow(read, schema)
+    # members can be a third of all documents: one plan at every size, and no sort of texts
+    sets = docs.select(_key(), "text").join(named.hint("shuffle_hash"), "key").drop("key").mapInArrow(read, schema)
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).select(
         "node", "rest", "copies", "group", "block", "grams",
         F.least("block", F.col("other").cast("long")).alias("lo"),
