@@ -101,4 +101,5 @@ def dedup(docs: DataFrame) -> DataFrame:
         "digests",
     )
     gone = _settled(rows).where(F.col("row_id") != F.col("best.row_id")).select("row_id")
-    return tagged.join(gone, "row_id", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in columns])
+    # what goes can be a large part of all rows: one plan at every size, and no sort of texts
+    return tagged.join(gone.hint("shuffle_hash"), "row_id", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in columns])

@@ -315,4 +315,4 @@ def dedup(docs: DataFrame) -> DataFrame:
                               F.monotonically_increasing_id().alias("row_id")), "rows")
     rows = tagged.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row_id")
     gone = resolved(rows).where(F.col("row_id") != F.col("group_best.row_id")).select("row_id")
-    return tagged.join(gone, "row_id", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in columns])
+    return tagged.join(gone.hint("shuffle_hash"), "row_id", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in columns])
