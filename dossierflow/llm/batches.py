@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,16 +37,18 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def mapper(schema: pa.Schema, rows: Callable[[pa.RecordBatch], Iterator[dict[str, object]]]):
-    """A ``mapInArrow`` function from one that yields columns by name for parts of a batch."""
+def freeing(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, giving freed memory back to the system when its task ends:
+    Python workers live on between stages, and an executor holds several of them."""
 
-    def run(batches):
-        for batch in batches:
-            for part in rows(batch):
-                arrays = [
-                    part[f.name] if isinstance(part[f.name], pa.Array) else pa.array(part[f.name], f.type)
-                    for f in schema
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not this C library
+                pass
 
-    return run
+    return wrapped

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierflow.llm.batches import as_bytes, column
+from dossierflow.llm.batches import as_bytes, column, freeing
 from dossierflow.llm.store import keep
 
 #: words of benchmark items in one automaton
@@ -189,7 +189,7 @@ def _pass(tagged: DataFrame, shard: DataFrame, n: int) -> DataFrame:
                 names=[*names, "hit_words", "hit_items"],
             )
 
-    return tagged.mapInArrow(run, tagged.schema)
+    return tagged.mapInArrow(freeing(run), tagged.schema)
 
 
 def hits(rows: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
@@ -269,7 +269,7 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10, max_coverage: float =
             out = pa.RecordBatch.from_arrays([column(b, "doc"), pa.array(texts, pa.string())], names=["doc", "text"])
             yield out.filter(pa.array(keep_row, pa.bool_()))
 
-    done = hits(rows, items, n).mapInArrow(run, schema)
+    done = hits(rows, items, n).mapInArrow(freeing(run), schema)
     return done.select(*[
         (F.col("text") if c == "text" else F.col("doc").getField(c)).alias(c) for c in columns
     ])

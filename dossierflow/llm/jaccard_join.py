@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierflow.llm.batches import column, slices
+from dossierflow.llm.batches import column, freeing, slices
 from dossierflow.llm.components import components
 from dossierflow.llm.hashing import Words, mix, shingles
 from dossierflow.llm.store import keep
@@ -121,7 +121,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 names=[f.name for f in schema],
             )
 
-    return keep(docs.select("row_id", "doc_id", _key(), "text").mapInArrow(run, schema), "signed")
+    return keep(docs.select("row_id", "doc_id", _key(), "text").mapInArrow(freeing(run), schema), "signed")
 
 
 def _key():
@@ -218,7 +218,7 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
 
     named = members.select("key", "node", "rest", "copies", "group", "block", "blocks")
     # members can be a third of all documents: one plan at every size, and no sort of texts
-    sets = docs.select(_key(), "text").join(named.hint("shuffle_hash"), "key").drop("key").mapInArrow(read, schema)
+    sets = docs.select(_key(), "text").join(named.hint("shuffle_hash"), "key").drop("key").mapInArrow(freeing(read), schema)
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).select(
         "node", "rest", "copies", "group", "block", "grams",
         F.least("block", F.col("other").cast("long")).alias("lo"),

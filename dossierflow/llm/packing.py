@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierflow.llm.batches import column
+from dossierflow.llm.batches import column, freeing
 from dossierflow.llm.store import keep
 
 CAPACITY = 2048
 #: id that ends a document
 END_ID = 0
-#: chunks of text whose ids a worker remembers, and characters of the longest of them
-REMEMBERED, CHUNK = 400_000, 64
+#: chunks of text whose ids a worker remembers
+REMEMBERED = 400_000
 #: texts that are split into chunks before their unknown chunks are encoded together
 TOGETHER = 64
 
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 names=[f.name for f in schema],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierflow.llm.batches import as_bytes, column
+from dossierflow.llm.batches import as_bytes, column, freeing
 from dossierflow.llm.store import keep
 
 #: labelled rows that a model is fitted on at most
@@ -120,7 +120,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             )
 
     return (
-        rows.mapInArrow(run, "word binary, bad long, n long")
+        rows.mapInArrow(freeing(run), "word binary, bad long, n long")
         .groupBy("word")
         .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     )
@@ -256,4 +256,4 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 
     columns = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs["text"].alias("text"))
-    return rows.mapInArrow(run, rows.schema).select(*[F.col("doc").getField(c).alias(c) for c in columns])
+    return rows.mapInArrow(freeing(run), rows.schema).select(*[F.col("doc").getField(c).alias(c) for c in columns])
