@@ -6,7 +6,8 @@ sentence shows):  p = 1 - (1 - leak) * prod(1 - p_sentence).  The weights are tr
 likelihood from document labels alone, and the same weights then locate the sentences.
 
 Words of a model are those that in the training rows occur in ``MIN_DOCS`` documents at least
-and are much more frequent under label 1; a sentence without any has score 0, so a long
+and are much more frequent under label 1, by odds ratio and chi-square, so that the choice
+does not hang on how many labels are toxic; a sentence without any has score 0, so a long
 document is not more suspect than a short one.
 
 Labels are learnt only from rows whose crc32 of the doc_id as text leaves a remainder other
@@ -34,8 +35,8 @@ from dossierflow.llm.store import keep
 SAMPLE = 20_000
 #: every fifth labelled row is never learnt from
 FOLDS = 5
-#: a word of the model occurs in so many training documents, is so many times likelier under label 1
-#: and so many standard deviations above what chance gives, ...
+#: a word of the model occurs in so many training documents, has so many times the odds of label 1 that
+#: documents without it have, and stands so many standard deviations above what chance gives, ...
 MIN_DOCS, MIN_LIFT, MIN_STRENGTH = 5, 2.0, 4.0
 #: ... and the model has so many words at most, those with the strongest association
 MAX_WORDS = 2_000
@@ -178,9 +179,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not totals.bad:
         return Model({}, 0.0, 0.0)
     rate = totals.bad / totals.n
-    lift = F.col("bad") / F.col("n") / F.lit(rate)
-    expected = F.col("n") * F.lit(rate)
-    strength = (F.col("bad") - expected) / F.sqrt(expected)
+    good, others = totals.n - totals.bad, F.lit(totals.n) - F.col("n")
+    # odds ratio and signed root of chi-square of word and label: neither has a ceiling that falls as the rate rises
+    clean = F.col("n") - F.col("bad")
+    lift = (
+        (F.col("bad") + 0.5) * (F.lit(good + 0.5) - clean)
+        / ((clean + 0.5) * (F.lit(totals.bad + 0.5) - F.col("bad")))
+    )
+    spread = F.sqrt(F.col("n") * others * F.lit(rate * (1 - rate) / totals.n))
+    # a word of all documents tells nothing, nor does any word where all labels are alike
+    strength = F.when(spread > 0, (F.col("bad") - F.col("n") * F.lit(rate)) / spread).otherwise(0.0)
     top = (
         _word_counts(rows)
         .where((F.col("n") >= MIN_DOCS) & (lift >= MIN_LIFT) & (strength >= MIN_STRENGTH))

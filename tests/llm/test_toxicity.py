@@ -75,3 +75,27 @@ def test_reject_keeps_clean_rows(case):
     left = tx.reject(docs, labels)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == {i for i, _, y in rows if not y}
+
+
+@pytest.mark.parametrize("every", [2, 3, 10])
+def test_mostly_toxic_labels(spark, docs_of, every):
+    """All but one of ``every`` documents are toxic; the words are found and clean documents stay."""
+    rng = random.Random(every)
+    rows = []
+    for i in range(3000):
+        bad = int(i % every > 0)
+        lines = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(8)) for _ in range(rng.randint(1, 6))]
+        if bad:
+            lines[rng.randrange(len(lines))] += " " + rng.choice(["scum", "vermin"])
+        rows.append((i, ". ".join(lines) + ".", bad))
+    docs = docs_of([(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    assert {b"scum", b"vermin"} <= tx.fit(docs, labels).weights.keys()
+    assert {r.doc_id for r in tx.reject(docs, labels).collect()} == {i for i, _, y in rows if not y}
+
+
+def test_word_of_every_document_and_one_label_only(spark, docs_of):
+    docs = docs_of([(i, "always here") for i in range(60)])
+    some = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert tx.fit(docs, some).weights == {}
+    assert tx.fit(docs, some.withColumn("toxic", some.toxic * 0 + 1)).weights == {}
