@@ -3,12 +3,15 @@
 The matches of three patterns are labelled credentials. For each kind, a prefix tree of them
 is folded into a probabilistic automaton: two states are merged when their counts of ending
 and of going on by each character agree within a Hoeffding bound, and so do all states below.
-Every maximal run of credential characters in every text is then a candidate; it is scored
-by the mean log likelihood of its characters under each automaton, and one that some
-automaton finds as likely as the credentials it was made from is a secret as well.
+Every maximal run of ``MIN_LENGTH`` credential characters and more in every text is then a
+candidate, whatever its characters; it is scored by the mean log likelihood of its characters
+under each automaton. It is a secret as well if some automaton finds it as likely as the
+credentials it was made from, and ``RATIO`` times likelier than the ``Background`` does: an
+automaton with a state for each last character, counted on all runs of the table, of any
+length, outside the matches. So ordinary words and numbers are turned down for being ordinary.
 
 Automata are fitted on at most ``SAMPLE`` distinct credentials of each kind, the first in the
-order of a hash; everything else covers all rows. Matches of the patterns always stay; learnt
+order of a hash; everything else, the background too, covers all rows. Matches of the patterns always stay; learnt
 spans that touch one are left out. A null text counts as empty, empty texts have no spans,
 repeated rows are scanned one by one, an empty table gives no rows, other columns are ignored.
 Positions are code points, ends exclusive.
@@ -21,12 +24,14 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossierflow.llm.batches import column
+from dossierflow.llm.store import keep
 
 #: distinct credentials of a kind that an automaton is fitted on at most, and slices they are taken from
 SAMPLE, SLICES = 400, 40
@@ -36,6 +41,8 @@ ALPHA = 0.05
 SHARE = 0.99
 #: shortest candidate
 MIN_LENGTH = 12
+#: a secret is so many times likelier a credential than an ordinary run
+RATIO = 1_000.0
 #: longest string that is learnt from or scored by its characters one by one; longer ones are scored in windows of this length
 WINDOW = 256
 
@@ -62,6 +69,53 @@ def base(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+_ORDINARY = "ordinary"
+_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+_CODE = np.zeros(256, np.int64)
+_CODE[list(_CHARACTERS.encode())] = np.arange(1, len(_CHARACTERS) + 1)
+_STATES = len(_CHARACTERS) + 1
+# start of a run, capitals, small letters, digits, signs: which states belong to them
+_CLASS = (np.searchsorted([0, 26, 52, 62], np.arange(_STATES)) == np.arange(5)[:, None]).astype(float)
+
+
+def pairs(text: str) -> np.ndarray:
+    """How often a credential character follows another, or starts a run, outside the fixed matches."""
+    found = base(text)
+    if found:
+        out, at = [], 0
+        for s, e, _, _ in found:
+            if s > at:
+                out.append(text[at:s])
+            at = max(at, e)
+        text = " ".join([*out, text[at:]])
+    codes = _CODE[np.frombuffer(b" " + text.encode("utf-8", "replace"), np.uint8)]
+    return np.bincount(codes[:-1] * _STATES + codes[1:], minlength=_STATES * _STATES)
+
+
+class Background:
+    """Automaton of ordinary runs: its state is the last character, 0 before the first."""
+
+    def __init__(self, counts: np.ndarray):
+        counts = counts.reshape(_STATES, _STATES)[:, 1:].astype(float)
+        single = counts.sum(0)
+        share = (single + 1) / (single.sum() + len(_CHARACTERS))
+        # words and numbers are ordinary without having all their pairs in the table: a fifth, and all where a
+        # state has few counts, by how kinds of characters follow each other
+        after = _CLASS @ counts @ _CLASS[:, 1:].T + (np.arange(5) > 0) * 0.5
+        after /= after.sum(1, keepdims=True)
+        within = _CLASS[:, 1:] * share
+        within /= np.maximum(within.sum(1, keepdims=True), 1e-300)
+        prior = _CLASS.T @ after @ within
+        logs = np.log(0.8 * (counts + 10 * prior) / (counts.sum(1, keepdims=True) + 10) + 0.2 * prior)
+        self.first = dict(zip(_CHARACTERS, logs[0].tolist()))
+        self.next = {a + b: p for a, row in zip(_CHARACTERS, logs[1:].tolist()) for b, p in zip(_CHARACTERS, row)}
+
+    def score(self, word: str) -> float:
+        """Mean log likelihood of a character."""
+        pair = self.next
+        return (self.first[word[0]] + sum([pair[word[i : i + 2]] for i in range(len(word) - 1)])) / len(word)
+
+
 class Automaton:
     """Probabilistic automaton: for each state how often strings end there and go on by a character."""
 
@@ -152,35 +206,57 @@ class Automaton:
             )
         return self
 
-    def score(self, word: str) -> float:
-        """Mean log likelihood of a character; that of the likeliest window of a long word."""
+    def mean(self, part: str) -> float:
         if not hasattr(self, "logs"):
             self.compile()
-        best = -math.inf
-        for i in range(0, len(word), WINDOW):
-            part = word[i : i + WINDOW]
-            state, total = 0, 0.0
-            for c in part:
-                known, unknown = self.logs[state]
-                p, state = known.get(c, (unknown, 0))
-                total += p
-            best = max(best, total / len(part))
-        return best
+        state, total = 0, 0.0
+        for c in part:
+            known, unknown = self.logs[state]
+            p, state = known.get(c, (unknown, 0))
+            total += p
+        return total / len(part)
 
+    def score(self, word: str) -> float:
+        """Mean log likelihood of a character; that of the likeliest window of a long word."""
+        return max(self.mean(part) for part in windows(word))
+
+
+def windows(word: str) -> list[str]:
+    """``word`` in windows from its start."""
+    return [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)]
 
-def credentials(docs: DataFrame) -> DataFrame:
-    """kind, credential: distinct fixed matches, at most SAMPLE of each kind, by hash."""
+
+def _found(docs: DataFrame) -> DataFrame:
+    """kind, credential, n: the fixed matches, and the counts of ``pairs`` as kind ordinary."""
 
     def run(batches):
+        counts = np.zeros(_STATES * _STATES, np.int64)
         for b in batches:
-            found = {(k, c[:WINDOW]) for t in column(b, "text").to_pylist() if t for _, _, k, c in base(t)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())],
-                names=["kind", "credential"],
-            )
+            texts = [t for t in column(b, "text").to_pylist() if t]
+            found = {(k, c[:WINDOW]) for t in texts for _, _, k, c in base(t)}
+            for t in texts:
+                counts += pairs(t)
+            yield _rows([k for k, _ in found], [c for _, c in found], [0] * len(found))
+        some = np.flatnonzero(counts)
+        yield _rows([_ORDINARY] * len(some), some.astype(str).tolist(), counts[some].tolist())
+
+    return docs.select("text").mapInArrow(run, "kind string, credential string, n long")
 
-    rows = docs.select("text").mapInArrow(run, "kind string, credential string").distinct()
+
+def _rows(kinds: list[str], found: list[str], n: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kinds, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())],
+        names=["kind", "credential", "n"],
+    )
+
+
+def _distinct(docs: DataFrame) -> DataFrame:
+    return _found(docs).groupBy("kind", "credential").agg(F.sum("n").alias("n"))
+
+
+def _sample(rows: DataFrame) -> DataFrame:
     # the first by hash of each of SLICES slices of a kind: no kind meets in one task
+    rows = rows.where(F.col("kind") != _ORDINARY)
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("credential", F.lit(1)), F.lit(SLICES)))
     part = Window.partitionBy("kind", "slice").orderBy(F.xxhash64("credential"), "credential")
     return (
@@ -190,32 +266,62 @@ def credentials(docs: DataFrame) -> DataFrame:
     )
 
 
-def learn(docs: DataFrame) -> dict[str, Automaton]:
+def credentials(docs: DataFrame) -> DataFrame:
+    """kind, credential: distinct fixed matches, at most SAMPLE of each kind, by hash."""
+    return _sample(_distinct(docs))
+
+
+class Learnt(dict):
+    """Automata by kind, and the background of the runs around the credentials."""
+
+    background: Background
+
+    def __reduce__(self):
+        return _learnt, (dict(self), self.background)
+
+
+def _learnt(automata: dict[str, Automaton], background: Background) -> Learnt:
+    out = Learnt(automata)
+    out.background = background
+    return out
+
+
+def learn(docs: DataFrame) -> Learnt:
+    rows = keep(_distinct(docs), "candidates")
     by_kind: dict[str, list[str]] = defaultdict(list)
-    for r in credentials(docs).collect():
+    for r in _sample(rows).collect():
         by_kind[r.kind].append(r.credential)
-    return {k: Automaton(sorted(by_kind[k])).compile() for k in KINDS if by_kind[k]}
+    counts = np.zeros(_STATES * _STATES, np.int64)
+    for r in rows.where(F.col("kind") == _ORDINARY).collect():
+        counts[int(r.credential)] = r.n
+    return _learnt({k: Automaton(sorted(by_kind[k])).compile() for k in KINDS if by_kind[k]}, Background(counts))
+
 
+def secret(word: str, automata: Learnt) -> bool:
+    """Whether a window of ``word`` looks like the credentials of a kind, and not like ordinary runs."""
+    for part in windows(word):
+        least = automata.background.score(part) + math.log(RATIO) / len(part)
+        if any((p := a.mean(part)) >= a.threshold and p >= least for a in automata.values()):
+            return True
+    return False
 
-def scan(text: str, automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
+
+def scan(text: str, automata: Learnt) -> list[tuple[int, int, str]]:
     """start, end, kind of all secrets: fixed ones and candidates with a learnt format."""
     fixed = [(s, e, k) for s, e, k, _ in base(text)]
     out = list(fixed)
     for m in _CANDIDATE.finditer(text):
         word = m[0]
-        # words of a language and plain numbers have one class of character only
-        if word.isalpha() or word.isdigit() or not any(c.isdigit() for c in word):
-            continue
         s, e = m.span()
         if any(s < fe and fs < e for fs, fe, _ in fixed):
             continue
-        if any(a.score(word) >= a.threshold for a in automata.values()):
+        if secret(word, automata):
             out.append((s, e, LEARNT))
     order = [*KINDS, LEARNT]
     return sorted(out, key=lambda x: (x[0], order.index(x[2])))
 
 
-def find(docs: DataFrame, automata: dict[str, Automaton] | None = None) -> DataFrame:
+def find(docs: DataFrame, automata: Learnt | None = None) -> DataFrame:
     """doc_id, counts of fixed matches, their digest and all spans of every document."""
     automata = learn(docs) if automata is None else automata
     held = docs.sparkSession.sparkContext.broadcast(automata)

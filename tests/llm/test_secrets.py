@@ -80,3 +80,25 @@ def test_hot_credential_and_empty(docs_of):
     assert sc.credentials(docs_of(rows)).count() == 2
     assert sc.find(docs_of([]).limit(0)).count() == 0
     assert [r.spans for r in sc.find(docs_of([(1, None), (2, "")])).collect()] == ["", ""]
+
+
+def test_runs_of_one_class_are_scored(docs_of):
+    """A credential has no digit, or nothing else, by chance; words and numbers stay ordinary."""
+    rng = random.Random(4)
+    pick = lambda a, k: "".join(rng.choice(a) for _ in range(k))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    prose = (
+        "the internationalisation of misunderstandings and responsibilities, order 482910 or 20240131 of www.example.com/path. "
+        "every country has a revenue of its own, which varies very much by year, 5537196048 units in a quarter; "
+        "experts can only guess why. children play quietly, people buy bread, and a truck backs up over the kerb. "
+    )
+    every = upper + upper.lower() + "0123456789"
+    rows = [(i, prose * 3 + f"AKIA{pick(upper + '0123456789', 16)} password={pick(every, 20)}") for i in range(300)]
+    learnt = sc.learn(docs_of(rows))
+    shapes = lambda t: [k for _, _, k in sc.scan(t, learnt)]
+    assert shapes("key AKIAQWERTYUIOPAS here") == [sc.LEARNT]
+    # the threshold is that of the credentials learnt from, so that some unseen ones stay below it
+    for size, least in ((12, 75), (16, 75), (20, 80)):
+        found = [shapes(f"key {pick(upper + upper.lower(), size)} here") == [sc.LEARNT] for _ in range(100)]
+        assert sum(found) >= least, (size, sum(found))
+    assert shapes("uncharacteristically incomprehensible counterrevolutionary order 192837465564 misunderstandings") == []
