@@ -222,8 +222,11 @@ class Automaton:
 
 
 def windows(word: str) -> list[str]:
-    """``word`` in windows from its start."""
-    return [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)]
+    """``word``, or windows of full length that overlap by half at least, the last one at its end."""
+    last = len(word) - WINDOW
+    if last <= 0:
+        return [word]
+    return [word[i : i + WINDOW] for i in [*range(0, last, WINDOW // 2), last]]
 
 
 def _found(docs: DataFrame) -> DataFrame:

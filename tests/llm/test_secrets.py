@@ -102,3 +102,13 @@ def test_runs_of_one_class_are_scored(docs_of):
         found = [shapes(f"key {pick(upper + upper.lower(), size)} here") == [sc.LEARNT] for _ in range(100)]
         assert sum(found) >= least, (size, sum(found))
     assert shapes("uncharacteristically incomprehensible counterrevolutionary order 192837465564 misunderstandings") == []
+
+
+def test_long_runs_are_scored_in_full_windows(docs_of):
+    learnt = sc.learn(docs_of(corpus()))
+    word = "".join(random.Random(3).choice("ghijklmnop_-") for _ in range(sc.WINDOW))
+    assert {len(x) for x in sc.windows(word + "a")} == {sc.WINDOW}
+    a = learnt["hex"]
+    assert not any(a.score(word + c) >= a.threshold for c in "0123456789abcdef")
+    inside = "x" * 200 + "".join(random.Random(5).choice("0123456789") for _ in range(100)) + "y" * 300
+    assert any(inside[200:300] in x for x in sc.windows(inside))
