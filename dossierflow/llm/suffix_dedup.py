@@ -2,13 +2,13 @@
 
 A byte is removed when some string of ``window`` bytes around it also starts earlier: in a
 document with a smaller doc_id (null last), or earlier in the same one. Suffixes are bucketed
-by their anchor (see ``recurrence``): equal strings are in one bucket. Whole stretches of
-suffixes that tie for longer than a window are settled by the rank of the stretch they belong
-to, taken from the anchors - a sample that covers every window, at places that the content
-fixes, so that it is comparable between documents where places modulo a number are not.
+by their anchor (see ``recurrence``): equal strings are in one bucket. The anchors are minimisers
+without ranks; they stand in for a difference cover, whose places modulo a number can't be
+compared between documents. Whole stretches that tie are told by a 64-bit hash of their bytes,
+and anchors with very many segments go by hashes of their windows.
 Only buckets in which different stretches meet are sorted: one block of whole buckets at a
 time, by their leading bytes, ties resolved by looking up ranks of later places, until the
-first ``window`` bytes of all are ranked. A task holds one block; bytes are compared, not hashes.
+first ``window`` bytes of all are ranked. A task holds one block; in it bytes are compared, not hashes.
 
 A null text is empty; texts shorter than a window stay; rows that repeat both doc_id and text
 of another are later ones; an empty table gives no rows; other columns are ignored.
