@@ -10,7 +10,8 @@ The automaton holds a shard of the items of at most ``SHARD_WORDS`` words (an it
 that is cut into pieces that overlap by ``n - 1`` words), so a worker's memory is bounded;
 a larger benchmark takes one pass over the documents for each shard.
 
-A null text or item has no words, an item without words no window, and repeated items and
+A null text has no words; an item with a null item_id hits like any other, but is not among
+the items found. An item without words has no window, and repeated items and
 documents count one by one. An empty table of either kind gives no hits. Extra columns are
 ignored by ``find`` and kept by ``clean``, whatever their names.
 """
@@ -44,7 +45,7 @@ def words(text: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """All substrings of several word sequences; each state knows the sequences it occurs in."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
         self.n = n
         self.vocabulary: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
@@ -143,7 +144,7 @@ class SuffixAutomaton:
         return (np.cumsum(edge[:-1]) > 0 if hit else None), found
 
 
-def _pieces(item: str, ws: list[bytes], n: int) -> list[tuple[str, list[bytes]]]:
+def _pieces(item: str | None, ws: list[bytes], n: int) -> list[tuple[str | None, list[bytes]]]:
     if len(ws) <= SHARD_WORDS:
         return [(item, ws)]
     return [(item, ws[i : i + SHARD_WORDS]) for i in range(0, len(ws) - n + 1, SHARD_WORDS - n + 1)]
@@ -173,7 +174,7 @@ def _pass(tagged: DataFrame, shard: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             if auto is None:
                 auto = SuffixAutomaton(
-                    [p for i, t in held.value if i is not None for p in _pieces(i, words(t.encode()), n)], n
+                    [p for i, t in held.value for p in _pieces(i, words(t.encode()), n)], n
                 )
             hit_words, hit_items = [], []
             before = zip(column(batch, "hit_words").to_pylist(), column(batch, "hit_items").to_pylist())
@@ -181,7 +182,7 @@ def _pass(tagged: DataFrame, shard: DataFrame, n: int) -> DataFrame:
                 mask, found = auto.match(words(text.as_py()))
                 new = np.flatnonzero(mask).tolist() if mask is not None else []
                 hit_words.append(sorted({*old_words, *new}) if old_words else new)
-                hit_items.append(sorted(found.union(old_items)))
+                hit_items.append(sorted(found.union(old_items) - {None}))
             kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("hit_words", "hit_items")]
             names = [x for x in batch.schema.names if x not in ("hit_words", "hit_items")]
             yield pa.RecordBatch.from_arrays(

@@ -82,3 +82,12 @@ def test_empty_tables(spark, docs_of):
     assert dc.find(docs_of([(1, "a b")]), none).collect()[0].contaminated is False
     assert dc.find(docs_of([]).limit(0), none).count() == 0
     assert dc.clean(docs_of([]).limit(0), none).count() == 0
+
+
+def test_items_without_id_hit(spark, docs_of):
+    items = spark.createDataFrame([(None, "a b c"), (None, "x y"), (1, "c d e")], "item_id long, text string")
+    docs = docs_of([(1, "z a b c d e z"), (2, "q x y q"), (3, "q")])
+    got = {r.doc_id: r for r in dc.find(docs, items, 3).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (1, 2, 3)] == [(5, 1, True), (2, 0, True), (0, 0, False)]
+    assert [got[i].items_sha256 for i in (1, 2)] == [hashlib.sha256(x).hexdigest() for x in (b"1", b"")]
+    assert {r.doc_id: r.text for r in dc.clean(docs, items, 3, 1.0).collect()}[2] == "q  q"
