@@ -1,4 +1,4 @@
-"""Connected components of an edge table by label propagation with pointer jumping."""
+"""Connected components of an edge table by contraction."""
 
 from __future__ import annotations
 
@@ -7,35 +7,53 @@ from pyspark.sql import functions as F
 
 from dossierflow.llm.store import keep
 
-#: rounds double the distance a label travels, so this covers any path that fits in storage
-ROUNDS = 64
+#: each round leaves about half of the nodes of a component or fewer, so this covers any table
+ROUNDS = 128
+
+
+def _order(node: str, k: int):
+    """Nodes in another order each round, so that no long chain follows it."""
+    return F.xxhash64(F.lit(k), node)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the smallest node it is connected with.
 
-    Each round writes its labels, so lineage stays short; nothing but a count of changed
-    labels reaches the driver. Self loops keep a node alone, an empty table gives no rows.
+    Each round hangs every node on the first of its neighbours and itself in an order of that
+    round, which is an aggregate that combines before its shuffle, and goes on with the distinct
+    edges between those that something hangs on. Rounds therefore shrink; a node with many
+    neighbours costs its edges once. When no edge is left the rounds are followed backwards.
+    Self loops keep a node alone, an empty table gives no rows. Nothing but a question whether
+    edges are left reaches the driver.
     """
-    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = keep(edges.select(F.inline(turned)).distinct(), "edges")
-    labels = keep(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels"
-    )
-    for _ in range(ROUNDS):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("near").alias("near"))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = keep(edges.select("a", "b").distinct(), "edges")
+    hung: list[DataFrame] = []
+    for k in range(ROUNDS):
+        first = F.min_by("b", _order("b", k))
+        best = left.select(F.inline(ends)).groupBy("a").agg(first.alias("b"))
+        own = F.when(_order("a", k) < _order("b", k), F.col("a")).otherwise(F.col("b"))
+        hung.append(keep(best.select(F.col("a").alias("node"), own.alias("next")), "hung"))
+        step = hung[-1]
+        left = keep(
+            left.join(step.select(F.col("node").alias("a"), F.col("next").alias("x")), "a")
+            .join(step.select(F.col("node").alias("b"), F.col("next").alias("y")), "b")
+            .where("x <> y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .distinct(),
+            "edges",
         )
-        lower = labels.join(near, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError("edges were left")
+    # roots, backwards: what hangs on a node has that node's root
+    root = hung.pop()
+    while hung:
+        step = hung.pop()
+        above = root.select(F.col("node").alias("next"), F.col("next").alias("top"))
+        root = keep(
+            step.join(above, "next", "left").select("node", F.coalesce("top", "next").alias("next")), "roots"
         )
-        lower = keep(lower, "lower")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = keep(lower.join(jump, "label").select("node", "old", F.col("next").alias("label")), "labels")
-        changed = labels.where("old <> label").limit(1).count()
-        labels = labels.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("labels did not settle")
+    least = root.groupBy("next").agg(F.min("node").alias("label"))
+    return keep(root.join(least, "next").select("node", "label"), "labels")

@@ -14,9 +14,11 @@ from dossierflow.llm import (
     packing,
     secrets,
     sharding,
+    simhash,
     substring_dedup,
     suffix_dedup,
     toxicity,
+    whitening,
 )
 from dossierflow.llm.registry import ORACLES, QUERIES, query, table
 
@@ -97,3 +99,15 @@ def op9_suffix_dedup(spark, sf_dir):
 def op10_exact_dedup(spark, sf_dir):
     """What becomes of every document when equal texts are kept once."""
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash")
+def op11_simhash(spark, sf_dir):
+    """Fingerprint of every document and the component of fingerprints within three bits that it is in."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    """Whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
