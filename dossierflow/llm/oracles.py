@@ -76,3 +76,37 @@ SELECT d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) AS class_id, o.cop
 FROM d LEFT JOIN classes c USING (doc_id) LEFT JOIN copies p USING (doc_id)
 JOIN copy_of o USING (doc_id) LEFT JOIN counts k USING (doc_id)
 """
+
+# every phrase as a string, every cut, every longer candidate
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS bigint) AS n FROM lists GROUP BY lang),
+f AS (
+  SELECT lang, w[i:i + k - 1] AS p, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, (SELECT unnest([1, 2, 3, 4]) AS k))
+  GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1),
+cuts AS (
+  SELECT lang, p, a, k, p[1:k] AS head, p[k + 1:] AS tail
+  FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r,
+         CAST(2000000 * CAST(a AS hugeint) // (CAST(x.f AS hugeint) + y.f) AS bigint) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = head JOIN f y ON y.lang = c.lang AND y.p = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer
+  FROM (SELECT lang, p, a, m, unnest(range(1, len(p) - m + 2)) AS i
+        FROM (SELECT lang, p, a, unnest(range(2, len(p))) AS m FROM candidates))
+  GROUP BY ALL),
+rest AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score
+  FROM best b LEFT JOIN inner_parts i ON i.lang = b.lang AND i.p = b.p
+  WHERE NOT coalesce(CAST(100 AS hugeint) * longer >= CAST(80 AS hugeint) * a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM rest JOIN totals USING (lang) QUALIFY rank <= 2000
+"""

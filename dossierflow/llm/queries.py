@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from dossierflow.llm import (
+    collocations,
     decontamination,
     exact_dedup,
     html_extraction,
@@ -107,6 +108,12 @@ def op11_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op12_collocations", oracles.COLLOCATIONS)
+def op12_collocations(spark, sf_dir):
+    """The 2,000 best collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_embedding_whitening")
 def op13_embedding_whitening(spark, sf_dir):
     """Whitened components of every embedding."""
