@@ -176,6 +176,41 @@ def test_replacements_are_whole_values_in_one_pass(spark):
     assert got == ["Credit Score: [REDACTED] at desk 5551, [REDACTED]-1 Balance: $10000+, Income: $10000+. q N", "none", None]
 
 
+def test_replaced_places_against_plain_python(spark):
+    """Overlapping values, values that overlap themselves, word borders, several replacements."""
+    import random
+    import re
+
+    def plain(text, items):
+        values = {}
+        for v, r in sorted(i for i in items if i[0] and i[1] is not None):
+            values.setdefault(v, r)
+        word = lambda c: bool(re.match(r"[^\W_]", c))
+        at, out = 0, ""
+        while at < len(text):
+            for v in sorted(values, key=len, reverse=True):
+                cuts = at > 0 and word(text[at - 1]) and word(v[0])
+                end = at + len(v)
+                cuts |= end < len(text) and word(text[end]) and word(v[-1])
+                if text.startswith(v, at) and not cuts:
+                    out, at = out + values[v], end
+                    break
+            else:
+                out, at = out + text[at], at + 1
+        return out
+
+    rng = random.Random(1)
+    rows = []
+    for _ in range(300):
+        text = "".join(rng.choice("ab -.é😀") for _ in range(rng.randint(0, 40)))
+        cut = lambda: (lambda s: text[s : s + rng.randint(0, 6)])(rng.randint(0, len(text)))
+        rows.append((text, [(cut(), rng.choice(["<1>", "", "b a", None])) for _ in range(rng.randint(0, 5))]))
+    rows += [("a a a a", [("a a", "X"), ("a", "Y")]), ("xa a a", [("a a", "X")]), ("-.-.-", [("-.-", "X")]), ("", [("a", "b")])]
+    df = spark.createDataFrame(rows, "t string, i array<struct<value:string,replacement:string>>").coalesce(1)
+    got = [r[0] for r in df.select(redaction.apply_replacements(F.col("t"), F.col("i"))).collect()]
+    assert got == [plain(t, i) for t, i in rows]
+
+
 def test_literals_with_apostrophes(spark):
     rows = ["{'a': \"O'Brien\", 'n': None}", "{'a': 'it''s', 'b': [True, 'x']}", "{'a': 'say \"hi\" now'}", "{'k': 'd\u2019or', 'v': 'O'Neil Co'}"]
     df = spark.createDataFrame([(r,) for r in rows], "s string")
