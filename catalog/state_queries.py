@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.registry import query, table
-from dossierflow.plans import results as res, status as st
+from dossierflow.plans import results as res, snapshot as sn, status as st
+from dossierflow.sources import upsert as up
 from dossierflow.sources.folders import work_folder
 from dossierflow.sources.tables import append, ensure_table
 
@@ -53,6 +54,32 @@ def status_incremental(spark, sf):
     return status.select(*_MAIN, _time("end_time"), _time("created_at"), _time("updated_at"))
 
 
+def _snapshot(spark, sf):
+    """The log merged in three parts, each of which holds events of all times."""
+    folder = work_folder(spark, "status-snapshot")
+    table_ = sn.SnapshotTable(spark, f"status_{folder.rsplit('-', 1)[1]}", folder, buckets=8)
+    log = fx.stage_events(spark, sf)
+    for part in (2, 0, 1):
+        table_.merge(log.filter(F.pmod("seq", F.lit(3)) == part))
+    return table_
+
+
+@query("status_snapshot_merge",
+       f"SELECT {', '.join(_MAIN)}, {_time_sql('end_time')}, {_time_sql('created_at')}, {_time_sql('updated_at')} FROM status",
+       ("status",))
+def status_snapshot_merge(spark, sf):
+    """Status read from a bucketed snapshot that new and late events were merged into."""
+    return _snapshot(spark, sf).status().select(*_MAIN, _time("end_time"), _time("created_at"), _time("updated_at"))
+
+
+@query("status_snapshot_topk",
+       f"SELECT file_id, status, {_time_sql('created_at')} FROM (SELECT * FROM status ORDER BY created_at DESC NULLS FIRST, file_id LIMIT 20)",
+       ("status",))
+def status_snapshot_topk(spark, sf):
+    """The newest files of a snapshot: no log is read."""
+    return st.processing_status(_snapshot(spark, sf).status(), limit=20).select("file_id", "status", _time("created_at"))
+
+
 @query("status_failed",
        f"SELECT file_id, current_stage, error_message, {', '.join(_STAGES)}, {_time_sql('end_time')} FROM status WHERE status = 'failed'",
        ("status",))
@@ -170,6 +197,31 @@ def results_after_rerun(spark, sf):
         F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
+@query(
+    "results_upsert",
+    """SELECT 'f' || doc_id AS file_id, 'tr' || doc_id AS trace_id, CASE WHEN quality = 0 THEN 'parse 2' ELSE 'parse 1' END AS parse_result,
+    'category 1' AS categorize_result, CASE WHEN quality = 0 AND toxic = 1 THEN 'found 3' END AS extract_result,
+    CASE WHEN quality = 0 AND toxic = 1 THEN '2024-01-03' WHEN quality = 0 THEN '2024-01-02' ELSE '2024-01-01' END AS updated
+    FROM labels""",
+)
+def results_upsert(spark, sf):
+    """Stage results written into their buckets one after the other, one of them twice."""
+    folder = work_folder(spark, "results-upsert")
+    day = lambda n: F.lit(f"2024-01-0{n} 00:00:00").cast("timestamp")
+    first = res.skeleton(_results(spark, sf), day(1)).withColumns(
+        {"parse_result": F.lit("parse 1"), "categorize_result": F.lit("category 1")})
+    up.create(first, folder, buckets=16)
+    labels = table(spark, sf, "labels").filter("quality = 0").withColumn("file_id", F.concat(F.lit("f"), "doc_id"))
+    for rows, stage, json, at in ((labels, "parse", "parse 2", 2), (labels.filter("toxic = 1"), "extract", "found 3", 3),
+                                  (labels, "parse", "parse 2", 2)):
+        up.upsert(up.stage_rows(rows.select(
+            "file_id", F.lit(stage).alias("stage_name"), F.lit(json).alias("result_json"), day(at).alias("updated_at"))),
+            folder, buckets=16)
+    return up.read(spark, folder).select(
+        "file_id", "trace_id", "parse_result", "categorize_result", "extract_result",
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 @query(
     "results_skeleton",
     """SELECT 'f' || doc_id AS file_id, 'tr' || doc_id AS trace_id, 'exp' AS experiment_id,

@@ -34,16 +34,17 @@ def from_stage_updates(updates: DataFrame) -> DataFrame:
     )
 
 
-def fold(rows: DataFrame) -> DataFrame:
+def fold(rows: DataFrame, *within: str) -> DataFrame:
     """One row per file from all rows that runs and reruns appended: of each stage the newest
     result there is, the first creation and the last update. A rerun that fails early leaves
-    the later stages' earlier results in place."""
+    the later stages' earlier results in place. Columns ``within`` are the same in all rows of a
+    file and stay; rows that are dealt out by them are not shuffled again."""
     kept = [c for c in COLUMNS if c not in ("file_id", "created_at", "updated_at")]
     newest = [F.expr(f"max_by({c}, updated_at) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in kept]
-    folded = rows.groupBy("file_id").agg(
+    folded = rows.groupBy(*within, "file_id").agg(
         *newest, F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
     )
-    return folded.select(*COLUMNS)
+    return folded.select(*COLUMNS, *within)
 
 
 def _inner(json: str, tail: str) -> Column:
