@@ -129,7 +129,11 @@ def _key():
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(node, group) of classes that share a bucket with another, directly or through others."""
+    """(node, group) of classes that share a bucket with another, directly or through others.
+
+    Each class hangs on the smallest of the leaders of its buckets, which is one row for each
+    class; only distinct pairs of leaders are connected, however many classes meet in a bucket.
+    """
     placed = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = (
         placed.groupBy("bucket")
@@ -137,10 +141,14 @@ def candidates(classes: DataFrame) -> DataFrame:
         .where("least < most")
         .select("bucket", "least")
     )
-    edges = placed.join(buckets, "bucket").where("node <> least").select(
-        F.col("node").alias("a"), F.col("least").alias("b")
+    # at most BANDS leaders for each class
+    led = keep(
+        placed.join(buckets, "bucket").groupBy("node").agg(F.min("least").alias("leader"), F.collect_set("least").alias("leaders")),
+        "led",
     )
-    return components(edges).withColumnRenamed("label", "group")
+    pairs = led.select(F.col("leader").alias("a"), F.explode("leaders").alias("b")).where("a <> b").distinct()
+    label = components(pairs).withColumnRenamed("node", "leader")
+    return led.join(label, "leader", "left").select("node", F.coalesce("label", "leader").alias("group"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
