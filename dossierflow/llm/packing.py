@@ -22,82 +22,158 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierflow.llm.batches import column, freeing
+from dossierflow.llm.batches import column, freeing, slices
 from dossierflow.llm.store import keep
 
 CAPACITY = 2048
 #: id that ends a document
 END_ID = 0
 #: chunks of text whose ids a worker remembers
-REMEMBERED = 400_000
-#: texts that are split into chunks before their unknown chunks are encoded together
-TOGETHER = 64
-
-_CHUNK = re.compile(r"\s*\S+|\s+")
-# control characters that are white space in Python and not in the tokenizer's pattern
-_ODD = re.compile(r"[\x1c-\x1f]")
-_RUN = re.compile(r"\s \s?|\s\s? ")
+REMEMBERED = 600_000
+#: bytes of text that are split and encoded at once
+SLICE = 1 << 23
+
+# kinds of ASCII characters: 1 letters, 2 digits, 3 others, 0 white space; 4 is the rest of UTF-8
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
+#: whether the splitter always parts two neighbours, by five times the first one's kind and the second one's
+_PARTED = np.zeros((5, 5), bool)
+_PARTED[1:4, 1:4] = ~np.eye(3, dtype=bool)
+_PARTED[1:, 0] = True
+_PARTED = _PARTED.ravel()
+# white space to Python or to the tokenizer that is not one of the six: such texts are encoded whole
+_ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: first bytes of these
+_ODD_FIRST = np.zeros(256, bool)
+_ODD_FIRST[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit integers; ids of frequent chunks are looked up.
-
-    A byte-level BPE splits a text into words, each with the white space before it, before
-    it merges; so ids of a text are those of its chunks, if chunks start where a run of white
-    space starts. Each distinct chunk is given to the tokenizer once.
+    """Token ids of many texts at once; ids of frequent chunks are looked up.
+
+    A byte-level BPE splits a text into runs of letters, digits and other characters, each with
+    the space before it, before it merges; so ids of a text are those of its chunks, if chunks
+    start where a run of white space starts, or where ASCII characters of two kinds meet (but
+    for an apostrophe before a letter, as in "don't"). All chunks of a slice are told apart by an
+    Arrow dictionary, each distinct one that is not remembered is given to the tokenizer once,
+    and ids are gathered by offsets.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.start = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def _chunks(self, text: str) -> list[str] | None:
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return None
-        if _RUN.search(text):
-            return _CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
+    def _learn(self, chunks: pa.Array) -> None:
+        """Remember chunks; start[k] is where the ids of number k begin."""
+        ids, ends, used = [self.ids], [self.start], len(self.ids)
+        for i in range(0, len(chunks), 5000):
+            some = chunks[i : i + 5000].to_pylist()
             one = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(one.ids, "<u4")
-            cuts = np.searchsorted(np.array(one.word_ids, np.int64), np.arange(len(some) + 1))
-            raw = ids.tobytes()
-            for w, lo, hi in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.known[w] = raw[4 * lo : 4 * hi]
+            words = np.array(one.word_ids, np.int64)
+            ids.append(np.array(one.ids, "<u4"))
+            ends.append(used + np.searchsorted(words, np.arange(1, len(some) + 1)))
+            used += len(ids[-1])
+        self.ids, self.start = np.concatenate(ids), np.concatenate(ends)
+        self.known = pa.concat_arrays([self.known, chunks])
+
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of distinct chunks among those remembered."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        found = pc.index_in(chunks, value_set=self.known)
+        if found.null_count:
+            new = pc.is_null(found)
+            first = len(self.known)
+            self._learn(chunks.filter(new))
+            fresh = pa.array(np.arange(first, len(self.known), dtype=np.int32))
+            found = pc.replace_with_mask(found, new, fresh)
+        return found.to_numpy()
+
+    def _odd_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        raw = data.tobytes()
+        at = [i for i in np.flatnonzero(_ODD_FIRST[data]).tolist() if _ODD.match(raw, i)]
+        for word in self.special:
+            i = raw.find(word)
+            while i >= 0:
+                at.append(i)
+                i = raw.find(word, i + 1)
+        # a match may run over the border of two texts; their ids come out the same either way
+        return sorted({int(r) for r in np.searchsorted(offsets, at, "right") - 1})
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
         out = []
-        for i in range(0, len(texts), TOGETHER):
-            split = [self._chunks(t) for t in texts[i : i + TOGETHER]]
-            self._learn({c for chunks in split if chunks for c in chunks})
-            for text, chunks in zip(texts[i : i + TOGETHER], split):
-                out.append(self._whole(text) if chunks is None else b"".join(map(self.known.__getitem__, chunks)))
+        for _, _, data, offsets in slices(pa.array(texts, pa.string()), SLICE):
+            ids, bounds = self.encode_slice(data, offsets)
+            out += [ids[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         return out
 
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a slice in one array, and where each row's ids begin, and the last end."""
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(n + 1, np.int64)
+        kind = _KIND[data]
+        first = np.ones(len(data), bool)
+        first[1:] = _PARTED[5 * kind[:-1] + kind[1:]]
+        first[1:] &= (data[:-1] != 39) | (kind[1:] != 1)
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(first)
+        cuts = np.append(start, len(data)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(start), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = chunks.dictionary_encode()
+        number = self._numbers(coded.dictionary)
+        of, begin = coded.indices.to_numpy(), self.start[number]
+        size = (self.start[number + 1] - begin)[of]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(begin[of] - (ends - size), size) + np.arange(int(ends[-1]))]
+        bounds = np.concatenate(([0], ends))[np.searchsorted(start, offsets)]
+        odd = self._odd_rows(data, offsets)
+        if not odd:
+            return ids, bounds
+        rows = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
+        for i in odd:
+            rows[i] = self._whole(data[offsets[i] : offsets[i + 1]].tobytes())
+        return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _ranks(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How many equal values stood earlier; ``before`` counts those of earlier calls and is brought up to date."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    begin = np.flatnonzero(np.diff(v, prepend=-1))
+    size = np.diff(np.append(begin, len(v)))
+    rank = np.empty(len(v), np.int64)
+    rank[order] = np.arange(len(v)) - np.repeat(begin, size)
+    rank += before[values]
+    before[v[begin]] += size
+    return rank
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, seen: pieces of all documents, and how
     many pieces of the same length the task had before."""
@@ -110,38 +186,32 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         T.StructField("part", T.IntegerType()),
         T.StructField("seen", T.LongType()),
     ])
-    end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        part, seen = TaskContext.get().partitionId(), {}
+        part, before = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            ids = column(b, "doc_id")
-            rows: dict[str, list[int]] = {f.name: [] for f in schema if f.name != "doc_id"}
-            of: list[int] = []
-            texts = [t or "" for t in column(b, "text").to_pylist()]
-            for lo in range(0, len(texts), TOGETHER):
-                for i, raw in enumerate(encoder(tokenizer).encode(texts[lo : lo + TOGETHER]), lo):
-                    raw += end
-                    total = len(raw) // 4
-                    first = total % capacity or capacity
-                    for n, start in enumerate([0, *range(first, total, capacity)]):
-                        stop = first if n == 0 else start + capacity
-                        length = stop - start
-                        of.append(i)
-                        rows["piece"].append(n)
-                        rows["start"].append(start)
-                        rows["length"].append(length)
-                        rows["ids_crc32"].append(zlib.crc32(raw[4 * start : 4 * stop]))
-                        rows["part"].append(part)
-                        rows["seen"].append(seen.get(length, 0))
-                        seen[length] = seen.get(length, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(of, pa.int64())),
-                    *[pa.array(rows[f.name], pa.int32() if f.name in ("piece", "part") else pa.int64()) for f in schema[1:]],
-                ],
-                names=[f.name for f in schema],
-            )
+            keys = column(b, "doc_id")
+            for lo, hi, data, offsets in slices(column(b, "text"), SLICE):
+                ids, bounds = encoder(tokenizer).encode_slice(data, offsets)
+                n = hi - lo
+                ids = np.insert(ids, bounds[1:], END_ID)  # one end for each document
+                begin, total = bounds[:-1] + np.arange(n), np.diff(bounds) + 1
+                first = (total - 1) % capacity + 1
+                count = (total - first) // capacity + 1
+                row = np.repeat(np.arange(n), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[row])
+                raw, at = memoryview(ids.astype("<u4", copy=False).tobytes()), 4 * (begin[row] + start)
+                crc = [zlib.crc32(raw[s:e]) for s, e in zip(at.tolist(), (at + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.slice(lo, n).take(pa.array(row)),
+                        pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+                        pa.array(np.full(len(row), part, np.int32)), pa.array(_ranks(length, before)),
+                    ],
+                    names=[f.name for f in schema],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(freeing(run), schema)
 

@@ -24,6 +24,15 @@ def test_chunks_give_the_tokenizers_ids(encoder, text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["don't", "'s", "'", '"', "I'll", "a1", "b2c", "é", "ñ9", ",", ".5", " ", "  ", "\n", "--x", "(y)", "_", "'1", "it''s", "Ⅷ", "\u3000"]), max_size=12))
+def test_neighbours_of_all_kinds(encoder, parts):
+    texts = ["".join(parts), " ".join(parts)]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=30))
 def test_plan_packs_all_and_fits(counts):
