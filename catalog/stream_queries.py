@@ -7,7 +7,7 @@ from catalog.registry import query, table
 from dossierflow.plans.runs import summary
 from dossierflow.settings import Settings
 from dossierflow.sources.folders import work_folder
-from dossierflow.streaming import arrivals, progress
+from dossierflow.streaming import arrivals, progress, stateful
 
 
 def _stream(spark, sf, name):
@@ -99,3 +99,88 @@ def stuck_by_gap(spark, sf):
 def stuck_sessions(spark, sf):
     stuck = progress.stuck_sessions(_file_events(spark, sf), "6 hours", ["purchase", "error"])
     return stuck.select("file_id", "last_event", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"))
+
+
+def _halves(spark, rows, by):
+    """A folder to stream from, and what adds the next of two halves of the rows to it."""
+    base = work_folder(spark, "halves")
+
+    def add(half):
+        rows.filter(F.pmod(by, F.lit(2)) == half).write.parquet(f"{base}/in/half={half}")
+
+    return base, add
+
+
+@query(
+    "stream_stuck_timers",
+    """WITH e AS (SELECT 'f' || user_id AS file_id, ts, event_id, event_type FROM events),
+    firsts AS (SELECT file_id, max(ts) AS newest FROM e WHERE event_id % 2 = 0 GROUP BY file_id)
+    SELECT file_id, arg_max(event_type, (ts, event_id)) AS last_event, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS idle_since,
+    count(*) AS n_events, count(*) FILTER (WHERE event_id % 2 <> 0 AND ts < newest) AS n_late
+    FROM e LEFT JOIN firsts USING (file_id) GROUP BY file_id HAVING last_event NOT IN ('purchase', 'error')""",
+)
+def stream_stuck_timers(spark, sf):
+    """Events in two runs, the second with late ones; then nothing but time passes, and timers fire."""
+    own = stateful.session_for_state(spark)
+    events = _file_events(spark, sf)
+    base, add = _halves(spark, events, F.col("seq"))
+
+    def run():
+        stream = own.readStream.schema(events.schema).parquet(f"{base}/in/*").withWatermark("event_time", "60 days")
+        stuck = stateful.stuck_by_timers(stream, 6 * 3600, ["purchase", "error"], by_event_time=True)
+        stateful.start(stuck, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+
+    add(0)
+    run()
+    add(1)
+    run()
+    tick = spark.range(1).select(
+        F.lit(None).cast("string").alias("file_id"), F.lit("2024-12-31").cast("timestamp").alias("event_time"),
+        F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("event_type"))
+    tick.write.parquet(f"{base}/in/half=2")
+    run()
+    reports = stateful.latest_report(spark.read.parquet(f"{base}/out"))
+    return reports.withColumn("idle_since", F.date_format("idle_since", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "stream_overwrites",
+    """SELECT path, version, length, CASE WHEN version > first_run THEN first_run END AS replaces FROM (
+    SELECT volume_path AS path, max(doc_id) AS version, arg_max(strlen(coalesce(text, '')), doc_id) AS length,
+    max(doc_id) FILTER (WHERE doc_id % 2 = 0) AS first_run FROM uploads GROUP BY volume_path)""",
+    ("uploads",),
+)
+def stream_overwrites(spark, sf):
+    """Uploads of colliding paths in two runs; older versions that arrive late change nothing."""
+    own = stateful.session_for_state(spark)
+    seconds = lambda c: F.unix_seconds(c)
+    files = fx.uploads(spark, sf).select(
+        F.col("volume_path").alias("path"), F.timestamp_seconds("doc_id").alias("modificationTime"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("length"), "doc_id")
+    base, add = _halves(spark, files, F.col("doc_id"))
+    for half in (0, 1):
+        add(half)
+        stream = own.readStream.schema(files.schema).parquet(f"{base}/in/*")
+        stateful.start(stateful.newest_versions(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    current = stateful.current_versions(spark.read.parquet(f"{base}/out"))
+    return current.select(
+        "path", seconds("modificationTime").alias("version"), "length", seconds("replaces").alias("replaces"))
+
+
+@query(
+    "stream_late",
+    """SELECT strftime(d, '%Y-%m-%d') AS day, event_type, count(*) FILTER (WHERE NOT closed) AS counted,
+    count(*) FILTER (WHERE closed) AS late, count(*) AS n FROM (
+    SELECT date_trunc('day', ts) AS d, event_type, event_id % 2 <> 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <=
+    (SELECT max(ts) - INTERVAL 10 DAY FROM events WHERE event_id % 2 = 0) AS closed FROM events) GROUP BY ALL""",
+)
+def stream_late(spark, sf):
+    """Events in two runs: those of the second whose day has closed are kept apart."""
+    events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    base, add = _halves(spark, events, F.col("event_id"))
+    for half in (0, 1):
+        add(half)
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in/*")
+        stateful.split_late(stream, "ts", "1 day", "10 days", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{base}/out/rows")
+    return stateful.split_counts(rows.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")), "day", "event_type")
