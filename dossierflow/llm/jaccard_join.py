@@ -121,11 +121,14 @@ def signed(docs: DataFrame) -> DataFrame:
                 names=[f.name for f in schema],
             )
 
-    return keep(docs.select("row_id", "doc_id", _key(), "text").mapInArrow(freeing(run), schema), "signed")
+    return keep(docs.select("row_id", "doc_id", _key(docs), "text").mapInArrow(freeing(run), schema), "signed")
 
 
-def _key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")
+def _key(docs: DataFrame):
+    """A number that finds a document again: its doc_id if that is one, else a hash."""
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    own = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(own, F.xxhash64("text")).alias("key")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -226,7 +229,7 @@ def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
 
     named = members.select("key", "node", "rest", "copies", "group", "block", "blocks")
     # members can be a third of all documents: one plan at every size, and no sort of texts
-    sets = docs.select(_key(), "text").join(named.hint("shuffle_hash"), "key").drop("key").mapInArrow(freeing(read), schema)
+    sets = docs.select(_key(docs), "text").join(named.hint("shuffle_hash"), "key").drop("key").mapInArrow(freeing(read), schema)
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).select(
         "node", "rest", "copies", "group", "block", "grams",
         F.least("block", F.col("other").cast("long")).alias("lo"),

@@ -34,13 +34,15 @@ HOT_SEGMENTS = 20_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, text: rid is the doc_id where it is a key; else rows are numbered in the order
-    of doc_id (null last) and text, and written once."""
-    ids = docs.agg(
-        F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("some"), F.countDistinct("doc_id").alias("distinct")
-    ).first()
+    """rid, doc_id, text: rid is the doc_id where it is a key and a whole number; else (text ids too)
+    rows are numbered in the order of doc_id (null last) and text, and written once."""
     rows = docs.select("doc_id", "text")
-    if ids.n == ids.some == ids.distinct:
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    if whole:
+        ids = docs.agg(
+            F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("some"), F.countDistinct("doc_id").alias("distinct")
+        ).first()
+    if whole and ids.n == ids.some == ids.distinct:
         return rows.select(F.col("doc_id").cast("long").alias("rid"), "doc_id", "text")
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
     return keep(ordered.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")

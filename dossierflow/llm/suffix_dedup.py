@@ -60,9 +60,33 @@ def ranks(data: np.ndarray, window: int) -> np.ndarray:
     return rank
 
 
+def _tied(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Which of the strings at ``at`` may equal another one: all whose 64-bit hash is not the only one
+    of its kind. Equal strings have equal hashes, so none that is left out has a partner."""
+    h = bytes_prefix(data).ranges(at, at + window)
+    order = np.sort(h)
+    same = order[1:][order[1:] == order[:-1]]
+    if not len(same):
+        return np.zeros(len(at), bool)
+    place = np.minimum(np.searchsorted(same, h), len(same) - 1)
+    return same[place] == h
+
+
 def _judge(window: int):
     def judge(table: pa.Table):
-        texts = table["text"].to_pylist()
+        all_texts = table["text"].to_pylist()
+        # segments without any string that may stand elsewhere are not sorted
+        size = np.array([len(t) for t in all_texts])
+        per = size - window + 1
+        first = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(size)), per)
+        at = first[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(per) - per, per)
+        tied = _tied(np.frombuffer(b"".join(all_texts), np.uint8), at, window)
+        some = np.flatnonzero(np.bincount(seg[tied], minlength=len(size)))
+        if not len(some):
+            return
+        table = table.take(pa.array(some))
+        texts = [all_texts[i] for i in some.tolist()]
         size = np.array([len(t) for t in texts])
         first = np.cumsum(size) - size
         per = size - window + 1

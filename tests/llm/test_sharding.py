@@ -31,3 +31,19 @@ def test_one_key_and_empty(docs_of):
 def test_plan_has_no_python(docs_of, awkward):
     plan = sharding.shard(docs_of(awkward), 5)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_against_brute_force(docs_of, awkward):
+    """Rows laid end to end in the order of (doc_id, checksum); each is where its middle byte falls."""
+    import zlib
+
+    rows = [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in awkward]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    total, before, slots, want = sum(r[1] for r in rows), 0, {}, []
+    for i, size, crc in rows:
+        shard = (2 * before + size) * 24 // (2 * total)
+        want.append((i, size, crc, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+        before += size
+    got = sharding.shard(docs_of(awkward), 24).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
