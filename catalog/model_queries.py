@@ -5,28 +5,36 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, table
 from dossierflow.functions import prompts, replies as rp
-from dossierflow.operators.scoring import reply_column, stub_scorer, token_usage
-from dossierflow.plans.runs import run_stages, usage_rows
+from dossierflow.operators.scoring import distinct_scores, one_reply, reply_list_column, stub_scorer, token_usage
+from dossierflow.plans.runs import MODEL_STAGES, run_stages, usage_rows
 from dossierflow.settings import Settings
+from dossierflow.sources.folders import work_folder
 
 TEMPLATE = 'Read this:\n{document_text}\nAnswer {{"ok": true}}'
 
 
+# windows of the whole text in the check SQL: 5,000 characters, of which 500 are shared with the next
+_WINDOWS = """SELECT doc_id, text, i, substr(coalesce(text, ''), CAST(i * 4500 + 1 AS bigint), 5000) AS w FROM (
+    SELECT doc_id, text, unnest(range(CAST(greatest(ceil((length(coalesce(text, '')) - 500) / 4500.0), 1) AS bigint))) AS i FROM documents)"""
+
+
 @query(
     "render_prompt",
-    """SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id || ': ' || left(text, 5000)
-    ELSE 'Read this:' || chr(10) || left(text, 5000) || chr(10) || 'Answer {"ok": true}' END) AS prompt_md5,
-    CASE WHEN doc_id % 2 = 0 THEN 'big' ELSE 'rules' END AS model FROM documents""",
+    f"""SELECT doc_id, CAST(i AS int) AS part, md5(CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id || ': ' || w
+    ELSE 'Read this:' || chr(10) || w || chr(10) || 'Answer {{"ok": true}}' END) AS prompt_md5,
+    CASE WHEN doc_id % 2 = 0 THEN 'big' ELSE 'rules' END AS model FROM ({_WINDOWS})""",
 )
 def render_prompt(spark, sf):
-    """Own templates for a third of the documents, an empty or missing one otherwise."""
+    """A prompt for each window of every text. Own templates for a third of the documents, an
+    empty or missing one otherwise."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("T"), "doc_id", F.lit(": {document_text}"))).when(
         F.col("doc_id") % 3 == 1, F.lit(""))
     template = prompts.or_default(own, TEMPLATE)
     model = prompts.or_default(F.when(F.col("doc_id") % 2 == 0, F.lit("big")), "rules")
-    return docs.select("doc_id", F.md5(prompts.render_prompt(template, F.col("text"))).alias("prompt_md5"),
-                       model.alias("model"))
+    windows = docs.select("doc_id", template.alias("template"), model.alias("model"),
+                          F.posexplode(prompts.text_windows(F.col("text"))).alias("part", "w"))
+    return windows.select("doc_id", "part", F.md5(prompts.render_prompt(F.col("template"), F.col("w"))).alias("prompt_md5"), "model")
 
 
 @query("prompt_preview",
@@ -36,21 +44,28 @@ def prompt_preview(spark, sf):
     return docs.select("doc_id", prompts.preview(F.col("text"), 200).alias("preview"))
 
 
-def _scored(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    prompt = prompts.render_prompt(F.lit(TEMPLATE), F.regexp_replace("text", "[^A-Za-z]+", " "))
-    return docs.select("doc_id", "lang", reply_column(prompt, stub_scorer).alias("r"))
+# pieces between white space, as the stub counts tokens: all characters that Python splits at
+_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_TOKENS = f"len(regexp_extract_all(w, '[^{_SPACE}]+'))"
 
 
-# the prompt's words: those of the text that the prompt carries, and four of the template
-_WORDS = """len(list_filter(string_split_regex('Read this: ' || left(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 5000)
-    || ' Answer {"ok": true}', '[ \\n]+'), lambda w: w <> ''))"""
+def _template_tokens(template: str) -> int:
+    """Tokens of a prompt beside those of its text, which stands between white space."""
+    return len(template.replace("{document_text}", " ").split())
 
 
-@query("score_stub", f"SELECT doc_id, 'stub' AS model, 'stop' AS finish_reason, CAST({_WORDS} AS bigint) AS prompt_tokens, "
-                     f"CAST({_WORDS} + 6 AS bigint) AS total_tokens FROM documents")
+@query(
+    "score_stub",
+    f"""SELECT doc_id, 'stub' AS model, 'stop' AS finish_reason, CAST(sum({_TOKENS} + {_template_tokens(TEMPLATE)}) AS bigint) AS prompt_tokens,
+    CAST(sum({_TOKENS} + {_template_tokens(TEMPLATE) + 6}) AS bigint) AS total_tokens FROM ({_WINDOWS}) GROUP BY doc_id""",
+)
 def score_stub(spark, sf):
-    return _scored(spark, sf).select("doc_id", "r.model", "r.finish_reason", "r.prompt_tokens", "r.total_tokens")
+    """All windows of every text, unaltered; one reply for each document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    asked = F.transform(prompts.text_windows(F.col("text")), lambda w: prompts.render_prompt(F.lit(TEMPLATE), w))
+    scored = docs.select("doc_id", reply_list_column(asked, stub_scorer).alias("replies")).select(
+        "doc_id", one_reply(F.col("replies")).alias("r"))
+    return scored.select("doc_id", "r.model", "r.finish_reason", "r.prompt_tokens", "r.total_tokens")
 
 
 def _mail_scorer(asked, options):
@@ -82,16 +97,28 @@ def scored_windows(spark, sf):
         F.md5(F.array_join(mails, ",")).alias("mails_md5"))
 
 
-@query(
-    "token_usage",
-    f"""SELECT lang AS stage, 'stub' AS model, count(*) AS calls, CAST(sum({_WORDS}) AS bigint) AS prompt_tokens,
-    CAST(sum({_WORDS} + 6) AS bigint) AS total_tokens, round(avg({_WORDS} + 6), 4) AS avg_total_tokens
-    FROM documents GROUP BY lang""",
-)
+def _usage_sql(where: str = "") -> str:
+    """Usage of the three model stages over all windows of all texts."""
+    of_stage = [
+        f"""SELECT '{stage}' AS stage, {_template_tokens(prompts.default_prompt(stage))} AS around""" for stage in MODEL_STAGES
+    ]
+    return f"""SELECT stage, 'stub' AS model, count(*) AS calls, CAST(sum(tokens) AS bigint) AS prompt_tokens,
+    CAST(6 * sum(windows) AS bigint) AS completion_tokens, CAST(sum(tokens + 6 * windows) AS bigint) AS total_tokens
+    FROM (SELECT doc_id, stage, count(*) AS windows, sum({_TOKENS} + around) AS tokens FROM ({_WINDOWS}),
+    ({' UNION ALL '.join(of_stage)}) {where} GROUP BY doc_id, stage) GROUP BY stage"""
+
+
+@query("token_usage", _usage_sql())
 def token_usage_query(spark, sf):
-    """Usage per group and model (languages stand in for stages)."""
-    calls = _scored(spark, sf).select(F.col("lang").alias("stage"), "r.*")
-    return token_usage(calls).select("stage", "model", "calls", "prompt_tokens", "total_tokens", "avg_total_tokens")
+    """Usage of each model stage: every window of every text, with the stage's own prompt."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    calls = []
+    for stage in MODEL_STAGES:
+        asked = F.transform(prompts.text_windows(F.col("text")), lambda w: prompts.render_prompt(F.lit(prompts.default_prompt(stage)), w))
+        scored = docs.select(reply_list_column(asked, stub_scorer).alias("replies"))
+        calls.append(scored.select(F.lit(stage).alias("stage"), one_reply(F.col("replies")).alias("r")).select("stage", "r.*"))
+    usage = token_usage(calls[0].unionByName(calls[1]).unionByName(calls[2]))
+    return usage.select("stage", "model", "calls", "prompt_tokens", "completion_tokens", "total_tokens")
 
 
 @query(
@@ -167,15 +194,27 @@ def reply_fenced(spark, sf):
     return found.filter("primary_category = 'Tax Document'")
 
 
-@query(
-    "run_usage",
-    """SELECT unnest(['categorize', 'extract', 'deidentify']) AS stage, 'stub' AS model, count(*) AS calls,
-    CAST(6 * sum(greatest(ceil((length(text) - 500) / 4500.0), 1)) AS bigint) AS completion_tokens FROM documents WHERE length(trim(text)) > 0""",
-)
+@query("run_usage", _usage_sql("WHERE length(trim(text)) > 0"))
 def run_usage(spark, sf):
-    """Tokens of each model stage over whole runs: six for each window of a text."""
+    """Tokens of each model stage over whole runs."""
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("file_id"), F.lit("a.txt").alias("filename"),
         F.col("text").cast("binary").alias("content"))
-    wide = run_stages(docs, Settings(scorers={s: stub_scorer for s in ("categorize", "extract", "deidentify")}))
-    return token_usage(usage_rows(wide)).select("stage", "model", "calls", "completion_tokens")
+    wide = run_stages(docs, Settings(scorers={s: stub_scorer for s in MODEL_STAGES}))
+    return token_usage(usage_rows(wide)).select(
+        "stage", "model", "calls", "prompt_tokens", "completion_tokens", "total_tokens")
+
+
+@query(
+    "scored_once",
+    f"""SELECT count(*) AS prompts, count(DISTINCT w) AS calls, CAST(sum({_TOKENS} + {_template_tokens(TEMPLATE)}) AS bigint) AS prompt_tokens,
+    (SELECT CAST(sum({_TOKENS} + {_template_tokens(TEMPLATE)}) AS bigint) FROM (SELECT DISTINCT w FROM ({_WINDOWS}))) AS paid_tokens FROM ({_WINDOWS})""",
+)
+def scored_once(spark, sf):
+    """Windows of all texts, equal ones scored once: each prompt has its reply, few were asked for."""
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(prompts.text_windows(F.col("text"))).alias("part", "w"))
+    asked = docs.select("doc_id", "part", prompts.render_prompt(F.lit(TEMPLATE), F.col("w")).alias("prompt"))
+    replies = distinct_scores(asked, "prompt", stub_scorer, folder=work_folder(spark, "scored-once"))
+    return replies.agg(
+        F.count("r.reply").alias("prompts"), F.count_if("asked").alias("calls"), F.sum("r.prompt_tokens").alias("prompt_tokens"),
+        F.sum(F.when(F.col("asked"), F.col("r.prompt_tokens"))).alias("paid_tokens"))

@@ -12,7 +12,8 @@ from dossierflow.streaming import arrivals, progress, stateful
 
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a pattern, as a stream takes a single file only by one
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query(

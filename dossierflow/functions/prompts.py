@@ -69,14 +69,15 @@ def or_default(value: Column, default: Column | str) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), fallback)
 
 
-def render_prompt(template: Column, text: Column, limit: int = PROMPT_TEXT_CHARS) -> Column:
-    """Fill the slot. Braces are unescaped piecewise around the slot, so that the
-    inserted text is left exactly as it is."""
+def render_prompt(template: Column, text: Column, limit: int | None = None) -> Column:
+    """Fill the slot with the whole text, or with its first ``limit`` code points if asked to. Braces
+    are unescaped piecewise around the slot, so that the inserted text is left exactly as it is."""
+    part = text if limit is None else truncate_text(text, limit)
     pieces = F.transform(
         F.split(template, r"\{document_text\}"),
         lambda p: F.replace(F.replace(p, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")),
     )
-    return F.call_function("array_join", pieces, F.coalesce(truncate_text(text, limit), F.lit("")))
+    return F.call_function("array_join", pieces, F.coalesce(part, F.lit("")))
 
 
 def preview(text: Column, limit: int) -> Column:

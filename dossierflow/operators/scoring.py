@@ -152,3 +152,37 @@ def token_usage(replies: DataFrame) -> DataFrame:
         F.round(F.avg("total_tokens"), 4).alias("avg_total_tokens"),
         F.sum(F.when(F.col("finish_reason") == "length", 1).otherwise(0)).alias("cut_off"),
     )
+
+
+#: prompts that at least one in so many rows shares are joined by broadcast, so there are no more than that
+COMMON = 256
+
+
+def distinct_scores(
+    prompts: DataFrame, prompt: str, scorer: Scorer, folder: str, options: ModelOptions = ModelOptions(), batch: int = 64
+) -> DataFrame:
+    """``prompts`` with the reply ``r`` to each row's prompt, equal prompts being scored once, and
+    ``asked``: whether this row is the one that the scorer was called for.
+
+    Equal prompts are found by a digest, counted and reduced to one text by an aggregate that
+    combines before its shuffle. Replies are written to ``folder`` once, so no lost task asks again
+    for those that are there. Rows then find theirs by digest: those of common prompts by a
+    broadcast of bounded size, all others by a join on the digest. NULL prompts have no reply.
+    """
+    keyed = prompts.withColumns({"_digest": F.sha2(prompt, 256), "_row": F.monotonically_increasing_id()})
+    keyed.write.parquet(f"{folder}/prompts")
+    keyed = prompts.sparkSession.read.schema(keyed.schema).parquet(f"{folder}/prompts")
+    one = keyed.where(F.col(prompt).isNotNull()).groupBy("_digest").agg(
+        F.any_value(prompt).alias("_prompt"), F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    scored = one.select("_digest", "_first", "_n", reply_column(F.col("_prompt"), scorer, options, batch).alias("r"))
+    scored.write.parquet(f"{folder}/replies")
+    scored = prompts.sparkSession.read.schema(scored.schema).parquet(f"{folder}/replies")
+    total = scored.agg(F.sum("_n")).first()[0] or 0
+    common = F.col("_n") * COMMON >= total
+    often = keyed.join(F.broadcast(scored.where(common)), "_digest")
+    names = F.broadcast(scored.where(common).select("_digest"))
+    seldom = keyed.join(names, "_digest", "left_anti").join(scored.where(~common), "_digest", "left")
+    both = often.unionByName(seldom)
+    asked = F.coalesce(F.col("_row") == F.col("_first"), F.lit(False)).alias("asked")
+    return both.select(*prompts.columns, "r", asked)

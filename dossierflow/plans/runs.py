@@ -112,7 +112,7 @@ def _scored(df: DataFrame, stage: str, settings: Settings, key: str | None) -> D
     if f"{stage}_prompt" in df.columns:
         template = or_default(F.col(f"{stage}_prompt"), template)
     windows = text_windows(F.col("_joined"), settings.prompt_chars, settings.prompt_overlap)
-    prompts = F.when(_due(stage), F.transform(windows, lambda w: render_prompt(template, w, settings.prompt_chars)))
+    prompts = F.when(_due(stage), F.transform(windows, lambda w: render_prompt(template, w)))
     options = ModelOptions(settings.model, settings.temperature, settings.max_tokens)
     df = df.withColumn("_prompts", prompts)
     df = df.withColumn("_replies", reply_list_column(F.col("_prompts"), settings.scorers[stage], options))

@@ -93,7 +93,8 @@ def test_render_prompt_leaves_the_text_alone(spark):
 
 def test_render_prompt_counts_code_points(spark):
     value = "é😀" * 4000
-    assert evaluate(spark, [value], lambda c: prompts.render_prompt(F.lit("{document_text}"), c)) == [value[:5000]]
+    assert evaluate(spark, [value], lambda c: prompts.render_prompt(F.lit("{document_text}"), c, 5000)) == [value[:5000]]
+    assert evaluate(spark, [value], lambda c: prompts.render_prompt(F.lit("{document_text}"), c)) == [value]
 
 
 def test_default_prompts_render(spark):
