@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, table, view
 from dossierflow.functions.redaction import mask_entities
-from dossierflow.operators import categorize, deidentify, extract
-from dossierflow.operators.rules import DEFAULT_LEXICON, ENTITY_RULES, PII_RULES
+from dossierflow.operators import categorize, deidentify, extract, phrases
+from dossierflow.operators.rules import DEFAULT_LEXICON, ENTITY_RULES, PII_RULES, Lexicon
 
 # --- the rules once more, in the check engine's pattern language: (type, pattern, group, confidence or strategy) ---
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -153,6 +153,46 @@ def categorize_unknown(spark, sf):
     return out.filter("primary_category = 'Unknown'")
 
 
+# terms of one to four words, some inside others, one with parts that the text splits by marks
+PHRASES = Lexicon(tuple(
+    (category, term, weight) for category, weight, terms in (
+        ("Holders", 1.5, ("account", "account holder", "holder")),
+        ("Numbers", 1.0, ("account number", "routing number", "tax id", "number")),
+        ("Balances", 2.0, ("beginning balance", "ending balance", "balance")),
+        ("Places", 1.25, ("Oak Avenue Denver CO", "avenue", "elm street", "Property Address")),
+    ) for term in terms))
+view("phrase_lexicon", "SELECT category, lower(term) AS term, weight, len(string_split(term, ' ')) AS n "
+                       f"FROM (VALUES {fx.lexicon_values(PHRASES)}) AS v(category, term, weight)")
+_PHRASE_HITS = f"""SELECT doc_id, spot, n, term FROM (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS spot, w
+    FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM statements), (SELECT DISTINCT n FROM phrase_lexicon))
+    JOIN (SELECT DISTINCT term, n AS size FROM phrase_lexicon) ON size = n AND term = array_to_string(w[spot:spot + n - 1], ' ')"""
+view("phrase_hits", f"""SELECT h.* FROM ({_PHRASE_HITS}) h WHERE NOT EXISTS (SELECT 1 FROM ({_PHRASE_HITS}) o
+    WHERE o.doc_id = h.doc_id AND o.spot <= h.spot AND o.spot + o.n >= h.spot + h.n AND o.n > h.n)""", ("statements", "phrase_lexicon"))
+view("phrase_ranked", """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rn,
+    sum(score) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, category, CAST(sum(weight) AS double) AS score,
+    string_agg(DISTINCT term, ', ' ORDER BY term) AS terms FROM phrase_hits JOIN phrase_lexicon USING (term) GROUP BY doc_id, category)""",
+     ("phrase_hits",))
+_PHRASES_SQL = """SELECT d.doc_id, coalesce(a.category, 'Unknown') AS primary_category,
+    coalesce(round(a.score / a.total, 4), 0.0) AS primary_confidence, coalesce(a.terms, '') AS primary_justification,
+    coalesce(b.category, 'Unknown') AS secondary_category, coalesce(round(b.score / b.total, 4), 0.0) AS secondary_confidence,
+    coalesce(b.terms, '') AS secondary_justification FROM statements d
+    LEFT JOIN (SELECT * FROM phrase_ranked WHERE rn = 1) a USING (doc_id) LEFT JOIN (SELECT * FROM phrase_ranked WHERE rn = 2) b USING (doc_id)"""
+
+
+@query("categorize_phrases", _PHRASES_SQL, ("phrase_ranked",))
+def categorize_phrases(spark, sf):
+    """Terms of several words, from a lexicon table joined on positions."""
+    rows = [(c, t, float(w)) for c, t, w in PHRASES.terms]
+    lexicon = spark.createDataFrame(rows, "category string, term string, weight double")
+    return phrases.categorize_phrases(fx.statements(spark, sf), lexicon)
+
+
+@query("categorize_phrases_in_plan", _PHRASES_SQL, ("phrase_ranked",))
+def categorize_phrases_in_plan(spark, sf):
+    """The same terms, looked up row by row."""
+    return phrases.categorize_phrases_in_plan(fx.statements(spark, sf), PHRASES)
+
+
 def _entities(df):
     return extract.entities_long(extract.with_entities(df)).filter("pos IS NOT NULL")
 

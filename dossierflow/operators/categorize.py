@@ -85,7 +85,12 @@ def categorize_by_join(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id",
     """
     words = docs.select(key, F.explode(words_of(F.col(text))).alias("term"))
     unique = lexicon.groupBy("category", F.lower("term").alias("term")).agg(F.max("weight").alias("weight"))
-    hits = words.groupBy(key, "term").agg(F.count("*").alias("n")).join(unique, "term")
+    return ranked_categories(docs, words.groupBy(key, "term").agg(F.count("*").alias("n")).join(unique, "term"), key)
+
+
+def ranked_categories(docs: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """``key`` and the six classification fields of all ``docs`` from counted hits (key, term, n,
+    category, weight)."""
     scored = (
         hits.groupBy(key, "category")
         .agg(
