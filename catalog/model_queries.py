@@ -218,3 +218,24 @@ def scored_once(spark, sf):
     return replies.agg(
         F.count("r.reply").alias("prompts"), F.count_if("asked").alias("calls"), F.sum("r.prompt_tokens").alias("prompt_tokens"),
         F.sum(F.when(F.col("asked"), F.col("r.prompt_tokens"))).alias("paid_tokens"))
+
+
+def _poisoned(asked, options):
+    """Fails as a whole if one prompt of a batch is bad."""
+    if any("@mail3." in p for p in asked):
+        raise ValueError("bad prompt")
+    return stub_scorer(asked, options)
+
+
+@query(
+    "run_poisoned_batch",
+    """SELECT doc_id, CASE WHEN text IS NULL THEN 'ingest' WHEN contains(text, '@mail3.') THEN 'extract' END AS failed_stage,
+    CASE WHEN contains(text, '@mail3.') THEN 'bad prompt' END AS reason FROM documents WHERE text IS NULL OR length(trim(text)) > 0""",
+)
+def run_poisoned_batch(spark, sf):
+    """Whole runs with a model whose batches fail on some prompts: only their documents fail."""
+    docs = table(spark, sf, "documents").filter("text IS NULL OR length(trim(text)) > 0").select(
+        F.col("doc_id").cast("string").alias("file_id"), F.lit("a.txt").alias("filename"), F.col("text").cast("binary").alias("content"))
+    wide = run_stages(docs, Settings(scorers={"extract": _poisoned}, prompts={"extract": "|{document_text}|"}))
+    reason = F.when(F.col("failed_stage") == "extract", F.regexp_extract("error", "bad prompt", 0))
+    return wide.select(F.col("file_id").cast("long").alias("doc_id"), "failed_stage", reason.alias("reason"))

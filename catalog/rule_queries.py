@@ -7,6 +7,8 @@ from catalog.registry import query, table, view
 from dossierflow.functions.redaction import mask_entities
 from dossierflow.operators import categorize, deidentify, extract, phrases
 from dossierflow.operators.rules import DEFAULT_LEXICON, ENTITY_RULES, PII_RULES, Lexicon
+from dossierflow.plans.runs import run_stages
+from dossierflow.settings import Settings
 
 # --- the rules once more, in the check engine's pattern language: (type, pattern, group, confidence or strategy) ---
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -135,10 +137,26 @@ view("bench_lexicon", f"SELECT category, term, CAST(max(weight) AS double) AS we
 @query("categorize_by_join", categorize_sql("documents", "bench_lexicon"), ("bench_lexicon",))
 def categorize_by_join(spark, sf):
     """A lexicon table of any size: here the words of the benchmark texts."""
+    return categorize.categorize_by_join(_documents(spark, sf), _bench_lexicon(spark, sf))
+
+
+def _bench_lexicon(spark, sf):
     words = table(spark, sf, "benchmark").select("item_id", F.explode(categorize.words_of(F.col("text"))).alias("term"))
-    lexicon = words.groupBy(F.concat(F.lit("I"), F.col("item_id") % 7).alias("category"), "term").agg(
+    return words.groupBy(F.concat(F.lit("I"), F.col("item_id") % 7).alias("category"), "term").agg(
         F.max(F.lit(1.0) + F.col("item_id") % 3).alias("weight"))
-    return categorize.categorize_by_join(_documents(spark, sf), lexicon)
+
+
+@query(
+    "run_lexicon_table",
+    f"""SELECT file_id, CASE WHEN failed_stage IS NULL THEN primary_category END AS primary_category,
+    CASE WHEN failed_stage IS NULL THEN primary_confidence END AS primary_confidence, failed_stage
+    FROM runs JOIN ({categorize_sql('documents', 'bench_lexicon')}) USING (doc_id)""",
+    ("runs", "bench_lexicon"),
+)
+def run_lexicon_table(spark, sf):
+    """Whole runs whose lexicon is a table of any size."""
+    wide = run_stages(fx.run_docs(spark, sf), Settings(**fx.RUN_SETTINGS, lexicon=_bench_lexicon(spark, sf)))
+    return wide.select("file_id", "categorization.primary_category", "categorization.primary_confidence", "failed_stage")
 
 
 @query(

@@ -185,3 +185,13 @@ def stream_late(spark, sf):
         stateful.split_late(stream, "ts", "1 day", "10 days", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{base}/out/rows")
     return stateful.split_counts(rows.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")), "day", "event_type")
+
+
+@query("stream_replayed_batch", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS bigint) AS ids FROM events GROUP BY event_type")
+def stream_replayed_batch(spark, sf):
+    """The same batch written twice, as after a failure before its end was recorded: it counts once."""
+    base = work_folder(spark, "stream-replay")
+    for attempt in (1, 2):
+        events = _stream(spark, sf, "events").select("event_id", "event_type")
+        arrivals.write_once(events, f"{base}/out", f"{base}/checkpoint-{attempt}").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
