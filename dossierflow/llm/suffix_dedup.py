@@ -6,8 +6,9 @@ by their anchor (see ``recurrence``): equal strings are in one bucket. The ancho
 without ranks; they stand in for a difference cover, whose places modulo a number can't be
 compared between documents. Whole stretches that tie are told by a 64-bit hash of their bytes,
 and anchors with very many segments go by hashes of their windows.
-Only buckets in which different stretches meet are sorted: one block of whole buckets at a
-time, by their leading bytes, ties resolved by looking up ranks of later places, until the
+Only buckets in which different stretches meet are sorted, and of these only segments that
+hold a string whose hash another one shares: one block of whole buckets at a time, by their
+leading bytes, ties resolved by looking up ranks of later places, until the
 first ``window`` bytes of all are ranked. A task holds one block; in it bytes are compared, not hashes.
 
 A null text is empty; texts shorter than a window stay; rows that repeat both doc_id and text
