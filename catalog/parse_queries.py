@@ -8,6 +8,8 @@ from dossierflow.functions import prompts, text as tx
 from dossierflow.operators import ingest, parse
 from dossierflow.plans.runs import run_stages
 from dossierflow.settings import Settings
+from dossierflow.sources import payloads
+from dossierflow.sources.folders import work_folder
 
 # what the payload's elements amount to as text
 PAYLOAD_TEXT = """array_to_string(list_filter(list_transform(elements, lambda e: json_extract_string(e, '$.content')),
@@ -41,6 +43,21 @@ def parse_rejects(spark, sf):
     return out.filter("parse_error IS NOT NULL").select("doc_id", "parse_error")
 
 
+@query(
+    "parse_shredded",
+    """SELECT doc_id, CASE WHEN error_status IS NULL AND length(t) > 0 THEN md5(t) END AS text_md5,
+    CASE WHEN error_status IS NOT NULL THEN 'parser reported: ' || error_status WHEN length(t) = 0 THEN 'No document text extracted' END AS parse_error
+    FROM parsed""",
+    ("parsed",),
+)
+def parse_shredded(spark, sf):
+    """Payloads written with typed columns beside the variant, parsed from these columns alone."""
+    folder = work_folder(spark, "payloads")
+    payloads.write(fx.payloads(spark, sf), folder)
+    out = payloads.parse_shredded(payloads.read(spark, folder))
+    return out.select("doc_id", F.md5("document_text").alias("text_md5"), "parse_error")
+
+
 HTML_SQL = r"regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<(script|style)[^>]*>.*?</(?:script|style)[^>]*>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
 HTML_SQL = (
     f"replace(replace(replace(replace(replace(replace({HTML_SQL}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), "

@@ -26,6 +26,15 @@ def parsed_error(parsed: Column) -> Column:
     return F.try_variant_get(parsed, "$.error_status", "string")
 
 
+def parse_reason(is_json: Column, status: Column, text: Column) -> Column:
+    """Why a payload gives no document, NULL if it gives one."""
+    return (
+        F.when(~is_json, F.lit("payload is not JSON"))
+        .when(status.isNotNull(), F.concat(F.lit("parser reported: "), status))
+        .when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(NO_TEXT))
+    )
+
+
 def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds ``document_text`` and ``parse_error``. Documents the parser refused, and
     documents without text, stay in the table with their reason."""
@@ -33,12 +42,7 @@ def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
         df.withColumn("_parsed", F.try_parse_json(payload))
         .withColumn("_status", parsed_error(F.col("_parsed")))
         .withColumn("_text", parsed_text(F.col("_parsed")))
-        .withColumn(
-            "parse_error",
-            F.when(F.col("_parsed").isNull(), F.lit("payload is not JSON"))
-            .when(F.col("_status").isNotNull(), F.concat(F.lit("parser reported: "), F.col("_status")))
-            .when(F.coalesce(F.length("_text"), F.lit(0)) == 0, F.lit(NO_TEXT)),
-        )
+        .withColumn("parse_error", parse_reason(F.col("_parsed").isNotNull(), F.col("_status"), F.col("_text")))
         .withColumn("document_text", F.when(F.col("parse_error").isNull(), F.col("_text")))
         .drop("_parsed", "_status", "_text")
     )
