@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, table, view
 from catalog.rule_queries import categorize_sql
-from dossierflow.plans import resume, results as res, runs, spans as sp, status as st, views
+from dossierflow.plans import cache, resume, results as res, runs, spans as sp, status as st, views
 from dossierflow.plans.runs import run_stages
 from dossierflow.sources import logs
+from dossierflow.sources.folders import work_folder
 
 # documents that reach stage 3, with the outcome of the three rule stages
 view("finished", "SELECT doc_id, file_id, content AS text FROM runs WHERE error IS NULL", ("runs",))
@@ -428,3 +429,25 @@ def log_file_content(spark, sf):
 def run_durations(spark, sf):
     spans = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return spans.select("user_id", runs.duration_seconds(F.col("a"), F.col("b")).alias("seconds"))
+
+
+_FULL = "SELECT doc_id, text, 'd' || doc_id AS file_id FROM documents WHERE length(trim(text)) > 0"
+
+
+@query(
+    "resume_by_fingerprint",
+    f"""SELECT file_id, cached, NOT cached AND file_id = min(file_id) OVER (PARTITION BY text, cached) AS ran, primary_category,
+    CAST((SELECT count(*) FROM doc_entities e WHERE e.doc_id = d.doc_id) AS int) AS entities_count
+    FROM (SELECT *, text IN (SELECT text FROM ({_FULL}) WHERE doc_id % 2 = 0) AS cached FROM ({_FULL})) d JOIN all_categories USING (doc_id)""",
+    ("all_categories", "doc_entities"),
+)
+def resume_by_fingerprint(spark, sf):
+    """Half of the documents run and fill the cache, then all do under other names: no equal bytes run twice."""
+    docs = table(spark, sf, "documents").filter("length(trim(text)) > 0").select(
+        "doc_id", F.concat(F.lit("d"), "doc_id").alias("file_id"), F.col("text").cast("binary").alias("content"))
+    half = docs.filter("doc_id % 2 = 0").select("file_id", F.concat("file_id", F.lit(".txt")).alias("filename"), "content")
+    folder = work_folder(spark, "result-cache")
+    cache.new_entries(cache.run_cached(half, fx.run_settings())).write.parquet(folder)
+    again = docs.select("file_id", F.concat(F.lit("copy of "), "file_id", F.lit(".txt")).alias("filename"), "content")
+    done = cache.run_cached(again, fx.run_settings(), spark.read.parquet(folder))
+    return done.select("file_id", "cached", "ran", "primary_category", "entities_count")
