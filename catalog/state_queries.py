@@ -254,7 +254,7 @@ def results_json_by_stage(spark, sf):
 
 @query(
     "results_lookup",
-    """SELECT s.file_id, CASE WHEN l.doc_id IS NULL THEN 'No results found for file' END AS lookup_error, quality
+    """SELECT s.file_id, CASE WHEN l.doc_id IS NULL THEN 'no result is stored for this file' END AS lookup_error, quality
     FROM status s LEFT JOIN labels l ON s.file_id = 'f' || l.doc_id""",
     ("status",),
 )

@@ -117,7 +117,7 @@ def for_files(files: DataFrame, results: DataFrame) -> DataFrame:
     found = results.withColumn("_found", F.lit(True))
     return (
         files.select("file_id").join(found, "file_id", "left")
-        .withColumn("lookup_error", F.when(F.col("_found").isNull(), F.lit("No results found for file")))
+        .withColumn("lookup_error", F.when(F.col("_found").isNull(), F.lit("no result is stored for this file")))
         .drop("_found")
     )
 

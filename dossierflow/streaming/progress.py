@@ -54,10 +54,10 @@ def stuck_by_gap(events: DataFrame, now: Column, gap_seconds: int, terminal: lis
 
 def stuck_sessions(events: DataFrame, gap: str, terminal: list[str], lateness: str = "10 minutes") -> DataFrame:
     """The streaming form: a file's events form sessions that end after ``gap`` without
-    an event; a session that ends on a non-final event is a stuck file."""
-    if events.isStreaming:
-        # a file with very many events is merged in each task before the shuffle
-        events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    an event; a session that ends on a non-final event is a stuck file. In a session with
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` a file with very many
+    events is merged in each task before the shuffle. Events later than ``lateness`` are dropped;
+    ``stateful.stuck_by_timers`` by processing time drops none and needs no newer event."""
     return (
         events.withWatermark("event_time", lateness)
         .groupBy(F.session_window("event_time", gap).alias("session"), "file_id")

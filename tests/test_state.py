@@ -108,7 +108,7 @@ def test_delete_leaves_results(spark):
     found = spark.createDataFrame([("a", "r"), ("q", "r")], "file_id string, parse_result string")
     left = st.delete_records(some_status(spark), ids)
     assert {r.file_id for r in results.orphans(found, left).collect()} == {"a", "q"}
-    assert {r.file_id: r.lookup_error for r in results.for_files(ids, found).collect()} == {"a": None, "zz": "No results found for file"}
+    assert {r.file_id: r.lookup_error for r in results.for_files(ids, found).collect()} == {"a": None, "zz": "no result is stored for this file"}
 
 
 def test_stage_counts(spark):
