@@ -1,4 +1,11 @@
-"""Documents to packed training sequences in five stages, each reading what the one before wrote."""
+"""Documents to packed training sequences in five stages, each reading what the one before wrote.
+
+All stages take whole texts of any length and any type of doc_id, keep columns that they don't
+know, and give no rows for an empty table. A null text counts as empty: all empty texts are copies of
+one another, of which one stays, and that one is packed as a single end token. Rows that repeat both doc_id and text are copies; rows that repeat a doc_id with
+another text are documents of their own. Of copies the longest text, then the smallest doc_id
+stays.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +24,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go."""
+    """Documents that the model rejects go; a null text is scored as an empty one."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
@@ -27,7 +34,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents connected by similarity from 0.8 on one stays."""
+    """Of each group of documents connected by similarity from 0.8 on one stays: the smallest doc_id,
+    a null one last. Texts without words are no one's near copies."""
     return jaccard_join.dedup(docs)
 
 
@@ -37,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, as pieces placed in sequences."""
+    """Every document that is left, as pieces placed in sequences; an empty one is a piece of one token."""
     return packing.pack(docs, TOKENIZER, CAPACITY)
 
 
