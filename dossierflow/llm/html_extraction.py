@@ -22,7 +22,7 @@ further suffixes through, which then are sorted in vain, but holds back none. Th
 that a passage on a third of all pages is dealt out to many tasks; their counts are added up.
 
 A null page is empty, its text an empty string; an empty table gives no rows; equal pages of a host
-count as one page; other columns are ignored. A null url is a host of its own. Long pages are read whole.
+(of equal text, an article marked in both or in neither) count as one page; other columns are ignored. A null url is a host of its own. Long pages are read whole.
 """
 
 from __future__ import annotations
@@ -175,7 +175,7 @@ def _digest(*parts: str, size: int = 16) -> bytes:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """row_id, page_id, url, host, its number, text (blocks on lines), marked, digest of host and text."""
+    """row_id, page_id, url, host, its number, text (blocks on lines), marked, digest of these three."""
     schema = T.StructType([
         *[T.StructField(c, pages.schema[c].dataType) for c in ("page_id", "url")],
         T.StructField("row_id", T.LongType()),
@@ -201,7 +201,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                     pa.array(numbers, pa.int64()),
                     pa.array(texts, pa.string()),
                     pa.array([y for _, y in found], pa.bool_()),
-                    pa.array([_digest(h, t) for h, t in zip(hosts, texts)], pa.binary()),
+                    pa.array([_digest(str(y), h, t) for h, t, (_, y) in zip(hosts, texts, found)], pa.binary()),
                 ],
                 names=[f.name for f in schema],
             )
@@ -256,13 +256,13 @@ def _bitmap(keys: DataFrame) -> tuple[int, bytes]:
 
 
 def _suffixes(pages: DataFrame, log: int, bitmap: bytes) -> DataFrame:
-    """host, suffix (its first tokens), page, places of it there: suffixes whose anchor is in the bitmap."""
+    """host, suffix (its first tokens), page, marked, places of it there: suffixes whose anchor is in the bitmap."""
     held = pages.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         known = np.frombuffer(held.value, np.uint8)
         for b in batches:
-            hosts, digests = column(b, "host"), column(b, "page")
+            about = [column(b, c) for c in ("host", "page", "marked")]
             for lo, data, words, row, at, n, key in _anchored(b):
                 place = (mix(key.view(np.uint64)) >> np.uint64(64 - log)).astype(np.int64)
                 some = np.flatnonzero(known[place >> 3] >> (place & 7).astype(np.uint8) & 1)
@@ -277,14 +277,14 @@ def _suffixes(pages: DataFrame, log: int, bitmap: bytes) -> DataFrame:
                     rows = pa.array([lo + r for r, _ in found], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            hosts.take(rows), pa.array([t for _, t in found], pa.binary()), digests.take(rows),
-                            pa.array(list(found.values()), pa.list_(pa.int32())),
+                            *[x.take(rows) for x in about],
+                            pa.array([t for _, t in found], pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32())),
                         ],
-                        names=["host", "suffix", "page", "places"],
+                        names=["host", "page", "marked", "suffix", "places"],
                     )
 
-    return pages.select("host", "host_id", "text", "page").mapInArrow(
-        run, "host string, suffix binary, page binary, places array<int>"
+    return pages.select("host", "host_id", "text", "page", "marked").mapInArrow(
+        run, "host string, page binary, marked boolean, suffix binary, places array<int>"
     )
 
 
@@ -339,27 +339,27 @@ def _least(rule: tuple[int, float]) -> Column:
 
 
 def boilerplate(parsed: DataFrame) -> DataFrame:
-    """page, places: for pages with boilerplate where its suffixes start, doubled, and one more if also in articles."""
+    """page, places: where suffixes of boilerplate start on the pages that have some."""
     several = parsed.groupBy("page").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     more = parsed.select("page", "row_id").join(several, "page").where("row_id <> first").select("row_id")
     pages = parsed.join(keep(more, "copies"), "row_id", "left_anti")
     hosts = keep(
-        pages.groupBy("host", "host_id").agg(F.count(F.lit(1)).alias("n"))
-        .select("host", "host_id", _least(OPEN).alias("open"), _least(ARTICLE).alias("article")),
+        pages.groupBy("host", "host_id").agg(F.count(F.lit(1)).alias("n"), F.every("marked").alias("articles"))
+        .select("host", "host_id", "articles", _least(OPEN).alias("open"), _least(ARTICLE).alias("article")),
         "hosts",
     )
-    least = hosts.groupBy("host_id").agg(F.min("open").alias("least"))
+    # where all pages mark their article, nothing below its threshold can go
+    hosts = hosts.withColumn("least", F.when(F.col("articles"), F.col("article")).otherwise(F.col("open")))
+    least = hosts.groupBy("host_id").agg(F.min("least").alias("least"))
     often = _anchors(pages).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OPEN[0])
     often = often.withColumn("host_id", F.shiftrightunsigned("key", 64 - _HOST_BITS))
     keys = keep(_dealt(often, least, ["host_id"], "key").where("n >= least").select("key"), "anchors")
     suffixes = keep(_suffixes(pages, *_bitmap(keys)), "suffixes")
-    known = _dealt(passages(suffixes), hosts.drop("host_id"), ["host"], "suffix")
-    common = keep(
-        known.where("pages >= open").select("host", "suffix", (F.col("pages") >= F.col("article")).cast("int").alias("article")),
-        "passages",
-    )
-    met = _dealt(suffixes, common, ["host", "suffix"], "page").select("page", "article", F.explode("places").alias("place"))
-    return met.groupBy("page").agg(F.collect_list(F.col("place") * 2 + F.col("article")).alias("places"))
+    known = _dealt(passages(suffixes), hosts.drop("host_id"), ["host"], "suffix").where("pages >= least")
+    common = keep(known.select("host", "suffix", (F.col("pages") >= F.col("article")).alias("anywhere")), "passages")
+    met = _dealt(suffixes, common, ["host", "suffix"], "page").where("anywhere or not marked")
+    places = met.select("page", F.explode("places").alias("place")).groupBy("page")
+    return keep(places.agg(F.collect_list("place").alias("places")), "places")
 
 
 def _unique(blocks_: list[str], places: list[int]) -> list[str]:
@@ -394,17 +394,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts, marked, places = column(b, "text"), column(b, "marked"), column(b, "places")
+            texts, places = column(b, "text"), column(b, "places")
             if places.null_count < b.num_rows:
                 texts = texts.to_pylist()
                 for i in np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    some = [p >> 1 for p in places[i].as_py() if p & 1 or not marked[i].as_py()]
-                    if some:
-                        texts[i] = "\n".join(_unique(texts[i].split("\n"), some))
+                    texts[i] = "\n".join(_unique(texts[i].split("\n"), places[i].as_py()))
                 texts = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [column(b, "page_id"), column(b, "url"), texts.cast(pa.string())], names=[f.name for f in schema]
             )
 
-    met = parsed.join(boilerplate(parsed), "page", "left").select("page_id", "url", "text", "marked", "places")
+    met = parsed.join(boilerplate(parsed), "page", "left").select("page_id", "url", "text", "places")
     return met.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

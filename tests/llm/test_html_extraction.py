@@ -93,14 +93,14 @@ def brute(pages):
     """Texts by comparing all runs of tokens of a host's distinct pages."""
     read = {i: (hx.host(u), *hx.blocks(h or "")) for i, u, h in pages}
     distinct = defaultdict(set)
-    for name, found, _ in read.values():
-        distinct[name].add(tuple(found))
+    for name, found, marked in read.values():
+        distinct[name].add((tuple(found), marked))
     out, k = {}, hx.MIN_TOKENS
     for i, (name, found, marked) in read.items():
         least, share = hx.ARTICLE if marked else hx.OPEN
         least = max(least, math.ceil(share * len(distinct[name])))
         met = defaultdict(int)
-        for page in distinct[name]:
+        for page, _ in distinct[name]:
             tokens = " ".join(page).split(" ")
             for run in {tuple(tokens[p : p + k]) for p in range(len(tokens) - k + 1)}:
                 met[run] += 1
