@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and formats learnt by grammar inference.
 
 The matches of three patterns are labelled credentials. For each kind, a prefix tree of them
-is folded into a probabilistic automaton: two states are merged when their counts of ending
-and of going on by each character agree within a Hoeffding bound, and so do all states below.
+is folded into a probabilistic automaton: two states are merged when their counts of ending,
+of going on by each kind of character and of each character agree within a Hoeffding bound, and so
+do all states below. The tree branches by kind (capital, small letter, digit, each sign its own), the
+characters of a kind are counted in its states, so that few credentials show lengths and places of signs.
 Every maximal run of ``MIN_LENGTH`` credential characters and more in every text is then a
 candidate, whatever its characters; it is scored by the mean log likelihood of its characters
 under each automaton. It is a secret as well if some automaton finds it as likely as the
@@ -10,8 +12,8 @@ credentials it was made from, and ``RATIO`` times likelier than the ``Background
 automaton with a state for each last character, counted on all runs of the table, of any
 length, outside the matches. So ordinary words and numbers are turned down for being ordinary.
 
-Automata are fitted on at most ``SAMPLE`` distinct credentials of each kind, the first in the
-order of a hash; everything else, the background too, covers all rows. Matches of the patterns always stay; learnt
+Automata are fitted on at most ``SAMPLE`` distinct credentials of each kind (of long ones the
+windows that scoring uses, too), the first in the order of a hash; everything else, the background too, covers all rows. Matches of the patterns always stay; learnt
 spans that touch one are left out. A null text counts as empty, empty texts have no spans,
 repeated rows are scanned one by one, an empty table gives no rows, other columns are ignored.
 Positions are code points, ends exclusive.
@@ -116,35 +118,55 @@ class Background:
         return (self.first[word[0]] + sum([pair[word[i : i + 2]] for i in range(len(word) - 1)])) / len(word)
 
 
+# kind of each character: one for capitals, small letters and digits, signs stand for themselves
+_KIND = {c: "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in _CHARACTERS}
+_SIZE = {k: list(_KIND.values()).count(k) for k in _KIND.values()}
+
+
 class Automaton:
-    """Probabilistic automaton: for each state how often strings end there and go on by a character."""
+    """Probabilistic automaton: for each state how often strings end there, go on by a kind of character, and by
+    which. ``go`` is by kind."""
 
-    ALPHABET = 67  # credential characters and the end
+    KINDS = 9  # capitals, small letters, digits and signs
 
     def __init__(self, words: list[str], alpha: float = ALPHA):
+        words = [part for w in words for part in windows(w)]
         self.ends: list[int] = [0]
         self.go: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
+        self.chars: list[dict[str, int]] = [{}]
         for w in words:
             s = 0
-            for c in w[:WINDOW]:
-                self.count[s][c] = self.count[s].get(c, 0) + 1
-                if c not in self.go[s]:
-                    self.go[s][c] = len(self.go)
+            for c in w:
+                k = _KIND[c]
+                self.count[s][k] = self.count[s].get(k, 0) + 1
+                self.chars[s][c] = self.chars[s].get(c, 0) + 1
+                if k not in self.go[s]:
+                    self.go[s][k] = len(self.go)
                     self.go.append({})
                     self.count.append({})
+                    self.chars.append({})
                     self.ends.append(0)
-                s = self.go[s][c]
+                s = self.go[s][k]
             self.ends[s] += 1
         self._infer(math.sqrt(0.5 * math.log(2 / alpha)))
+        self._compact()
         scores = sorted(self.score(w) for w in set(words))
         self.threshold = scores[int((1 - SHARE) * len(scores))] if scores else math.inf
-        reached, todo = {0}, [0]
-        while todo:
-            new = set(self.go[todo.pop()].values()) - reached
-            reached |= new
-            todo.extend(new)
-        self.states = len(reached)
+        self.states = len(self.go)
+
+    def _compact(self) -> None:
+        """Keep the states that are reached from the first, numbered in this order."""
+        order, number = [0], {0: 0}
+        for s in order:
+            for k in sorted(self.go[s]):
+                if self.go[s][k] not in number:
+                    number[self.go[s][k]] = len(order)
+                    order.append(self.go[s][k])
+        self.go = [{k: number[t] for k, t in self.go[s].items()} for s in order]
+        self.ends = [self.ends[s] for s in order]
+        self.count = [self.count[s] for s in order]
+        self.chars = [self.chars[s] for s in order]
 
     def _total(self, s: int) -> int:
         return self.ends[s] + sum(self.count[s].values())
@@ -159,11 +181,11 @@ class Automaton:
             limit = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             if abs(self.ends[a] / n - self.ends[b] / m) > limit:
                 return False
-            for c in self.count[a].keys() | self.count[b].keys():
-                if abs(self.count[a].get(c, 0) / n - self.count[b].get(c, 0) / m) > limit:
-                    return False
-                if c in self.go[a] and c in self.go[b]:
-                    todo.append((self.go[a][c], self.go[b][c]))
+            for held in (self.count, self.chars):
+                for c in held[a].keys() | held[b].keys():
+                    if abs(held[a].get(c, 0) / n - held[b].get(c, 0) / m) > limit:
+                        return False
+            todo += [(self.go[a][k], self.go[b][k]) for k in self.go[a].keys() & self.go[b].keys()]
         return True
 
     def _fold(self, red: int, blue: int) -> None:
@@ -172,12 +194,14 @@ class Automaton:
         while todo:
             a, b = todo.pop()
             self.ends[a] += self.ends[b]
-            for c, k in self.count[b].items():
-                self.count[a][c] = self.count[a].get(c, 0) + k
-                if c in self.go[a]:
-                    todo.append((self.go[a][c], self.go[b][c]))
+            for c, n in self.chars[b].items():
+                self.chars[a][c] = self.chars[a].get(c, 0) + n
+            for k, n in self.count[b].items():
+                self.count[a][k] = self.count[a].get(k, 0) + n
+                if k in self.go[a]:
+                    todo.append((self.go[a][k], self.go[b][k]))
                 else:
-                    self.go[a][c] = self.go[b][c]
+                    self.go[a][k] = self.go[b][k]
 
     def _infer(self, bound: float) -> None:
         red = [0]
@@ -200,10 +224,14 @@ class Automaton:
     def compile(self) -> "Automaton":
         self.logs = []
         for s in range(len(self.go)):
-            n = self._total(s) + 0.05 * self.ALPHABET
-            self.logs.append(
-                ({c: (math.log((k + 0.05) / n), self.go[s][c]) for c, k in self.count[s].items()}, math.log(0.05 / n))
-            )
+            n = self._total(s) + 0.05 * self.KINDS
+            known = {}
+            for k, t in self.go[s].items():
+                m, size = self.count[s][k], _SIZE[k]
+                for c in (c for c in _CHARACTERS if _KIND[c] == k):
+                    share = (self.chars[s].get(c, 0) + 2 / size) / (m + 2)
+                    known[c] = (math.log((m + 0.05) / n * share), t)
+            self.logs.append((known, {c: math.log(0.05 / n / _SIZE[_KIND[c]]) for c in _CHARACTERS if c not in known}))
         return self
 
     def mean(self, part: str) -> float:
@@ -212,7 +240,7 @@ class Automaton:
         state, total = 0, 0.0
         for c in part:
             known, unknown = self.logs[state]
-            p, state = known.get(c, (unknown, 0))
+            p, state = known.get(c) or (unknown[c], 0)
             total += p
         return total / len(part)
 
@@ -236,7 +264,7 @@ def _found(docs: DataFrame) -> DataFrame:
         counts = np.zeros(_STATES * _STATES, np.int64)
         for b in batches:
             texts = [t for t in column(b, "text").to_pylist() if t]
-            found = {(k, c[:WINDOW]) for t in texts for _, _, k, c in base(t)}
+            found = {(k, part) for t in texts for _, _, k, c in base(t) for part in windows(c)}
             for t in texts:
                 counts += pairs(t)
             yield _rows([k for k, _ in found], [c for _, c in found], [0] * len(found))
@@ -312,13 +340,13 @@ def secret(word: str, automata: Learnt) -> bool:
 def scan(text: str, automata: Learnt) -> list[tuple[int, int, str]]:
     """start, end, kind of all secrets: fixed ones and candidates with a learnt format."""
     fixed = [(s, e, k) for s, e, k, _ in base(text)]
-    out = list(fixed)
-    for m in _CANDIDATE.finditer(text):
-        word = m[0]
+    out, at, covered = list(fixed), 0, 0
+    for m in _CANDIDATE.finditer(text):  # both are in the order of their starts
         s, e = m.span()
-        if any(s < fe and fs < e for fs, fe, _ in fixed):
-            continue
-        if secret(word, automata):
+        while at < len(fixed) and fixed[at][0] < e:
+            covered = max(covered, fixed[at][1])
+            at += 1
+        if covered <= s and secret(m[0], automata):
             out.append((s, e, LEARNT))
     order = [*KINDS, LEARNT]
     return sorted(out, key=lambda x: (x[0], order.index(x[2])))

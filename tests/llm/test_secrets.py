@@ -112,3 +112,41 @@ def test_long_runs_are_scored_in_full_windows(docs_of):
     assert not any(a.score(word + c) >= a.threshold for c in "0123456789abcdef")
     inside = "x" * 200 + "".join(random.Random(5).choice("0123456789") for _ in range(100)) + "y" * 300
     assert any(inside[200:300] in x for x in sc.windows(inside))
+
+
+def test_held_out_credentials_without_patterns(docs_of):
+    """A fifth is held out of the fit; the automaton's states alone must tell its format."""
+    rng = random.Random(6)
+    pick = lambda a, k: "".join(rng.choice(a) for _ in range(k))
+    letters, digits = "ABCDEFGHJKMNPQRSTVWXYZ", "0123456789"
+    keys = [f"sk_{pick(letters, 4)}-{pick(digits, 6)}-{pick(letters, 4)}" for _ in range(500)]
+    prose = "plain words of the people who write about history, order 482910 in 2024, state-of-the-art and well-known things "
+    learnt = sc.learn(docs_of([(i, prose + f"token={k}") for i, k in enumerate(keys[:400])]))
+    assert 10 < learnt["assign"].states < 60
+    held = keys[400:]
+    assert sum(sc.scan(f"see {k} there", learnt) == [(4, 4 + len(k), sc.LEARNT)] for k in held) >= 80
+    mixed = ["".join(rng.sample(k, len(k))) for k in held]
+    assert sum(bool(sc.scan(f"see {k} there", learnt)) for k in mixed) <= 2
+    assert sc.scan(prose * 5, learnt) == []
+
+
+def test_long_credentials_are_learnt_whole(docs_of):
+    word = "a1" * 200 + "Z9" * 200
+    found = {r.credential for r in sc.credentials(docs_of([(1, f"token={word}")])).collect()}
+    assert found == set(sc.windows(word)) and any("Z9Z9" in x for x in found)
+    a = sc.Automaton([word])
+    assert any("Z" in c for c in a.chars)
+
+
+def test_candidates_that_touch_fixed_matches(docs_of, learnt):
+    rng = random.Random(8)
+    parts = ["password=", "0123456789abcdef0", "AKIA", "ABCDEFGH12345678", " ", "deadbeefdeadbeef", "-", "xyz", "token: ", "q7" * 8]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(25))
+        fixed = [(s, e) for s, e, _, _ in sc.base(text)]
+        want = {
+            m.span()
+            for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text)
+            if not any(m.start() < e and s < m.end() for s, e in fixed) and sc.secret(m[0], learnt)
+        }
+        assert {(s, e) for s, e, k in sc.scan(text, learnt) if k == sc.LEARNT} == want
