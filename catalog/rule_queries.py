@@ -272,7 +272,7 @@ def entities_long(spark, sf):
 
 
 def _pii(df, out="pii_items"):
-    rows = deidentify.with_pii_items(df).select("doc_id", F.posexplode(out).alias("pos", "i"))
+    rows = extract.item_rows(deidentify.with_pii_items(df), F.col(out))
     return rows.select("doc_id", "pos", "i.type", "i.value", "i.strategy", "i.replacement")
 
 
@@ -297,7 +297,7 @@ def pii_count(spark, sf):
 @query("pii_preview", f"SELECT doc_id, pos, type, value FROM (SELECT *, {_POS} FROM st_pii) WHERE pos < 5", ("st_pii",))
 def pii_preview(spark, sf):
     docs = deidentify.with_pii_items(fx.statements(spark, sf))
-    rows = docs.select("doc_id", F.posexplode(extract.first_items(F.col("pii_items"))).alias("pos", "i"))
+    rows = extract.item_rows(docs, extract.first_items(F.col("pii_items")))
     return rows.select("doc_id", "pos", "i.type", "i.value")
 
 
@@ -309,8 +309,8 @@ def pii_preview(spark, sf):
 )
 def mask_entities_query(spark, sf):
     docs = extract.with_entities(fx.statements(spark, sf))
-    rows = docs.select("doc_id", F.posexplode(mask_entities(F.col("entities"))).alias("pos", "e"))
-    return rows.select("doc_id", "pos", "e.type", "e.value", F.col("e.masked").cast("string").alias("masked"))
+    rows = extract.item_rows(docs, mask_entities(F.col("entities")))
+    return rows.select("doc_id", "pos", "i.type", "i.value", F.col("i.masked").cast("string").alias("masked"))
 
 
 _ALNUM = r"'[\p{L}\p{N}]'"

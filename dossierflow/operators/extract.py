@@ -28,6 +28,12 @@ def first_items(items: Column, n: int = 5) -> Column:
     return F.slice(items, 1, n)
 
 
+def item_rows(df: DataFrame, items: Column, key: str = "doc_id") -> DataFrame:
+    """One row (key, pos, i) per item. An inner posexplode would be given a filter on the list's size,
+    which makes Spark compute the list twice; so missing lists get a row that is dropped."""
+    return df.select(key, F.posexplode_outer(items).alias("pos", "i")).filter("pos IS NOT NULL")
+
+
 def entities_long(df: DataFrame, key: str = "doc_id", entities: str = "entities") -> DataFrame:
     """One row per entity; documents without entities keep one row of NULLs."""
     return df.select(key, F.posexplode_outer(entities).alias("pos", "entity")).select(
