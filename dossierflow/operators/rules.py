@@ -5,13 +5,14 @@ part of every match, ``probe`` is a cheaper pattern that every match contains: a
 search for them lets most texts skip the pattern itself.
 Repetitions are bounded wherever a failed match could be retried from each position,
 and a pattern starts with a cheap look at its first characters, so that most positions
-of a text are left after one test.
+of a text are left after one test. A rule with ``one_line`` reads only the lines that hold one
+of its ``needs``, as none of its matches goes beyond a line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, functions as F
 
@@ -81,6 +82,8 @@ class Rule:
     group: int = 0
     # A cheap pattern found inside every match, for types without a fixed text.
     probe: str = ""
+    # No match holds a line feed or looks across one: each line can be searched alone.
+    one_line: bool = field(default=False, kw_only=True)
 
 
 @dataclass(frozen=True)
@@ -90,33 +93,37 @@ class PiiRule(Rule):
     strategy: str = "REDACT"
 
 
-ENTITY_RULES: tuple[Rule, ...] = (
+def _in_lines(*rules):
+    return tuple(replace(rule, one_line=True) for rule in rules)
+
+
+ENTITY_RULES: tuple[Rule, ...] = _in_lines(
     Rule("person", PERSON, 0.85, LABEL_NEEDS, 1),
     Rule("organization", ORGANIZATION, 0.8,
          ("Bank:", "Lender:", "Employer:", "Issuer:", "Company:", "Institution:", "Insurer:"), 1),
     Rule("organization", FIRM, 0.7, (" Bank", " Inc.", " LLC", " Corporation", " Company", " Union"), 1),
     Rule("account_number", ACCOUNT, 0.95, ("Number", "No.", " ID"), 1),
-    Rule("ssn_tax_id", SSN, 0.98, probe="-[0-9]{4}"),
-    Rule("ssn_tax_id", EIN, 0.9, probe="[0-9]-[0-9]{7}"),
+    Rule("ssn_tax_id", SSN, 0.98, ("-",), probe="-[0-9]{4}"),
+    Rule("ssn_tax_id", EIN, 0.9, ("-",), probe="[0-9]-[0-9]{7}"),
     Rule("amount", MONEY, 0.95, ("$",)),
     Rule("amount", RATE, 0.8, ("%",)),
-    Rule("date", DATE, 0.95, probe="[0-9](?:-[0-9]|/[0-9]|, [0-9]{4})"),
+    Rule("date", DATE, 0.95, ("-", "/", ", "), probe="[0-9](?:-[0-9]|/[0-9]|, [0-9]{4})"),
     Rule("address", ADDRESS, 0.85, STREET_WORDS),
     Rule("email", EMAIL, 0.99, ("@",)),
-    Rule("phone", PHONE, 0.95, probe="[0-9]{3}[.-][0-9]{4}"),
+    Rule("phone", PHONE, 0.95, ("-", "."), probe="[0-9]{3}[.-][0-9]{4}"),
     Rule("credit_score", CREDIT_SCORE, 0.9, ("Score", "FICO"), 1),
     Rule("property", PROPERTY, 0.85, ("Property", "Collateral"), 1),
 )
 
-PII_RULES: tuple[PiiRule, ...] = (
+PII_RULES: tuple[PiiRule, ...] = _in_lines(
     PiiRule("person", PERSON, 0.85, LABEL_NEEDS, 1, strategy="REDACT"),
-    PiiRule("ssn", SSN, 0.98, probe="-[0-9]{4}", strategy="MASK"),
-    PiiRule("tax_id", EIN, 0.9, probe="[0-9]-[0-9]{7}", strategy="MASK"),
+    PiiRule("ssn", SSN, 0.98, ("-",), probe="-[0-9]{4}", strategy="MASK"),
+    PiiRule("tax_id", EIN, 0.9, ("-",), probe="[0-9]-[0-9]{7}", strategy="MASK"),
     PiiRule("account_number", ACCOUNT, 0.95, ("Number", "No.", " ID"), 1, strategy="MASK"),
     PiiRule("routing_number", ROUTING, 0.95, ("Routing", "ABA"), 1, strategy="MASK"),
     PiiRule("drivers_license", LICENSE, 0.95, ("License",), 1, strategy="REDACT"),
     PiiRule("email", EMAIL, 0.99, ("@",), 0, strategy="REDACT"),
-    PiiRule("phone", PHONE, 0.95, probe="[0-9]{3}[.-][0-9]{4}", strategy="MASK"),
+    PiiRule("phone", PHONE, 0.95, ("-", "."), probe="[0-9]{3}[.-][0-9]{4}", strategy="MASK"),
     PiiRule("address", ADDRESS, 0.85, STREET_WORDS, 0, strategy="GENERALIZE"),
     PiiRule("date_of_birth", BIRTH, 0.95, ("Birth", "DOB"), 1, strategy="GENERALIZE"),
     PiiRule("salary_income", INCOME, 0.9, ("Income", "Salary", "Compensation"), 1, strategy="GENERALIZE"),
@@ -130,19 +137,41 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches_sql(text: str, rule: Rule) -> str:
-    """All values of one rule in the text column, in text order."""
-    found = f"regexp_extract_all({text}, {sql_text(rule.pattern)}, {rule.group})"
-    tests = [f"contains({text}, {sql_text(need)})" for need in rule.needs]
+def lines_sql(text: str) -> str:
+    """The lines of the text column."""
+    return f"split({text}, '\\n')"
+
+
+def matches_sql(text: str, rule: Rule, lines: str | None = None) -> str:
+    """All values of one rule in the text column, in text order; ``lines`` is SQL of its lines."""
+    none = "CAST(array() AS array<string>)"
+
+    def held(part: str) -> str:
+        return " OR ".join(f"contains({part}, {sql_text(need)})" for need in rule.needs)
+
+    def found(part: str) -> str:
+        return f"regexp_extract_all({part}, {sql_text(rule.pattern)}, {rule.group})"
+
+    if rule.one_line and rule.needs:
+        def some(test: str) -> str:
+            return f"flatten(transform(filter({lines or lines_sql(text)}, l -> {test}), l -> {found('l')}))"
+
+        if len(rule.needs) < 3:
+            return f"CASE WHEN {held(text)} THEN {some(held('l'))} ELSE {none} END"
+        # most of many needs are nowhere in a text: its lines are asked for the others
+        met = f"filter(array({', '.join(map(sql_text, rule.needs))}), need -> contains({text}, need))"
+        in_lines = some("exists(met, need -> contains(l, need))")
+        return f"get(transform(array({met}), met -> CASE WHEN size(met) > 0 THEN {in_lines} ELSE {none} END), 0)"
+    tests = [held(text)] if rule.needs else []
     if rule.probe:
         tests.append(f"regexp_like({text}, {sql_text(rule.probe)})")
     if not tests:
-        return found
-    return f"CASE WHEN {' OR '.join(tests)} THEN {found} ELSE CAST(array() AS array<string>) END"
+        return found(text)
+    return f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN {found(text)} ELSE {none} END"
 
 
 def _key(rule: Rule) -> tuple:
-    return (rule.pattern, rule.group, rule.needs, rule.probe)
+    return (rule.pattern, rule.group, rule.needs, rule.probe, rule.one_line)
 
 
 class SharedMatches:
@@ -159,17 +188,27 @@ class SharedMatches:
         in_second = {_key(r) for r in second}
         self.rules = {_key(r): (r, _key(r) in in_second) for r in [*first, *second]}
 
-    def columns(self, text_of_first: str, text_of_second: str) -> dict[str, Column]:
-        """Patterns only the first set has read the first text, all others the second."""
+    def columns(self, first: tuple[str, str], second: tuple[str, str]) -> dict[str, Column]:
+        """Patterns only the first set has read the first text, all others the second; each text
+        comes with the column of its lines."""
         return {
-            self.names[key]: F.expr(matches_sql(text_of_second if shared else text_of_first, rule))
+            self.names[key]: F.expr(matches_sql(text, rule, lines))
             for key, (rule, shared) in self.rules.items()
+            for text, lines in [second if shared else first]
         }
 
     def sql(self, text: str, rule: Rule) -> str:
         return self.names[_key(rule)]
 
 
+#: the lines of a text, split once for all rules
+_LINES = "_lines"
+
+
+def _in_shared_lines(text: str, rule: Rule) -> str:
+    return matches_sql(text, rule, _LINES)
+
+
 def _items(text: str, rules: Iterable[Rule], item, data_type: str, search) -> Column:
     """Items rule by rule, in text order within a rule; none for a NULL text.
 
@@ -180,10 +219,13 @@ def _items(text: str, rules: Iterable[Rule], item, data_type: str, search) -> Co
     empty = f"CAST(array() AS {data_type})"
     if not parts:
         return F.expr(empty)
-    return F.expr(f"CASE WHEN {text} IS NULL THEN {empty} ELSE concat({', '.join(parts)}) END")
+    found = f"concat({', '.join(parts)})"
+    if search is _in_shared_lines:
+        found = f"get(transform(array({lines_sql(text)}), {_LINES} -> {found}), 0)"
+    return F.expr(f"CASE WHEN {text} IS NULL THEN {empty} ELSE {found} END")
 
 
-def entities_of(text: str, rules: Iterable[Rule], search=matches_sql) -> Column:
+def entities_of(text: str, rules: Iterable[Rule], search=_in_shared_lines) -> Column:
     """Typed entities of the text column ``text``."""
 
     def item(rule: Rule) -> str:
@@ -192,7 +234,7 @@ def entities_of(text: str, rules: Iterable[Rule], search=matches_sql) -> Column:
     return _items(text, rules, item, f"array<{ddl(ENTITY)}>", search)
 
 
-def pii_items_of(text: str, rules: Iterable[PiiRule], search=matches_sql) -> Column:
+def pii_items_of(text: str, rules: Iterable[PiiRule], search=_in_shared_lines) -> Column:
     """Personal data of the text column ``text`` with strategy and replacement."""
 
     def item(rule: PiiRule) -> str:

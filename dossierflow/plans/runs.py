@@ -23,7 +23,7 @@ from dossierflow.operators.categorize import with_categorization, with_categoriz
 from dossierflow.operators.extract import item_count
 from dossierflow.operators.ingest import ingest_error, ingest_struct, is_supported
 from dossierflow.operators.parse import native_text, parse_error, parse_struct, parsed_error, parsed_text
-from dossierflow.operators.rules import SharedMatches, entities_of, matches_sql, pii_items_of
+from dossierflow.operators.rules import SharedMatches, entities_of, lines_sql, pii_items_of
 from dossierflow.operators.scoring import ModelOptions, one_reply, reply_list_column
 from dossierflow.schemas import (
     CATEGORIZATION,
@@ -153,11 +153,12 @@ def _with_matches(df: DataFrame, settings: Settings) -> tuple[DataFrame, SharedM
         "_extract_text": F.when(_due("extract"), F.col("_joined")),
         "_deidentify_text": F.when(_due("deidentify"), F.col("_joined")),
     }
-    df = df.withColumns(texts).withColumns(shared.columns("_extract_text", "_deidentify_text"))
-    return df.drop(*texts), shared
+    lines = {"_extract_lines": F.expr(lines_sql("_extract_text")), "_deidentify_lines": F.expr(lines_sql("_deidentify_text"))}
+    found = shared.columns(("_extract_text", "_extract_lines"), ("_deidentify_text", "_deidentify_lines"))
+    return df.withColumns(texts).withColumns(lines).withColumns(found).drop(*texts, *lines), shared
 
 
-def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, search) -> DataFrame:
+def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, searched: dict) -> DataFrame:
     out, data_type, key = {
         "categorize": ("categorization", CATEGORIZATION, None),
         "extract": ("extraction", EXTRACTION, "entities"),
@@ -178,9 +179,9 @@ def _model_stage(df: DataFrame, stage: str, settings: Settings, resumed: bool, s
                 df = with_categorization(df, settings.lexicon, text="_scan", out="_native")
             result = F.col("_native")
         elif stage == "extract":
-            result = F.struct(entities_of("_scan", settings.entity_rules, search), F.lit(None).cast("string"))
+            result = F.struct(entities_of("_scan", settings.entity_rules, **searched), F.lit(None).cast("string"))
         else:
-            result = F.struct(pii_items_of("_scan", settings.pii_rules, search), F.lit(None).cast("string"))
+            result = F.struct(pii_items_of("_scan", settings.pii_rules, **searched), F.lit(None).cast("string"))
     df = df.withColumn("_message", message)
     fresh = F.when(due & F.col("_message").isNull(), result.cast(ddl(data_type)))
     if resumed and stage != "deidentify":
@@ -206,12 +207,12 @@ def run_stages(docs: DataFrame, settings: Settings) -> DataFrame:
     df = df.withColumn("file_size_bytes", F.octet_length("content").cast("long"))
     df = _parse(df, settings, resumed)
     df = df.withColumn("_joined", join_pages(F.col("parse.pages")))
-    search, found = matches_sql, []
+    searched, found = {}, []
     for stage in MODEL_STAGES:
         if stage == "extract" and not {"extract", "deidentify"} & set(settings.scorers):
             df, shared = _with_matches(df, settings)
-            search, found = shared.sql, list(shared.names.values())
-        df = _model_stage(df, stage, settings, resumed, search)
+            searched, found = {"search": shared.sql}, list(shared.names.values())
+        df = _model_stage(df, stage, settings, resumed, searched)
     return _outcome(df, settings, resumed).drop("_joined", "content", "payload", *found)
 
 
