@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossierflow.operators.categorize import ranked_categories, words_of
 from dossierflow.operators.rules import Lexicon
 
+#: so many first words of a lexicon table's terms are looked up row by row before the join
+FIRSTS = 1024
 _HIT = "array<struct<at:int,n:int,term:string>>"
 
 
@@ -24,20 +26,38 @@ def normal_term(term: Column) -> Column:
     return F.array_join(words_of(term), " ")
 
 
-def _runs(text: Column, longest: int) -> Column:
-    """(at, n, term) of every run of 1 to ``longest`` words of a text, which is split once."""
+def _runs(text: Column, longest: int, firsts: dict[int, list[str]] | None = None) -> Column:
+    """(at, n, term) of the runs of 1 to ``longest`` words of a text, which is split once; if
+    ``firsts`` is given, only of those of n words that begin with one of its words for n."""
     words = F.array(words_of(F.coalesce(text, F.lit(""))))
-    return F.flatten(F.transform(words, lambda w: _runs_of(w, longest)))
+    return F.flatten(F.transform(words, lambda w: _runs_of(w, longest, firsts)))
 
 
-def _runs_of(words: Column, longest: int) -> Column:
-    def of_length(n: int) -> Column:
-        last = F.size(words) - n
-        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(
-            i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("term")))
+def _runs_of(words: Column, longest: int, firsts: dict[int, list[str]] | None) -> Column:
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    if firsts is not None:
+        known = sorted({w for group in firsts.values() for w in group})
+        places = F.filter(places, lambda i: F.get(words, i).isin(known))
 
-    return F.concat(*[of_length(n) for n in range(1, longest + 1)])
+    def of_length(places: Column, n: int) -> Column:
+        if firsts is not None:
+            places = F.filter(places, lambda i: F.get(words, i).isin(firsts[n]))
+        inside = F.filter(places, lambda i: i <= F.size(words) - n) if n > 1 else places
+        return F.transform(inside, lambda i: F.struct(
+            i.alias("at"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]).alias("term")))
+
+    lengths = [n for n in range(1, longest + 1) if firsts is None or n in firsts]
+    if not lengths:
+        return F.array().cast(_HIT)
+    # the places are found once for all lengths
+    return F.flatten(F.transform(F.array(places), lambda p: F.concat(*[of_length(p, n) for n in lengths])))
+
+
+def _by_length(pairs) -> dict[int, list[str]]:
+    firsts: dict[int, set[str]] = {}
+    for first, n in pairs:
+        firsts.setdefault(n, set()).add(first)
+    return {n: sorted(words) for n, words in firsts.items()}
 
 
 def outermost(hits: Column) -> Column:
@@ -62,7 +82,8 @@ def with_phrases(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str =
         raise ValueError("the lexicon is empty")
     longest = max(t.count(" ") + 1 for t in terms)
     known = F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(True))])
-    found = F.filter(_runs(F.col(text), longest), lambda r: F.coalesce(known[r["term"]], F.lit(False)))
+    firsts = _by_length((t.split(" ")[0], t.count(" ") + 1) for t in terms)
+    found = F.filter(_runs(F.col(text), longest, firsts), lambda r: F.coalesce(known[r["term"]], F.lit(False)))
     return df.withColumn(out, outermost(found))
 
 
@@ -75,10 +96,17 @@ def phrase_hits(docs: DataFrame, lexicon: DataFrame, key: str, text: str) -> Dat
     """(key, term, n) of the terms of a lexicon table that count in each document.
 
     Positions are joined by term; texts do not move. The longest term's length bounds the runs
-    that are looked up and is read from the lexicon first."""
+    that are looked up and is read from the lexicon first; so are the first words of its terms
+    for each length, unless there are more than ``FIRSTS``: then the runs of all words are joined."""
     terms = lexicon.select("term").distinct()
-    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    runs = docs.select(key, F.inline(_runs(F.col(text), longest)))
+    parts = F.split("term", " ")
+    begun = terms.where("term IS NOT NULL").select(F.get(parts, F.lit(0)).alias("first"), F.size(parts).alias("n")).distinct()
+    some = [(r["first"], r["n"]) for r in begun.limit(FIRSTS + 1).collect()]
+    if len(some) > FIRSTS:
+        firsts, longest = None, begun.agg(F.max("n")).first()[0]
+    else:
+        firsts, longest = _by_length(some), max((n for _, n in some), default=1)
+    runs = docs.select(key, F.inline(_runs(F.col(text), longest, firsts)))
     places = runs.join(terms, "term").groupBy(key).agg(F.collect_list(F.struct("at", "n", "term")).alias("hits"))
     kept = places.select(key, F.explode(outermost(F.col("hits"))).alias("h"))
     return kept.groupBy(key, F.col("h.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
@@ -94,6 +122,8 @@ def categorize_phrases_in_plan(docs: DataFrame, lexicon: Lexicon, key: str = "do
     """The same, with the terms found row by row."""
     rows = [(c, " ".join(t.lower().split()), float(w)) for c, t, w in lexicon.terms]
     unique = _normal(docs.sparkSession.createDataFrame(rows, "category string, term string, weight double"))
-    hits = with_phrases(docs.select(key, text), lexicon, text).select(key, F.explode("hits").alias("h"))
+    # for an inner explode Spark would compute the hits twice, in a filter on their number too
+    hits = with_phrases(docs.select(key, text), lexicon, text).select(key, F.explode_outer("hits").alias("h"))
+    hits = hits.filter("h IS NOT NULL")
     counted = hits.groupBy(key, F.col("h.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
     return ranked_categories(docs, counted.join(unique, "term"), key)
