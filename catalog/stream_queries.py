@@ -42,7 +42,7 @@ def stream_arrivals(spark, sf):
     base = work_folder(spark, "stream-arrivals")
     docs = table(spark, sf, "documents").filter("text IS NOT NULL").select("text")
     docs.write.option("maxRecordsPerFile", 500).text(f"{base}/inbox")
-    arriving = arrivals.arriving_files(spark, f"{base}/inbox", "*.txt", max_files=5)
+    arriving = arrivals.arriving_files(spark, f"{base}/inbox", "*.txt", max_files=200)
     arrivals.process_arrivals(arriving, Settings(), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     done = spark.read.parquet(f"{base}/out")
     return done.agg(
