@@ -15,6 +15,20 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.expr(f"'{WORD}'"), F.lit(0))
 
 
+def word_counts(text: Column) -> Column:
+    """(term, n) of every distinct word of a text: its words sorted, and the lengths of equal runs."""
+    words = F.sort_array(words_of(F.coalesce(text, F.lit(""))))
+
+    def counted(w: Column) -> Column:
+        new = lambda i: (i == 0) | (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(w)), new)
+        return F.flatten(F.transform(F.array(starts), lambda s: F.transform(
+            F.slice(s, F.lit(1), F.size(s) - 1),
+            lambda a, k: F.struct(F.get(w, a).alias("term"), (F.get(s, k + 1) - a).cast("long").alias("n")))))
+
+    return F.flatten(F.transform(F.array(words), counted))
+
+
 def with_categorization_from(df: DataFrame, lexicon: DataFrame, key: str, text: str, out: str) -> DataFrame:
     """Adds the classification struct from a lexicon table; ``key`` names a row."""
     found = categorize_by_join(df.select(key, text), lexicon, key, text)
@@ -77,15 +91,15 @@ def with_categorization(df: DataFrame, lexicon: Lexicon, text: str = "text", out
 def categorize_by_join(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same classification for a lexicon table of any size (category, term, weight).
 
-    Words are counted per document first, so that the join by term moves one row per
-    document and term; adaptive execution broadcasts a lexicon that turns out small and
+    Words are counted in each document's row, without a shuffle, so that the join by term moves
+    one row per document and term; adaptive execution broadcasts a lexicon that turns out small and
     splits a term that a third of all documents hold. A term listed several times in a
     category counts once, at its highest weight, as in a ``Lexicon``. The texts themselves
     never move. Returns ``key`` and the six classification fields.
     """
-    words = docs.select(key, F.explode(words_of(F.col(text))).alias("term"))
+    words = docs.select(key, F.inline(word_counts(F.col(text))))
     unique = lexicon.groupBy("category", F.lower("term").alias("term")).agg(F.max("weight").alias("weight"))
-    return ranked_categories(docs, words.groupBy(key, "term").agg(F.count("*").alias("n")).join(unique, "term"), key)
+    return ranked_categories(docs, words.join(unique, "term"), key)
 
 
 def ranked_categories(docs: DataFrame, hits: DataFrame, key: str) -> DataFrame:
